@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridstone.llm.common import table
+from gridstone.llm.decontamination import decontaminate
+from gridstone.llm.line_dedup import line_dedup
 from gridstone.llm.url_filters import url_filters
 
 #: Fixed values of the URL list: host, path, verdict.
@@ -29,14 +32,65 @@ FROM p
 """
 
 
+OP5_SQL = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i + 1 : i + least(len(w), 10)], ' ') AS win
+        FROM (SELECT item_id, w, unnest(range(0, len(w) - least(len(w), 10) + 1)) AS i FROM iw WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+dwin AS (SELECT doc_id, n, i, array_to_string(w[i + 1 : i + n], ' ') AS win
+       FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM dw, sizes WHERE len(w) >= n)),
+occ AS (SELECT DISTINCT doc_id, i, dwin.n, item_id FROM dwin JOIN win ON dwin.win = win.win AND dwin.n = win.n),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM occ) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS items_sha256
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM occ) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+OP8_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, pos, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line FROM l),
+c AS (SELECT doc_id, pos, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM u WHERE line <> ''),
+s AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) - words AS before FROM c),
+t AS (SELECT *, before + words AS through FROM s),
+w AS (SELECT doc_id, min(pos) OVER f AS a, max(pos) OVER f AS b, sum(words) OVER f AS n, list(line) OVER f AS content FROM t WINDOW f AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+      UNION ALL SELECT doc_id, min(pos) OVER f, max(pos) OVER f, sum(words) OVER f, list(line) OVER f FROM t WINDOW f AS (PARTITION BY doc_id ORDER BY through RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
+r AS (SELECT DISTINCT doc_id, a, b, content FROM w WHERE n >= 50),
+later AS (SELECT doc_id, a, b FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, a) AS k FROM r) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS pos FROM later),
+kept AS (SELECT l.doc_id, coalesce(string_agg(raw, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL), '') AS text, count(*) AS n_lines, count(g.pos) AS n_removed
+         FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
+SELECT doc_id, kept.text, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed FROM documents LEFT JOIN kept USING (doc_id)
+"""
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filters(table(spark, sf_dir, "pages"), rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_url_filters": op10_url_filters}
+    return {
+        "op5_decontamination": op5_decontamination,
+        "op8_line_dedup": op8_line_dedup,
+        "op10_url_filters": op10_url_filters,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filters": OP10_SQL}
+    return {
+        "op5_decontamination": OP5_SQL,
+        "op8_line_dedup": OP8_SQL,
+        "op10_url_filters": OP10_SQL,
+    }
