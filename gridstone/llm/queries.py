@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridstone.llm.common import table
 from gridstone.llm.decontamination import decontaminate
+from gridstone.llm.jaccard_join import jaccard_join
 from gridstone.llm.line_dedup import line_dedup
 from gridstone.llm.url_filters import url_filters
 
@@ -66,6 +67,19 @@ SELECT doc_id, kept.text, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(
 """
 
 
+OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                                        ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM w),
+e AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS i FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n GROUP BY ALL),
+link AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * i >= 90 * (na + nb - i)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, (SELECT min(b) FROM reach WHERE a = s.doc_id) AS component_id,
+       CAST((SELECT count(*) FROM link WHERE a = s.doc_id) AS BIGINT) AS n_links FROM s
+"""
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -75,6 +89,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"), width=3, threshold=0.9)
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filters(table(spark, sf_dir, "pages"), rules)
@@ -84,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_decontamination": op5_decontamination,
         "op8_line_dedup": op8_line_dedup,
+        "op9_jaccard_join": op9_jaccard_join,
         "op10_url_filters": op10_url_filters,
     }
 
@@ -92,5 +111,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_decontamination": OP5_SQL,
         "op8_line_dedup": OP8_SQL,
+        "op9_jaccard_join": OP9_SQL,
         "op10_url_filters": OP10_SQL,
     }
