@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridstone.llm.common import table
@@ -12,6 +12,8 @@ from gridstone.llm.decontamination import decontaminate
 from gridstone.llm.fingerprints import edited_fingerprints
 from gridstone.llm.jaccard_join import jaccard_join
 from gridstone.llm.line_dedup import line_dedup
+from gridstone.llm.pii import BASE_KINDS, find_pii
+from gridstone.llm.secrets import scan_secrets
 from gridstone.llm.url_filters import url_filters
 
 #: Fixed values of the URL list: host, path, verdict.
@@ -81,6 +83,22 @@ SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, (SELECT min(b) FROM reach
 """
 
 
+def _spans_text(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:
+    """kind:start:end of the spans of some kinds, joined by commas, in the order that they have."""
+    kept = spans if kinds is None else F.filter(spans, lambda s: s.kind.isin(*kinds))
+    return F.array_join(F.transform(kept, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+
+def _count(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans, base = F.col("spans"), ("assign", "access", "hex")
+    out = scan_secrets(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *[_count(spans, k) for k in base], F.sha2(_spans_text(spans, base), 256).alias("base_sha256"), _spans_text(spans).alias("spans"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -90,6 +108,12 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    out = find_pii(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *[_count(spans, k) for k in BASE_KINDS], F.sha2(_spans_text(spans, BASE_KINDS), 256).alias("base_sha256"), _spans_text(spans).alias("spans"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"))
 
@@ -105,8 +129,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_secrets": op2_secrets,
         "op5_decontamination": op5_decontamination,
         "op6_fingerprints": op6_fingerprints,
+        "op7_pii": op7_pii,
         "op8_line_dedup": op8_line_dedup,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_url_filters": op10_url_filters,
