@@ -14,6 +14,7 @@ from gridstone.llm.jaccard_join import jaccard_join
 from gridstone.llm.line_dedup import line_dedup
 from gridstone.llm.pii import BASE_KINDS, find_pii
 from gridstone.llm.secrets import scan_secrets
+from gridstone.llm.toxicity import fit, toxicity
 from gridstone.llm.url_filters import url_filters
 
 #: Fixed values of the URL list: host, path, verdict.
@@ -99,6 +100,13 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[_count(spans, k) for k in base], F.sha2(_spans_text(spans, base), 256).alias("base_sha256"), _spans_text(spans).alias("spans"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    scored = toxicity(docs, fit(docs, labels.where(~held_out)))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -130,6 +138,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_secrets": op2_secrets,
+        "op4_toxicity": op4_toxicity,
         "op5_decontamination": op5_decontamination,
         "op6_fingerprints": op6_fingerprints,
         "op7_pii": op7_pii,
