@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstone.llm.common import table
+from gridstone.llm.common import shared_dir, table
 from gridstone.llm.decontamination import decontaminate
 from gridstone.llm.fingerprints import edited_fingerprints
 from gridstone.llm.jaccard_join import jaccard_join
 from gridstone.llm.line_dedup import line_dedup
 from gridstone.llm.pii import BASE_KINDS, find_pii
 from gridstone.llm.secrets import scan_secrets
+from gridstone.llm.token_output import read_tokens, write_tokens
 from gridstone.llm.toxicity import fit, toxicity
 from gridstone.llm.url_filters import url_filters
 
@@ -94,6 +95,17 @@ def _count(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark)
+    return read_tokens(write_tokens(table(spark, sf_dir, "documents"), path, vocabulary()), path)
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans, base = F.col("spans"), ("assign", "access", "hex")
     out = scan_secrets(table(spark, sf_dir, "documents"))
@@ -137,6 +149,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_output": op1_token_output,
         "op2_secrets": op2_secrets,
         "op4_toxicity": op4_toxicity,
         "op5_decontamination": op5_decontamination,
