@@ -35,3 +35,26 @@ def written(df: DataFrame) -> DataFrame:
 def ascii_lower(col: Column) -> Column:
     """A-Z only; other letters keep their case. Pure ASCII takes the byte-wise path."""
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, UPPER, UPPER.lower()))
+
+
+#: Rows of a blocked filter, so 1 MB of broadcast data at most.
+FILTER_BLOCKS = 1 << 16
+
+
+def _filter_mask(h: Column) -> Column:
+    bits, one = F.xxhash64(h, F.lit("bits")), F.lit(1).cast("long")
+    at = [F.call_function("shiftleft", one, F.shiftrightunsigned(bits, 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(4)]
+    return at[0].bitwiseOR(at[1]).bitwiseOR(at[2]).bitwiseOR(at[3])
+
+
+def perhaps_listed(df: DataFrame, column: str, listed: DataFrame, listed_column: str) -> DataFrame:
+    """``df`` with a boolean column ``_perhaps``: false only if the value of ``column`` is surely not listed.
+
+    A blocked Bloom filter as a broadcast table of at most FILTER_BLOCKS rows. A longer list lets more rows through, so an
+    exact join must follow; it saves shuffling the rows that can't match. Null values are not listed.
+    """
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BLOCKS)).cast("int")
+    words = listed.where(F.col(listed_column).isNotNull()).groupBy(block(F.col(listed_column)).alias("_block")).agg(F.bit_or(_filter_mask(F.col(listed_column))).alias("_word"))
+    mask = _filter_mask(F.col(column))
+    joined = df.join(F.broadcast(words), F.when(F.col(column).isNotNull(), block(F.col(column))) == F.col("_block"), "left")
+    return joined.withColumn("_perhaps", F.coalesce(F.col("_word").bitwiseAND(mask) == mask, F.lit(False))).drop("_block", "_word")

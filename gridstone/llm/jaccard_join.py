@@ -6,6 +6,9 @@
    of other positions and sizes are skipped unread, and a passage or word run that many texts share does not fill a list:
    only sets alike over a whole position meet. Sets of 18 shingles or fewer, where links are one shingle apart at most,
    are listed under their hash sum with each shingle left out instead. Sets under 9 link with equal sets only.
+   Below 88 percent, where positions would be too small to tell sets apart, lists are keyed by the single shingles of a
+   set's prefix instead, ordered by rarity: the most frequent ones of a part of hash space rank last. These frequent ones are a
+   bounded list from counts over all texts; which they are bears on cost only.
 3. Each list names its smallest set, which gives a linear number of pairs; their connected components are families, and
    no link leaves a family. Sets of a family meet in one task, or, beyond a block's size, in tasks of two blocks each.
 4. In a task the sets are ordered by size and by content. A set's overlaps with all others are the overlaps of the nearest
@@ -26,15 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridstone.llm.common import written
+from gridstone.llm.common import perhaps_listed, written
 from gridstone.llm.components import components
 from gridstone.llm.textarrays import BASE, mix, shingle_sets
 
 _U = np.uint64
 #: Sets and shingles of one family in a block, on average; a task holds one or two blocks.
 BLOCK, BLOCK_SHINGLES = 2000, 1_500_000
-#: Links of sets up to this size are one shingle apart at most (for 90 percent).
-SMALL = 18
+#: From this similarity on (percent) lists are keyed by whole positions, below it by single shingles, rarest first.
+BY_POSITION = 88
+#: Shingles that rank as frequent: those that occur so often at least, and of them the so many most frequent (2 MB).
+FREQUENT, HEAVY = 8, 1 << 18
 
 
 def _classes(percent: int) -> tuple[np.ndarray, np.ndarray, int, int]:
@@ -77,7 +82,39 @@ def _set_id(x: np.ndarray) -> int:
     return int(np.add.reduce(mix(x)).astype(np.int64)) if len(x) else 0
 
 
-def _describe(width: int, percent: int):
+def prefix_keys(x: np.ndarray, percent: int, heavy: np.ndarray) -> np.ndarray:
+    """Keys of the lists of a set's prefix: as many of its shingles, the rarest first, as leave too few for a link."""
+    n = len(x)
+    low = x[:np.searchsorted(x, _U(_cut(percent)))]
+    at = np.searchsorted(heavy, low)
+    frequent = at < len(heavy)
+    frequent[frequent] = heavy[at[frequent]] == low[frequent]
+    return mix(np.concatenate([low[~frequent], x[len(low):], low[frequent]])[:n - -(-percent * n // 100) + 1])
+
+
+def _cut(percent: int) -> int:
+    """Shingles below this hash value are counted, a little more than a prefix holds."""
+    return int((1.03 - percent / 100) * 2 ** 64)
+
+
+def _count_low(width: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = _U(_cut(percent))
+        for batch in batches:
+            low = [x[:np.searchsorted(x, cut)] for x in shingle_sets(batch["_text"], width)]
+            values, counts = np.unique(np.concatenate(low) if low else np.zeros(0, np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int32))], ["shingle", "n"])
+    return run
+
+
+def frequent_shingles(base: DataFrame, width: int, percent: int) -> np.ndarray:
+    """The shingles below the cut that occur most, HEAVY at most. They rank last; any such list gives right results."""
+    counted = base.select("_text").mapInArrow(_count_low(width, percent), "shingle long, n int")
+    top = counted.groupBy("shingle").agg(F.sum("n").alias("n")).where(f"n >= {FREQUENT}").orderBy(F.desc("n"), "shingle").limit(HEAVY)
+    return np.sort(top.select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))
+
+
+def _describe(width: int, percent: int, heavy=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = _classes(percent)
         for batch in batches:
@@ -85,7 +122,7 @@ def _describe(width: int, percent: int):
             for x in shingle_sets(batch["_text"], width):
                 n.append(len(x))
                 ids.append(_set_id(x))
-                keys.append(signatures(x, percent, classes).view(np.int64))
+                keys.append((signatures(x, percent, classes) if heavy is None else prefix_keys(x, percent, heavy.value)).view(np.int64))
             offs = np.zeros(len(keys) + 1, np.int32)
             np.cumsum([len(k) for k in keys], out=offs[1:])
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
@@ -189,18 +226,20 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id_type = docs.schema[id_col].dataType
     base = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
     schema = T.StructType([T.StructField("id", id_type), T.StructField("th", T.LongType()), T.StructField("n", T.LongType()), T.StructField("set", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
-    described = written(base.mapInArrow(_describe(width, percent), schema))
+    heavy = None if percent >= BY_POSITION else spark.sparkContext.broadcast(frequent_shingles(base, width, percent))
+    described = written(base.mapInArrow(_describe(width, percent, heavy), schema))
 
     sets = written(described.where("n > 0").groupBy("set").agg(F.min(F.struct("id", "th")).alias("first"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")))
     listed = described.where("n > 0").select("set", F.explode("keys").alias("key"))
-    low = listed.groupBy("key").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low != high").select("key", "low")
-    near = listed.join(low, "key").where("set != low").select(F.col("set").alias("a"), F.col("low").alias("b")).distinct()
+    low = listed.groupBy("key").agg(F.min("set").alias("low"))
+    near = listed.join(low.hint("merge"), "key").where("set != low").select(F.col("set").alias("a"), F.col("low").alias("b")).distinct()
     families = components(near).withColumnsRenamed({"node": "set", "root": "family"})
     families = families.join(sets, "set")
     members = families.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     families = written(families.join(members, "family").select("set", "family", "blocks", "copies", F.col("first.id").alias("id"), F.col("first.th").alias("th")))
 
-    texts = base.join(families, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th"))).select("set", "family", "blocks", "copies", "_text")
+    # most texts are in no family and need not be shuffled
+    texts = perhaps_listed(base, "_th", families, "th").where("_perhaps").join(families.hint("merge"), F.col("_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th"))).select("set", "family", "blocks", "copies", "_text")
     held = texts.mapInArrow(_sets(width), "set long, family long, blocks long, copies long, shingles binary")
     n_blocks = F.col("blocks")
     held = held.withColumn("block", F.pmod(F.xxhash64("set"), n_blocks).cast("long"))
