@@ -12,6 +12,7 @@ from gridstone.llm.decontamination import decontaminate
 from gridstone.llm.fingerprints import edited_fingerprints
 from gridstone.llm.jaccard_join import jaccard_join
 from gridstone.llm.line_dedup import line_dedup
+from gridstone.llm.mixing import fit_domains, mix_sources
 from gridstone.llm.pii import BASE_KINDS, find_pii
 from gridstone.llm.secrets import scan_secrets
 from gridstone.llm.token_output import read_tokens, write_tokens
@@ -112,6 +113,18 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[_count(spans, k) for k in base], F.sha2(_spans_text(spans, base), 256).alias("base_sha256"), _spans_text(spans).alias("spans"))
 
 
+#: Domains and their shares of expected tokens.
+MIX_TARGETS = {"de": 0.25, "en": 0.4, "es": 0.15, "fr": 0.2}
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id").join(docs.select("doc_id", F.col("lang").alias("domain")), "doc_id")
+    domains = list(MIX_TARGETS)
+    mixed = mix_sources(docs.select("doc_id", "text"), fit_domains(docs, labels, domains), list(MIX_TARGETS.values()), keep=False)
+    return mixed.select("doc_id", "n_tokens", *[F.get("posterior", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(domains)], "rate", "copies")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
@@ -151,6 +164,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_output": op1_token_output,
         "op2_secrets": op2_secrets,
+        "op3_mixing": op3_mixing,
         "op4_toxicity": op4_toxicity,
         "op5_decontamination": op5_decontamination,
         "op6_fingerprints": op6_fingerprints,
