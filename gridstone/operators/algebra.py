@@ -91,6 +91,7 @@ def axpy(x: DataFrame, y: DataFrame, alpha: float) -> DataFrame:
 
 def conjugate_gradient(a: DataFrame, b: DataFrame, tol: float = 1e-6, most: int = 10_000, jacobi: bool = True) -> DataFrame:
     """x of a x = b for symmetric positive definite a, with the diagonal as preconditioner. Only scalars reach the driver."""
+    a, b = _cut(a), _cut(b.select("i", "v"))
     d = diagonal(a)
     pre = (lambda r: r.join(d.select("i", F.col("v").alias("_d")), "i").select("i", (F.col("v") / F.col("_d")).alias("v"))) if jacobi else (lambda r: r)
     x, r = b.select("i", F.lit(0.0).alias("v")), b.select("i", "v")

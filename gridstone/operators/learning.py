@@ -40,13 +40,13 @@ def best_split(df: DataFrame, feature: str, label: str, entropy: bool = False) -
     by = df.groupBy(F.col(feature).cast("double").alias("f")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("double")).alias("s"))
     w = Window.orderBy("f")
     run = by.withColumn("nl", F.sum("n").over(w)).withColumn("sl", F.sum("s").over(w)).withColumn("next", F.lead("f").over(w))
-    run = run.crossJoin(F.broadcast(by.agg(F.sum("n").alias("N"), F.sum("s").alias("S")))).where("next is not null")
+    run = run.crossJoin(F.broadcast(by.agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s")))).where("next is not null")
 
     def loss(n: Column, s: Column) -> Column:
         p = s / n
         return -(F.when(p > 0, s * F.log(p)).otherwise(0.0) + F.when(p < 1, (n - s) * F.log(1 - p)).otherwise(0.0)) if entropy else s - s * s / n
 
-    cost = loss(F.col("nl"), F.col("sl")) + loss(F.col("N") - F.col("nl"), F.col("S") - F.col("sl"))
+    cost = loss(F.col("nl"), F.col("sl")) + loss(F.col("all_n") - F.col("nl"), F.col("all_s") - F.col("sl"))
     scored = run.select(((F.col("f") + F.col("next")) / 2).alias("threshold"), F.round(cost, 9).alias("loss"))
     return scored.agg(F.min(F.struct("loss", "threshold")).alias("m")).select("m.threshold", "m.loss")
 
