@@ -21,6 +21,7 @@ Two different sets share an id of 64 bits with a probability of 2^-64 a pair.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +39,8 @@ _U = np.uint64
 BLOCK, BLOCK_SHINGLES = 2000, 1_500_000
 #: From this similarity on (percent) lists are keyed by whole positions, below it by single shingles, rarest first.
 BY_POSITION = 88
-#: Shingles that rank as frequent: those that occur so often at least, and of them the so many most frequent (2 MB).
-FREQUENT, HEAVY = 8, 1 << 18
+#: Shingles that rank as frequent: those that occur so often at least, and of them the so many most frequent (4 MB).
+FREQUENT, HEAVY = 4, 1 << 19
 
 
 def _classes(percent: int) -> tuple[np.ndarray, np.ndarray, int, int]:
@@ -230,9 +231,18 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     described = written(base.mapInArrow(_describe(width, percent, heavy), schema))
 
     sets = written(described.where("n > 0").groupBy("set").agg(F.min(F.struct("id", "th")).alias("first"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")))
-    listed = described.where("n > 0").select("set", F.explode("keys").alias("key"))
-    low = listed.groupBy("key").agg(F.min("set").alias("low"))
-    near = listed.join(low.hint("merge"), "key").where("set != low").select(F.col("set").alias("a"), F.col("low").alias("b")).distinct()
+    listed = described.where("n > 0").select("set", F.col("n").cast("int").alias("n"), F.explode("keys").alias("key"))
+    if heavy is None:
+        low = listed.groupBy("key").agg(F.min("set").alias("low"))
+        near = listed.select("set", "key").join(low.hint("merge"), "key").where("set != low").select(F.col("set").alias("a"), F.col("low").alias("b")).distinct()
+    else:
+        # lists of single shingles hold sets of all sizes: those of more than one set are cut into overlapping size classes
+        shared = listed.groupBy("key").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low != high").select("key")
+        alive = listed.join(shared.hint("merge"), "key").distinct()
+        size = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * (1 + 1e-9))).cast("int")
+        alive = written(alive.select("set", F.explode(F.array(size, size + 1)).alias("size"), "key"))
+        low = alive.groupBy("key", "size").agg(F.min("set").alias("low"))
+        near = alive.join(low.hint("merge"), ["key", "size"]).where("set != low").select(F.col("set").alias("a"), F.col("low").alias("b")).distinct()
     families = components(near).withColumnsRenamed({"node": "set", "root": "family"})
     families = families.join(sets, "set")
     members = families.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
