@@ -751,7 +751,7 @@ def _(spark, d):
     return graph.cut_edges(nation_graph(spark, d)[1], _parts(spark, d))
 
 
-@query("mrf_energy", f"WITH {GRAPH_SQL}, l AS (SELECT CAST(n_nationkey AS BIGINT) AS id, n_regionkey AS label FROM nation) SELECT (SELECT sum(0.5 * label) FROM l) + (SELECT 2.0 * count(*) FROM e JOIN l a ON a.id = src JOIN l b ON b.id = dst WHERE dst < src AND a.label <> b.label) AS energy")
+@query("mrf_energy", f"WITH {GRAPH_SQL}, l AS (SELECT CAST(n_nationkey AS BIGINT) AS id, n_regionkey AS label FROM nation) SELECT (SELECT sum(0.5::DOUBLE * label) FROM l) + (SELECT 2.0::DOUBLE * count(*) FROM e JOIN l a ON a.id = src JOIN l b ON b.id = dst WHERE dst < src AND a.label <> b.label) AS energy")
 def _(spark, d):
     labels = t(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_regionkey").alias("label"))
     unary = labels.select("id").crossJoin(labels.select("label").distinct()).withColumn("cost", 0.5 * F.col("label"))
