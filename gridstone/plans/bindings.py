@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridstone.operators import algebra, elementwise, geometry, graph, histograms, learning, morphology, reductions, relate, sequence
+from gridstone.functions import special
+from gridstone.operators import algebra, elementwise, geometry, graph, histograms, learning, mesh, morphology, reductions, relate, sequence
+from gridstone.plans import pipelines
+from gridstone.sources import text as text_files
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -977,3 +980,110 @@ def _(spark, d):
 def _(spark, d):
     g, k = _mask(spark, d)
     return morphology.distance_transform(k, ["x", "y"], g, 4).select("x", "y", r6("distance", 9))
+
+
+# Meshes, quadrature, distributions, text.
+
+def _tri(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return t(spark, d, "customer").select(k.alias("id"), (k % 50).alias("a"), ((k * 7 + 1) % 50).alias("b"), ((k * 13 + 5) % 50).alias("c")).where("a != b and b != c and a != c")
+
+
+def _vertices(spark: SparkSession, d: str) -> DataFrame:
+    return _xyz(spark, d).where("vec_id < 50").withColumnRenamed("vec_id", "id")
+
+
+_TRI = "tri AS (SELECT c_custkey AS id, c_custkey % 50 AS a, (c_custkey * 7 + 1) % 50 AS b, (c_custkey * 13 + 5) % 50 AS c FROM customer WHERE c_custkey % 50 <> (c_custkey * 7 + 1) % 50 AND (c_custkey * 7 + 1) % 50 <> (c_custkey * 13 + 5) % 50 AND c_custkey % 50 <> (c_custkey * 13 + 5) % 50)"
+_EDGES = "ed AS (SELECT least(a, b) AS u, greatest(a, b) AS v FROM tri UNION ALL SELECT least(b, c), greatest(b, c) FROM tri UNION ALL SELECT least(a, c), greatest(a, c) FROM tri)"
+_VERT = "vx AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings WHERE vec_id < 50)"
+
+
+@query("mesh_edges", f"WITH {_TRI}, {_EDGES} SELECT u, v, count(*) AS n FROM ed GROUP BY ALL")
+def _(spark, d):
+    return mesh.edges(_tri(spark, d))
+
+
+@query("mesh_euler", f"WITH {_TRI}, {_EDGES}, q AS (SELECT (SELECT count(DISTINCT x) FROM (SELECT unnest([a, b, c]) AS x FROM tri)) AS v, (SELECT count(*) FROM (SELECT DISTINCT u, v FROM ed)) AS e, (SELECT count(*) FROM tri) AS f) SELECT v, e, f, v - e + f AS euler FROM q")
+def _(spark, d):
+    return mesh.euler(_tri(spark, d))
+
+
+@query("mesh_faces", f"""WITH {_TRI}, {_VERT}, j AS (SELECT tri.id, b.x - a.x AS p, b.y - a.y AS q, b.z - a.z AS r, c.x - a.x AS s, c.y - a.y AS t, c.z - a.z AS u, (a.x + b.x + c.x) / 3 AS cx FROM tri JOIN vx a ON a.id = tri.a JOIN vx b ON b.id = tri.b JOIN vx c ON c.id = tri.c),
+n AS (SELECT id, q * u - r * t AS i, r * s - p * u AS j, p * t - q * s AS k, cx FROM j) SELECT id, round(0.5 * sqrt(i * i + j * j + k * k), 9) AS area, round(i / sqrt(i * i + j * j + k * k), 6) AS nx, round(cx, 9) AS cx FROM n""")
+def _(spark, d):
+    return mesh.faces(_vertices(spark, d), _tri(spark, d)).select("id", r6("area", 9), r6("nx"), r6("cx", 9))
+
+
+@query("mesh_laplacian_step", f"WITH {_TRI}, {_EDGES}, {_VERT}, bo AS (SELECT u, v FROM ed UNION SELECT v, u FROM ed), m AS (SELECT u AS id, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM bo JOIN vx ON vx.id = bo.v GROUP BY 1) SELECT vx.id, round(x + 0.5 * (coalesce(mx, x) - x), 9) AS x, round(y + 0.5 * (coalesce(my, y) - y), 9) AS y, round(z + 0.5 * (coalesce(mz, z) - z), 9) AS z FROM vx LEFT JOIN m USING (id)")
+def _(spark, d):
+    return mesh.laplacian_step(_vertices(spark, d), _tri(spark, d), 0.5).select("id", *[r6(c, 9) for c in "xyz"])
+
+
+@query("quadrature_cc", "SELECT c_nationkey AS k, round(3 + 2.0 / 3 * c_nationkey, 6) AS integral FROM customer GROUP BY 1, c_nationkey")
+def _(spark, d):
+    nodes, weights = special.clenshaw_curtis(8)
+    rule = spark.createDataFrame(list(zip(nodes, weights)), "x double, w double")
+    k = t(spark, d, "customer").select(F.col("c_nationkey").alias("k")).distinct()
+    f = 1.5 + F.col("k") * F.col("x") * F.col("x") + F.col("x") * F.col("x") * F.col("x")
+    return k.crossJoin(F.broadcast(rule)).groupBy("k").agg(F.round(F.sum(F.col("w") * f), 6).alias("integral"))
+
+
+@query("normal_exponential_pdf", "SELECT event_id, round(exp(-((value - 50) * (value - 50)) / 800) / (20 * sqrt(2 * pi())), 12) AS normal, round(0.02 * exp(-0.02 * value), 12) AS expo, round(1 - exp(-0.02 * value), 9) AS expo_cdf FROM events")
+def _(spark, d):
+    v = F.col("value")
+    return t(spark, d, "events").select("event_id", F.round(special.normal_pdf(v, 50.0, 20.0), 12).alias("normal"), F.round(special.exponential_pdf(v, 0.02), 12).alias("expo"), F.round(special.exponential_cdf(v, 0.02), 9).alias("expo_cdf"))
+
+
+@query("normal_cdf")
+def _(spark, d):
+    return t(spark, d, "events").select("event_id", F.round(special.normal_cdf(F.col("value"), 50.0, 20.0), 9).alias("cdf"))
+
+
+@query("matrix_text", f"WITH h AS (SELECT {_LINLIN} GROUP BY ALL) SELECT j, string_agg(CAST(coalesce(n, 0) AS VARCHAR), ' ' ORDER BY i) AS line FROM (SELECT CAST(i AS INTEGER) AS i, j FROM (SELECT unnest(range(16)) AS i), (SELECT DISTINCT j FROM h)) LEFT JOIN h USING (i, j) GROUP BY 1")
+def _(spark, d):
+    return text_files.matrix_lines(_linlin(t(spark, d, "lineitem")), 16)
+
+
+@query("cooccurrence_distance", """WITH s AS (SELECT user_id % 2 AS half, event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events), c AS (SELECT half, a, b, count(*) AS n FROM s WHERE b IS NOT NULL GROUP BY ALL),
+p AS (SELECT half, a, b, n / sum(n) OVER (PARTITION BY half) AS p FROM c) SELECT round(sum(abs(coalesce(x.p, 0) - coalesce(y.p, 0))), 9) AS distance FROM (SELECT * FROM p WHERE half = 0) x FULL JOIN (SELECT * FROM p WHERE half = 1) y ON x.a = y.a AND x.b = y.b""")
+def _(spark, d):
+    ev = t(spark, d, "events")
+    halves = [histograms.cooccurrence(ev.where(F.col("user_id") % 2 == h), ["user_id"], ["ts", "event_id"], "event_type") for h in (0, 1)]
+    return histograms.cooccurrence_distance(*halves).select(r6("distance", 9))
+
+
+@query("masked_gaussian", f"WITH {DAY_SQL}, k AS (SELECT s, day, v, CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END AS m FROM g) SELECT s, day, round(CASE WHEN {{den}} > 0 THEN {{num}} / {{den}} ELSE 0 END, 4) AS smooth FROM k WINDOW w AS (PARTITION BY s ORDER BY day)".format(
+    num="(" + " + ".join(f"coalesce({'lag' if i < 3 else 'lead'}(v * m, {abs(i - 3)}) OVER w, 0) * {g!r}" for i, g in enumerate(sequence.gaussian_taps(1.0))) + ")",
+    den="(" + " + ".join(f"coalesce({'lag' if i < 3 else 'lead'}(m, {abs(i - 3)}) OVER w, 0) * {g!r}" for i, g in enumerate(sequence.gaussian_taps(1.0))) + ")"))
+def _(spark, d):
+    return sequence.gaussian_filter(day_grid(spark, d), ["s"], "day", "v", 1.0, mask=F.col("v") > 0).select("s", "day", r6("smooth", 4))
+
+
+@query("fill_holes", f"{_MASK}, bg AS (SELECT x, y FROM g EXCEPT SELECT x, y FROM k), o(x, y) AS (SELECT x, y FROM bg WHERE x IN (0, 24) OR y IN (0, 11) UNION SELECT bg.x, bg.y FROM o JOIN bg ON abs(o.x - bg.x) + abs(o.y - bg.y) = 1) SELECT x, y FROM g EXCEPT SELECT x, y FROM o")
+def _(spark, d):
+    g, k = _mask(spark, d)
+    return morphology.fill_holes(k, ["x", "y"], [25, 12], g)
+
+
+@query("subject_key", "SELECT substr(o_orderpriority || '_' || o_orderstatus, 1, 6) AS subject, count(*) AS n FROM orders GROUP BY 1")
+def _(spark, d):
+    o = t(spark, d, "orders").select(F.concat_ws("/", F.lit("data"), F.concat_ws("_", "o_orderpriority", "o_orderstatus")).alias("path"))
+    return text_files.with_subject(o).groupBy("subject").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("tolerance_groups")
+def _(spark, d):
+    s = t(spark, d, "orders").groupBy("o_orderpriority", F.month("o_orderdate").alias("m")).agg(F.round(F.avg("o_totalprice"), 2).alias("v"))
+    return pipelines.tolerance_groups(s, "o_orderpriority", "m", "v", 0.02)
+
+
+@query("spherical_mean_fit")
+def _(spark, d):
+    e = t(spark, d, "part").select("p_partkey", *[F.exp(-(F.col("p_size") + i) / F.lit(60.0) * (i + 1)).alias(f"s{i}") for i in range(3)])
+    return pipelines.fit_spherical_mean(e, "p_partkey", ["s0", "s1", "s2"], [1.0, 2.0, 3.0])
+
+
+@query("mask_consensus")
+def _(spark, d):
+    votes = t(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("site"), F.col("l_linenumber").alias("rater")).agg((F.avg("l_quantity") > 25).cast("int").alias("vote"))
+    return pipelines.consensus(votes, 5).select("site", r6("p"))
