@@ -84,7 +84,7 @@ def units(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def unpacked(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Letters (units x LETTERS) and lengths."""
-    c = np.stack([(packed >> np.uint64(5 * i)) & np.uint64(31) for i in range(LETTERS)], axis=1).astype(np.int32)
+    c = np.stack([((packed >> np.uint64(5 * i)) & np.uint64(31)).astype(np.int32) for i in range(LETTERS)], axis=1)
     return c, (c > 0).sum(axis=1)
 
 
@@ -96,20 +96,21 @@ def _features(c: np.ndarray, n: int) -> np.ndarray:
 
 def decide(packed: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Decision values of units; the last weight is the bias."""
-    c, n = unpacked(packed)
     out = np.zeros(len(packed))
-    for k in np.unique(n):
-        at = np.flatnonzero(n == k)
-        for lo in range(0, len(at), 1 << 13):
-            part = at[lo:lo + (1 << 13)]
-            out[part] = _WEIGHT[k] @ weights[_features(c[part], k)] / _NORM[k]
+    for lo in range(0, len(packed), 1 << 16):
+        c, n = unpacked(packed[lo:lo + (1 << 16)])
+        for k in np.unique(n):
+            at = np.flatnonzero(n == k)
+            for i in range(0, len(at), 1 << 13):
+                part = at[i:i + (1 << 13)]
+                out[lo + part] = _WEIGHT[k] @ weights[_features(c[part], k)] / _NORM[k]
     return out + weights[-1]
 
 
 def phi(packed: np.ndarray) -> np.ndarray:
     """Explicit features (units x 32,768), scaled by length; for landmarks."""
     c, n = unpacked(packed)
-    out = np.zeros((len(packed), 1 << 15))
+    out = np.zeros((len(packed), 1 << 15), np.float32)
     for i in range(len(packed)):
         np.add.at(out[i], _features(c[i:i + 1], n[i])[:, 0], _WEIGHT[n[i]] / _NORM[n[i]])
     return out
@@ -119,7 +120,7 @@ def kernel(packed: np.ndarray, marks: np.ndarray) -> np.ndarray:
     """Kernel values of units and landmarks, the latter as features."""
     c, n = unpacked(packed)
     out = np.zeros((len(packed), len(marks)))
-    columns = np.ascontiguousarray(marks.T)
+    columns = np.ascontiguousarray(marks.T, dtype=np.float32)
     for k in np.unique(n):
         at = np.flatnonzero(n == k)
         for w, u in zip(_WEIGHT[k] / _NORM[k], _features(c[at], k)):
@@ -165,18 +166,22 @@ def train(texts: list[str | None], labels: np.ndarray, rounds: int = 3) -> tuple
     owner, at = np.divmod(np.unique(owner * len(kinds) + at), max(1, len(kinds)))
     toxic = labels[owner] > 0
 
-    grams = [(kinds >> np.uint64(5 * i)) & np.uint64(0xFFFFF) for i in range(LETTERS - 3)]
-    whole = [g >> np.uint64(15) > 0 for g in grams]
-    t_df, c_df = np.zeros(1 << 20), np.zeros(1 << 20)
-    for df, side in ((t_df, toxic), (c_df, ~toxic)):
-        seen = np.unique(np.concatenate([owner[side][ok[at[side]]] << 20 | g[at[side]][ok[at[side]]].astype(np.int64) for g, ok in zip(grams, whole)]))
-        df += np.bincount(seen & 0xFFFFF, minlength=1 << 20)
+    grams = [((kinds >> np.uint64(5 * i)) & np.uint64(0xFFFFF)).astype(np.int32) for i in range(LETTERS - 3)]
+    whole = [g >> 15 > 0 for g in grams]
+    t_df, c_df = np.zeros(1 << 20, np.int64), np.zeros(1 << 20, np.int64)
+    ends = np.searchsorted(owner, np.arange(0, len(labels) + 200, 200))
+    for lo, hi in zip(ends[:-1], ends[1:]):  # 200 texts at a time
+        some, who = at[lo:hi], owner[lo:hi]
+        seen = np.unique(np.concatenate([who[ok[some]] << 20 | g[some][ok[some]] for g, ok in zip(grams, whole)]))
+        sick = labels[seen >> 20] > 0
+        np.add.at(t_df, seen[sick] & 0xFFFFF, 1)
+        np.add.at(c_df, seen[~sick] & 0xFFFFF, 1)
     n_t, n_c = int((labels > 0).sum()), int((labels == 0).sum())
     odds = np.where(t_df >= max(2, n_t // 300), np.log((t_df + 0.5) / (n_t + 1)) - np.log((c_df + 0.5) / (n_c + 1)), -9.0)
     odds += 0.3 * np.log1p(t_df)
     first = np.full(len(kinds), -9.0)
     for g, ok in zip(grams, whole):
-        first = np.where(ok, np.maximum(first, odds[g.astype(np.int64)]), first)
+        first = np.where(ok, np.maximum(first, odds[g]), first)
 
     score = first
     clean_kinds = np.unique(at[~toxic])
@@ -196,7 +201,7 @@ def train(texts: list[str | None], labels: np.ndarray, rounds: int = 3) -> tuple
         pos = np.array(sorted(pos.tolist(), key=lambda k: rank.get(k, 1 << 30)))
         marks = np.concatenate([pos[:LANDMARKS // 2], hard[:LANDMARKS // 4], rng.choice(neg, min(LANDMARKS // 4, len(neg)), replace=False)])
         feats = phi(kinds[np.unique(marks)])
-        values, vectors = np.linalg.eigh(feats @ feats.T)
+        values, vectors = np.linalg.eigh((feats @ feats.T).astype(float))
         keep = values > 1e-6 * values.max()
         root = vectors[:, keep] / np.sqrt(values[keep])
         rows = np.concatenate([pos, neg])
