@@ -52,16 +52,25 @@ def neighbours(sites: DataFrame, axes: list[str], value: str, steps: list[tuple[
     return sites.select(*extra, *axes, value).join(moved, [*extra, *axes])
 
 
+#: Queries of a nearest-neighbour search that are broadcast at once.
+MOST_QUERIES = 5000
+
+
 def knn(points: DataFrame, queries: DataFrame, k: int, id_col: str, features: str) -> DataFrame:
     """(query, id, dist, rank) of the k nearest others by Euclidean distance, exactly.
 
-    Queries are the small side: they are cut into blocks of a bounded number and each block meets all points once; the
-    k best of a block's part are taken before the shuffle by the window's group limit.
+    A stated set of queries meets all points. Up to MOST_QUERIES of them are broadcast; beyond that they go in blocks of
+    so many, each a pass over the points. The k best of a block's part are taken before the shuffle by the window's group limit.
     """
     from gridstone.operators.elementwise import array_ssd
 
     q = queries.select(F.col(id_col).alias("query"), F.col(features).alias("_q"))
-    pairs = points.select(id_col, features).join(F.broadcast(q), F.col(id_col) != F.col("query"))
+    blocks = max(1, -(-q.count() // MOST_QUERIES))
+    pairs = None
+    for i in range(blocks):
+        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i)
+        met = points.select(id_col, features).join(F.broadcast(part), F.col(id_col) != F.col("query"))
+        pairs = met if pairs is None else pairs.unionByName(met)
     pairs = pairs.select("query", id_col, F.sqrt(array_ssd(F.col(features), F.col("_q"))).alias("dist"))
     best = F.row_number().over(Window.partitionBy("query").orderBy("dist", id_col))
     return pairs.withColumn("rank", best).where(F.col("rank") <= k)

@@ -586,10 +586,11 @@ def _(spark, d):
     return n.groupBy("x", "y").agg(F.round(F.median("neighbour"), 6).alias("med"))
 
 
-@query("repopulate_dense", "SELECT CAST(i AS BIGINT) AS idx, coalesce(c_acctbal, 0) AS v FROM (SELECT unnest(range(2000)) AS i) LEFT JOIN customer ON c_custkey = i AND c_custkey % 3 = 0")
+@query("repopulate_dense", "SELECT CAST(i AS BIGINT) AS idx, coalesce(c_acctbal, 0) AS v FROM (SELECT unnest(range((SELECT max(c_custkey) + 1 FROM customer))) AS i) LEFT JOIN customer ON c_custkey = i AND c_acctbal > 0")
 def _(spark, d):
-    rows = t(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("idx"), F.col("c_acctbal").alias("v"))
-    return relate.repopulate(rows, 2000, "idx", "v")
+    c = t(spark, d, "customer")
+    rows = c.where("c_acctbal > 0").select(F.col("c_custkey").alias("idx"), F.col("c_acctbal").alias("v"))
+    return relate.repopulate(rows, c.agg(F.max("c_custkey")).first()[0] + 1, "idx", "v")
 
 
 # Order and sampling.
@@ -687,14 +688,14 @@ def _(spark, d):
     return graph.compact(t(spark, d, "supplier").where("s_acctbal > 0").select((F.col("s_suppkey") * 3).alias("id")))
 
 
-_PART_EDGES = "SELECT DISTINCT least(a.l_suppkey, b.l_suppkey) AS x, greatest(a.l_suppkey, b.l_suppkey) AS y FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey WHERE a.l_quantity = 50 AND b.l_quantity = 50"
+_PART_EDGES = "SELECT DISTINCT least(a.l_suppkey, b.l_suppkey) AS x, greatest(a.l_suppkey, b.l_suppkey) AS y FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_shipdate = b.l_shipdate AND a.l_suppkey < b.l_suppkey"
 
 
 @query("connected_components", f"""WITH RECURSIVE e AS ({_PART_EDGES}), b AS (SELECT x AS src, y AS dst FROM e UNION SELECT y, x FROM e), n AS (SELECT s_suppkey AS id FROM supplier),
 reach(id, to_id) AS (SELECT id, id FROM n UNION SELECT r.id, b.dst FROM reach r JOIN b ON r.to_id = b.src), roots AS (SELECT id, min(to_id) AS root FROM reach GROUP BY 1) SELECT id, dense_rank() OVER (ORDER BY root) AS label FROM roots""")
 def _(spark, d):
-    li = t(spark, d, "lineitem").where("l_quantity = 50").select("l_orderkey", "l_suppkey")
-    e = li.join(li.withColumnRenamed("l_suppkey", "dst"), "l_orderkey").where("l_suppkey < dst").select(F.col("l_suppkey").alias("src"), "dst").distinct()
+    li = t(spark, d, "lineitem").select("l_orderkey", "l_shipdate", "l_suppkey")
+    e = li.join(li.withColumnRenamed("l_suppkey", "dst"), ["l_orderkey", "l_shipdate"]).where("l_suppkey < dst").select(F.col("l_suppkey").alias("src"), "dst").distinct()
     return graph.component_labels(t(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), e)
 
 
@@ -798,16 +799,16 @@ def _d2(a: str, b: str) -> str:
     return f"list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
 
 
-@query("knn_exact", f"WITH {_vec_sql(64)}, p AS (SELECT q.vec_id AS query, v.vec_id, sqrt({_d2('v.f', 'q.f')}) AS dist FROM v, v q WHERE q.vec_id < 20 AND v.vec_id <> q.vec_id) SELECT query, vec_id, round(dist, 6) AS dist, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY dist, vec_id) AS rank FROM p) WHERE rank <= 5")
+@query("knn_exact", f"WITH {_vec_sql(64)}, p AS (SELECT q.vec_id AS query, v.vec_id, sqrt({_d2('v.f', 'q.f')}) AS dist FROM v, v q WHERE q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id) SELECT query, vec_id, round(dist, 6) AS dist, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY dist, vec_id) AS rank FROM p) WHERE rank <= 5")
 def _(spark, d):
     v = _vecs(spark, d)
-    return relate.knn(v, v.where("vec_id < 20"), 5, "vec_id", "f").select("query", "vec_id", r6("dist"), "rank")
+    return relate.knn(v, v.where("vec_id % 100 = 0"), 5, "vec_id", "f").select("query", "vec_id", r6("dist"), "rank")
 
 
-@query("knn_mean_dist", f"WITH {_vec_sql(64)}, p AS (SELECT q.vec_id AS query, v.vec_id, sqrt({_d2('v.f', 'q.f')}) AS dist FROM v, v q WHERE q.vec_id < 20 AND v.vec_id <> q.vec_id) SELECT query, round(avg(dist), 6) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY dist, vec_id) AS rank FROM p) WHERE rank <= 5 GROUP BY 1")
+@query("knn_mean_dist", f"WITH {_vec_sql(64)}, p AS (SELECT q.vec_id AS query, v.vec_id, sqrt({_d2('v.f', 'q.f')}) AS dist FROM v, v q WHERE q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id) SELECT query, round(avg(dist), 6) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY dist, vec_id) AS rank FROM p) WHERE rank <= 5 GROUP BY 1")
 def _(spark, d):
     v = _vecs(spark, d)
-    return relate.knn(v, v.where("vec_id < 20"), 5, "vec_id", "f").groupBy("query").agg(F.round(F.avg("dist"), 6).alias("mean"))
+    return relate.knn(v, v.where("vec_id % 100 = 0"), 5, "vec_id", "f").groupBy("query").agg(F.round(F.avg("dist"), 6).alias("mean"))
 
 
 def _xyz(spark: SparkSession, d: str) -> DataFrame:
@@ -856,10 +857,10 @@ def _(spark, d):
     return learning.kmeans(v, "vec_id", "f", init, 2)[0]
 
 
-@query("kernels", f"WITH {_vec_sql(64)} SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.f, b.f), 6) AS linear, round(pow(list_dot_product(a.f, b.f) + 1, 2), 6) AS poly, round(exp(-0.5 * {_d2('a.f', 'b.f')}), 6) AS rbf, round(tanh(list_dot_product(a.f, b.f)), 6) AS sigmoid, round(1 / sqrt({_d2('a.f', 'b.f')} + 1), 6) AS imq FROM v a, v b WHERE a.vec_id < 20 AND b.vec_id < 20 AND a.vec_id < b.vec_id")
+@query("kernels", f"WITH {_vec_sql(64)} SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.f, b.f), 6) AS linear, round(pow(list_dot_product(a.f, b.f) + 1, 2), 6) AS poly, round(exp(-0.5 * {_d2('a.f', 'b.f')}), 6) AS rbf, round(tanh(list_dot_product(a.f, b.f)), 6) AS sigmoid, round(1 / sqrt({_d2('a.f', 'b.f')} + 1), 6) AS imq FROM v a JOIN v b ON b.vec_id = a.vec_id + 1")
 def _(spark, d):
-    v = _vecs(spark, d).where("vec_id < 20")
-    p = v.select(F.col("vec_id").alias("a"), F.col("f").alias("x")).join(v.select(F.col("vec_id").alias("b"), F.col("f").alias("y")), F.col("a") < F.col("b"))
+    v = _vecs(spark, d)
+    p = v.select(F.col("vec_id").alias("a"), F.col("f").alias("x")).join(v.select(F.col("vec_id").alias("b"), F.col("f").alias("y")), F.col("b") == F.col("a") + 1)
     x, y = F.col("x"), F.col("y")
     ks = {"linear": elementwise.kernel_linear(x, y), "poly": elementwise.kernel_poly(x, y), "rbf": elementwise.kernel_rbf(x, y, 0.5), "sigmoid": elementwise.kernel_sigmoid(x, y), "imq": elementwise.kernel_inverse_multiquadric(x, y)}
     return p.select("a", "b", *[F.round(c, 6).alias(n) for n, c in ks.items()])
@@ -986,16 +987,16 @@ def _(spark, d):
 
 def _tri(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
-    return t(spark, d, "customer").select(k.alias("id"), (k % 50).alias("a"), ((k * 7 + 1) % 50).alias("b"), ((k * 13 + 5) % 50).alias("c")).where("a != b and b != c and a != c")
+    return t(spark, d, "customer").select(k.alias("id"), (k % 500).alias("a"), ((k * 7 + 1) % 500).alias("b"), ((k * 13 + 5) % 500).alias("c")).where("a != b and b != c and a != c")
 
 
 def _vertices(spark: SparkSession, d: str) -> DataFrame:
-    return _xyz(spark, d).where("vec_id < 50").withColumnRenamed("vec_id", "id")
+    return _xyz(spark, d).withColumnRenamed("vec_id", "id")
 
 
-_TRI = "tri AS (SELECT c_custkey AS id, c_custkey % 50 AS a, (c_custkey * 7 + 1) % 50 AS b, (c_custkey * 13 + 5) % 50 AS c FROM customer WHERE c_custkey % 50 <> (c_custkey * 7 + 1) % 50 AND (c_custkey * 7 + 1) % 50 <> (c_custkey * 13 + 5) % 50 AND c_custkey % 50 <> (c_custkey * 13 + 5) % 50)"
+_TRI = "tri AS (SELECT c_custkey AS id, c_custkey % 500 AS a, (c_custkey * 7 + 1) % 500 AS b, (c_custkey * 13 + 5) % 500 AS c FROM customer WHERE c_custkey % 500 <> (c_custkey * 7 + 1) % 500 AND (c_custkey * 7 + 1) % 500 <> (c_custkey * 13 + 5) % 500 AND c_custkey % 500 <> (c_custkey * 13 + 5) % 500)"
 _EDGES = "ed AS (SELECT least(a, b) AS u, greatest(a, b) AS v FROM tri UNION ALL SELECT least(b, c), greatest(b, c) FROM tri UNION ALL SELECT least(a, c), greatest(a, c) FROM tri)"
-_VERT = "vx AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings WHERE vec_id < 50)"
+_VERT = "vx AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)"
 
 
 @query("mesh_edges", f"WITH {_TRI}, {_EDGES} SELECT u, v, count(*) AS n FROM ed GROUP BY ALL")
