@@ -39,8 +39,8 @@ _U = np.uint64
 BLOCK, BLOCK_SHINGLES = 2000, 1_500_000
 #: From this similarity on (percent) lists are keyed by whole positions, below it by single shingles, rarest first.
 BY_POSITION = 88
-#: Shingles that rank as frequent: those that occur so often at least, and of them the so many most frequent (4 MB).
-FREQUENT, HEAVY = 4, 1 << 19
+#: Shingles that rank as frequent: those that occur so often at least, and of them the so many most frequent (512 KB).
+FREQUENT, HEAVY = 4, 1 << 16
 
 
 def _classes(percent: int) -> tuple[np.ndarray, np.ndarray, int, int]:

@@ -17,6 +17,7 @@ text is scored whole.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -246,7 +247,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picked = known.where("_y > 0").orderBy(*order).limit(max_rows).unionByName(known.where("_y = 0").orderBy(*order).limit(max_rows))
     texts = docs.select(F.col(id_col).alias("_id"), F.substring(F.col(text_col), 1, BAG_BYTES).alias("_text")).join(F.broadcast(picked), "_id").select("_id", "_text", "_y").toPandas()
     texts = texts.sort_values(["_id", "_text"], kind="stable").drop_duplicates("_id")  # the same order on any plan
-    return train(texts["_text"].tolist(), texts["_y"].to_numpy())
+    rows, y = texts["_text"].tolist(), texts["_y"].to_numpy()
+    del texts
+    model = train(rows, y)
+    del rows
+    gc.collect()  # the driver goes on with other stages: what training held goes back
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def toxicity(docs: DataFrame, model: tuple[np.ndarray, float, float], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
