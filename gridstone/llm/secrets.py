@@ -31,13 +31,14 @@ SENSITIVE = {
 }
 #: Words that say a literal is a stand-in.
 PLACEHOLDER = re.compile(r"(?i)^(x+|\*+|\.+|none|null|true|false|changeme|example|placeholder|todo|your[_-].*|<.*>|\$\{?.*)$")
+OPEN_PLACEHOLDER = re.compile(r"(?i)^(your[_-].*|<.*>|\$.*)$")
 HINT = re.compile(r"(?i)pass|pwd|secret|token|key|auth|credential|bearer|signature|salt|session|cookie|dsn")
 NAME = r"[A-Za-z_][A-Za-z0-9_.\-]{0,80}"
-PAIR = re.compile(
-    rf"""(?P<q>["']?)(?P<name>{NAME})(?P=q)\s{{0,8}}(?::=|=>|=(?!=)|:(?![:/]))\s{{0,8}}(?P<right>[^\s;,#)}}\]][^\n;,#)}}\]]{{0,400}})"""
-    rf"""|<(?P<tag>{NAME})>(?P<inner>[^<>\n]{{1,400}})</"""
-    rf"""|--(?P<flag>{NAME})[ =](?P<value>[^\s]{{1,400}})""", re.ASCII)
-TERM = re.compile(rf"""\s*(?:"(?P<d>[^"\n]*)"|'(?P<s>[^'\n]*)'|(?P<n>[^\s+"']+))\s*(?P<plus>\+?)""")
+HEAD = re.compile(
+    rf"""(?P<q>["']?)(?P<name>{NAME})(?P=q)\s{{0,8}}(?::=|=>|=(?!=)|:(?![:/]))\s{{0,8}}(?=[^\s;,#)}}\]])"""
+    rf"""|<(?P<tag>{NAME})>(?P<inner>[^<>\n]++)</"""
+    rf"""|--(?P<flag>{NAME})[ =](?P<value>"[^"\n]*+"\S*+|'[^'\n]*+'\S*+|\S++)""", re.ASCII)
+TERM = re.compile(r"""[^\S\n]*+(?:"(?P<d>[^"\n]*+)"|'(?P<s>[^'\n]*+)'|(?P<n>[^\s+"';,#)}\]]++))[^\S\n]*+(?P<plus>\+?)""")
 THRESHOLD = 0.75
 
 
@@ -46,45 +47,98 @@ def name_weight(name: str) -> float:
     return min(1.0, sum(SENSITIVE.get(w, 0.0) for w in set(re.split(r"[_.\-]+", parts))))
 
 
-def entropy(literal: str) -> float:
+class Value:
+    """What a name stands for: a literal of the text, or values joined by ``+``. Parts are shared, so a chain of constants costs a step a link."""
+
+    __slots__ = ("start", "end", "parts", "told", "_text", "_stats")
+
+    def __init__(self, text: str, start: int, end: int, parts: tuple[Value, ...] = ()):
+        self.start, self.end, self.parts, self.told = start, end, parts, False
+        self._text, self._stats = text, joined([p.stats() for p in parts]) if parts else None
+
+    def stats(self) -> tuple[Counter, int, str, str]:
+        """Characters with their numbers, length, first 12 characters and last one of the joined value."""
+        if self._stats is None:
+            v = self._text[self.start:self.end]
+            self._stats = Counter(v), len(v), v[:12], v[-1:]
+        return self._stats
+
+    def spans(self) -> Iterator[tuple[int, int]]:
+        """Places of its literals, without those that an earlier call on it or on a value over it gave."""
+        todo = [self]
+        while todo:
+            v = todo.pop()
+            if not v.told:
+                v.told = True
+                todo += v.parts
+                if v.end > v.start:
+                    yield v.start, v.end
+
+
+def joined(stats: list[tuple[Counter, int, str, str]]) -> tuple[Counter, int, str, str]:
+    counts: Counter = Counter()
+    for s in stats:
+        counts.update(s[0])
+    return counts, sum(s[1] for s in stats), "".join(s[2] for s in stats)[:12], next((s[3] for s in reversed(stats) if s[1]), "")
+
+
+def entropy(counts: Counter, n: int) -> float:
     """Bits a character."""
-    n = len(literal)
-    return -sum(c / n * math.log2(c / n) for c in Counter(literal).values()) if n else 0.0
+    return -sum(p * math.log2(p) for c in counts.values() if (p := c / n)) if n else 0.0
+
 
+def placeholder(counts: Counter, n: int, first: str, last: str) -> bool:
+    if n <= len(first):
+        return bool(PLACEHOLDER.match(first))
+    return counts.keys() <= {"x", "X"} or counts.keys() == {"*"} or counts.keys() == {"."} or bool(OPEN_PLACEHOLDER.match(first + last))
 
-def score(name: str, literal: str) -> float:
-    """Of 0 to 1: how likely the literal is a secret, for the name that it is given to."""
-    if len(literal) < 6 or PLACEHOLDER.match(literal):
+
+def score(name: str, value: Value) -> float:
+    """Of 0 to 1: how likely the value is a secret, for the name that it is given to."""
+    counts, n, first, last = value.stats()
+    if n < 6 or placeholder(counts, n, first, last):
         return 0.0
-    kinds = sum(bool(re.search(p, literal)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    look = 0.4 * min(1.0, entropy(literal) / 3.5) + 0.3 * min(1.0, len(literal) / 16) + 0.3 * min(1.0, kinds / 2)
+    kinds = len({"a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else "." for c in counts})
+    look = 0.4 * min(1.0, entropy(counts, n) / 3.5) + 0.3 * min(n, 16) / 16 + 0.3 * min(1.0, kinds / 2)
     return name_weight(name) * (0.4 + 0.6 * look)
 
 
-def lex(text: str) -> Iterator[tuple[str, list[tuple[int, int, str]]]]:
-    """(name, literals) of each assignment: places and values of the literals that reach the name, constants followed."""
-    known: dict[str, list[tuple[int, int, str]]] = {}
-    for m in PAIR.finditer(text):
+def lex(text: str, start: int = 0, end: int | None = None, outer: tuple[dict[str, Value], ...] = (), flags: bool = True) -> Iterator[tuple[str, Value]]:
+    """(name, value) of each assignment, constants followed; a value goes on to its own end.
+
+    Pairs are read inside a quoted literal, a tag or a flag's value too (connection strings); names that get a value there hold
+    in there only. Insides nest by quote kind at most and a flag's value opens no further flag, so each character is read a few times.
+    """
+    known: dict[str, Value] = {}
+    scopes = (known, *outer)
+    at, end = start, len(text) if end is None else end
+    while m := HEAD.search(text, at, end):
+        at, inner = m.end(), []
         name = m["name"] or m["tag"] or m["flag"]
-        if m["right"] is None:
-            at = m.span("inner" if m["tag"] else "value")
-            yield name, [(*at, text[slice(*at)])]
+        if not m["name"]:
+            place = m.span("inner" if m["tag"] else "value")
+            yield name, Value(text, *place)
+            if m["tag"] or flags:
+                yield from lex(text, *place, scopes, flags and not m["flag"])
             continue
-        at, end, literals, bare = m.start("right"), m.end("right"), [], True
-        while at < end and (t := TERM.match(text, at, end)):
+        parts, bare = [], True
+        while t := TERM.match(text, at, end):
             kind = "d" if t["d"] is not None else "s" if t["s"] is not None else "n"
             if kind != "n":
-                literals.append((*t.span(kind), t[kind]))
-            elif t["n"] in known:
-                literals += known[t["n"]]
+                parts.append(Value(text, *t.span(kind)))
+                inner.append(t.span(kind))
+            elif (constant := next((s[t["n"]] for s in scopes if t["n"] in s), None)) is not None:
+                parts.append(constant)
             elif bare and not t["plus"]:
-                literals.append((*t.span("n"), t["n"]))  # configuration files leave values bare
+                parts.append(Value(text, *t.span("n")))  # configuration files leave values bare
             bare, at = False, t.end()
             if not t["plus"]:
                 break
-        if literals:
-            known[name] = literals[:8]
-            yield name, literals[:8]
+        if parts:
+            known[name] = parts[0] if len(parts) == 1 else Value(text, 0, 0, tuple(parts))
+            yield name, known[name]
+        for place in inner:
+            yield from lex(text, *place, scopes, flags)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -97,9 +151,9 @@ def named_spans(text: str) -> list[tuple[str, int, int]]:
     if not HINT.search(text):  # without such a word no name has a weight
         return []
     found = set()
-    for name, literals in lex(text):
-        if name_weight(name) and score(name, "".join(v for _, _, v in literals)) >= THRESHOLD:
-            found.update(("named", a, b) for a, b, _ in literals if b > a)
+    for name, value in lex(text):
+        if name_weight(name) and score(name, value) >= THRESHOLD:
+            found.update(("named", a, b) for a, b in value.spans())
     return sorted(found)
 
 
@@ -107,7 +161,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row for each row of ``docs``: id, spans (array of kind, start, end in code points) by start, then kind.
 
     A null text counts as empty, and an empty one has no spans. Repeated rows give repeated results, ids may be null or
-    tied, other columns are not read. The lexer's time is linear in the text: names, values and constants are bounded.
+    tied, other columns are not read. The lexer's time is linear in the text: one pass, names are
+    bounded, values are not, and joined constants share their parts.
     """
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("spans", T.ArrayType(span))])

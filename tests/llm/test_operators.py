@@ -84,6 +84,23 @@ def test_secrets_base_and_lexer(spark):
     assert named_spans('colour = "s3cr3tV4lue"') == []
 
 
+def test_secrets_whole_values():
+    from gridstone.llm.secrets import named_spans
+
+    jwt, signs = "eyJ" + "aB3dE5fG7h" * 300, "aB;cD3#x9,(z)]}"
+    parts = [f"Pa{i}rT9x" for i in range(12)]
+    constants = "".join(f'c{i} = "{v}"\n' for i, v in enumerate(parts)) + "db_pwd = " + " + ".join(f"c{i}" for i in range(12))
+    for text, values in [
+        (f'private_key = "{jwt}"', [jwt]), (f"private_key: '{jwt}'; x", [jwt]), (f"<private_key>{jwt}</private_key>", [jwt]), (f"run --db-pwd {jwt} on", [jwt]),
+        (f"db_pwd = {jwt}\n", [jwt]), (f'db_pwd = "{signs}"', [signs]), ("run --db-pwd 'aB cD3 x9' on", ["'aB cD3 x9'"]), (constants, parts),
+        ('conn = "Server=x;db_pwd=aB3dE5fG7h!;"', ["aB3dE5fG7h!"]), (f'a = {jwt} db_pwd = "{signs}"', [signs]),
+    ]:
+        assert [text[a:b] for _, a, b in named_spans(text)] == values
+    doubled = 'a = "aB3dE5"\n' + "a = a + a\n" * 3000 + 'db_pwd = a + "zQ9"'
+    assert [doubled[a:b] for _, a, b in named_spans(doubled)] == ["aB3dE5", "zQ9"]
+    assert named_spans('db_pwd = "' + "x" * 500 + '"') == []
+
+
 # Mixing
 
 def test_mixing_meets_targets(spark):
