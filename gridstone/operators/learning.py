@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +28,8 @@ def kmeans(points: DataFrame, id_col: str, features: str, init: list[list[float]
         for r in rows:
             new[r["cluster"]] = [r[f"m{i}"] for i in range(dims)]
         done += 1
-        if rounds is None and new == cents:
-            break
+        if rounds is None and all(math.isclose(a, b, rel_tol=1e-12, abs_tol=1e-12) for c, d in zip(new, cents) for a, b in zip(c, d)):
+            break  # sums come in any order, so a fixpoint is one up to rounding
         cents = new
     return assigned(points).select(id_col, "cluster"), cents
 

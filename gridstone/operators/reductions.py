@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def value_range(df: DataFrame, keys: list[str], v: str) -> DataFrame:
@@ -106,16 +111,47 @@ def regression(df: DataFrame, keys: list[str], y: str, x: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
 
 
+def comoments(df: DataFrame, features: str, dims: int, key: str | None = None) -> DataFrame:
+    """([key,] i, j, n, c): rows that have both dimensions, and the sum of products of their deviations; null without such rows.
+
+    A batch gives a matrix of sums about its own mean, so no expression grows with the square of the dimensions.
+    """
+    fields = [df.schema[key]] if key else []
+    schema = T.StructType([*fields, *[T.StructField(c, T.IntegerType()) for c in "ij"], T.StructField("_n", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in ("_c", "_x", "_y", "_b")]])
+    rows = df.select(*([key] if key else []), F.array(*[F.get(features, F.lit(i)).cast("double") for i in range(dims)]).alias("_f"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        i, j = (pa.array(x.ravel().astype(np.int32)) for x in np.indices((dims, dims)))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            flat = b.column(b.num_columns - 1).flatten()
+            there = ~flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, dims)
+            values = np.where(there, flat.to_numpy(zero_copy_only=False).reshape(-1, dims), 0.0)
+            codes = b.column(0).dictionary_encode(null_encoding="encode") if key else None
+            group = codes.indices.to_numpy(zero_copy_only=False) if key else np.zeros(b.num_rows, np.int32)
+            order = np.argsort(group, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+                v = there[at].astype(float)
+                mean = values[at].sum(0) / np.maximum(v.sum(0), 1)
+                x = (values[at] - mean) * v
+                n, sx, xx = v.T @ v, x.T @ v, x.T @ x
+                c = xx - sx * sx.T / np.maximum(n, 1)
+                sx += n * mean[:, None]  # about zero again
+                out = [n.astype(np.int64), c, sx, sx.T, sx * sx.T / np.maximum(n, 1)]
+                own = [pa.array([codes.dictionary[int(group[at[0]])].as_py()] * dims * dims, b.schema.field(0).type)] if key else []
+                yield pa.RecordBatch.from_arrays([*own, i, j, *[pa.array(np.ascontiguousarray(o).ravel()) for o in out]], schema.names)
+
+    keys = [*([key] if key else []), "i", "j"]
+    sums = rows.mapInArrow(run, schema).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("_n", "_c", "_x", "_y", "_b")])
+    return sums.select(*keys, F.col("_n").alias("n"), F.when(F.col("_n") > 0, F.col("_c") + F.col("_b") - F.col("_x") * F.col("_y") / F.col("_n")).alias("c"))
+
+
 def covariance(df: DataFrame, features: str, dims: int) -> DataFrame:
     """(i, j, cov): population covariance of the first dimensions, one pass."""
-    cols = df.select(*[F.get(features, F.lit(i)).cast("double").alias(f"d{i}") for i in range(dims)])
-    row = cols.agg(*[F.covar_pop(f"d{i}", f"d{j}").alias(f"c{i}_{j}") for i in range(dims) for j in range(dims)])
-    return row.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{i}_{j}").alias("cov")) for i in range(dims) for j in range(dims)])).alias("s")).select("s.*")
+    return comoments(df, features, dims).select("i", "j", (F.col("c") / F.col("n")).alias("cov"))
 
 
 def within_scatter(df: DataFrame, label: str, features: str, dims: int) -> DataFrame:
     """(i, j, scatter): sums of products of deviations from the label's mean, over all labels."""
-    cols = df.select(label, *[F.get(features, F.lit(i)).cast("double").alias(f"d{i}") for i in range(dims)])
-    per = cols.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), *[F.covar_pop(f"d{i}", f"d{j}").alias(f"c{i}_{j}") for i in range(dims) for j in range(dims)])
-    row = per.agg(*[F.sum(F.col("_n") * F.col(f"c{i}_{j}")).alias(f"c{i}_{j}") for i in range(dims) for j in range(dims)])
-    return row.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{i}_{j}").alias("scatter")) for i in range(dims) for j in range(dims)])).alias("s")).select("s.*")
+    return comoments(df, features, dims, label).groupBy("i", "j").agg(F.sum("c").alias("scatter"))

@@ -364,11 +364,21 @@ def _(spark, d):
     return reductions.covariance(t(spark, d, "embeddings"), "embedding", 4).select("i", "j", r6("cov", 9))
 
 
+@query("covariance_whole", "WITH e AS (SELECT [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(covar_pop(e[i + 1], e[j + 1]), 9) AS cov FROM e, (SELECT unnest(range(64)) AS i), (SELECT unnest(range(64)) AS j) GROUP BY ALL")
+def _(spark, d):
+    return reductions.covariance(t(spark, d, "embeddings"), "embedding", 64).select("i", "j", r6("cov", 9))
+
+
 @query("within_scatter", "WITH e AS (SELECT label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings), s AS (SELECT i, j, label, count(*) * covar_pop(e[i + 1], e[j + 1]) AS s FROM e, (SELECT unnest(range(4)) AS i), (SELECT unnest(range(4)) AS j) GROUP BY ALL) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sum(s), 6) AS scatter FROM s GROUP BY ALL")
 def _(spark, d):
     return reductions.within_scatter(t(spark, d, "embeddings"), "label", "embedding", 4).select("i", "j", r6("scatter"))
 
 
+@query("within_scatter_whole", "WITH e AS (SELECT label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings), s AS (SELECT i, j, label, count(*) * covar_pop(e[i + 1], e[j + 1]) AS s FROM e, (SELECT unnest(range(64)) AS i), (SELECT unnest(range(64)) AS j) GROUP BY ALL) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sum(s), 6) AS scatter FROM s GROUP BY ALL")
+def _(spark, d):
+    return reductions.within_scatter(t(spark, d, "embeddings"), "label", "embedding", 64).select("i", "j", r6("scatter"))
+
+
 # Histograms and distributions.
 
 @query("hist2d_linlog", """SELECT CAST(least(floor((l_quantity - 1) / 49 * 64), 63) AS INTEGER) AS i, CAST(least(floor((ln(l_extendedprice) - ln(500)) / (ln(200000) - ln(500)) * 64), 63) AS INTEGER) AS j, count(*) AS n
@@ -823,8 +833,11 @@ def _(spark, d):
 _CENT = "c AS (SELECT label AS k, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(f[i]) AS m FROM v, (SELECT unnest(range(1, 9)) AS i) GROUP BY ALL) GROUP BY 1)"
 
 
-def _nearest(spark: SparkSession, d: str) -> DataFrame:
-    v = _vecs(spark, d, 8)
+_CENT_WHOLE = _CENT.replace("range(1, 9)", "range(1, 65)")
+
+
+def _nearest(spark: SparkSession, d: str, n: int = 8) -> DataFrame:
+    v = _vecs(spark, d, n)
     cents = reductions.centroids(v, "label", "f").groupBy(F.col("label").alias("vec_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "mean"))), lambda s: s["mean"]).alias("f"))
     return relate.nearest(v, cents, "vec_id", "f")
 
@@ -834,11 +847,21 @@ def _(spark, d):
     return _nearest(spark, d).select("vec_id", "nearest")
 
 
+@query("nearest_centroid_whole", f"WITH {_vec_sql(64)}, {_CENT_WHOLE}, p AS (SELECT vec_id, label, k, {_d2('f', 'c')} AS d FROM v, c) SELECT vec_id, arg_min(k, (round(d, 12), k)) AS nearest FROM p GROUP BY 1")
+def _(spark, d):
+    return _nearest(spark, d, 64).select("vec_id", "nearest")
+
+
 @query("mislabel_rate", f"WITH {_vec_sql(8)}, {_CENT}, p AS (SELECT vec_id, label, k, {_d2('f', 'c')} AS d FROM v, c), n AS (SELECT vec_id, any_value(label) AS label, arg_min(k, (round(d, 12), k)) AS nearest FROM p GROUP BY 1) SELECT round(avg(CASE WHEN nearest <> label THEN 1.0 ELSE 0 END), 6) AS rate FROM n")
 def _(spark, d):
     return reductions.mislabel_rate(_nearest(spark, d), "nearest", "label").select(r6("rate"))
 
 
+@query("mislabel_rate_whole", f"WITH {_vec_sql(64)}, {_CENT_WHOLE}, p AS (SELECT vec_id, label, k, {_d2('f', 'c')} AS d FROM v, c), n AS (SELECT vec_id, any_value(label) AS label, arg_min(k, (round(d, 12), k)) AS nearest FROM p GROUP BY 1) SELECT round(avg(CASE WHEN nearest <> label THEN 1.0 ELSE 0 END), 6) AS rate FROM n")
+def _(spark, d):
+    return reductions.mislabel_rate(_nearest(spark, d, 64), "nearest", "label").select(r6("rate"))
+
+
 _K = 4
 
 
@@ -857,6 +880,13 @@ def _(spark, d):
     return learning.kmeans(v, "vec_id", "f", init, 2)[0]
 
 
+@query("kmeans_fixpoint")
+def _(spark, d):
+    v = _vecs(spark, d)
+    init = [r["f"] for r in v.where(F.col("vec_id") < _K).orderBy("vec_id").collect()]
+    return learning.kmeans(v, "vec_id", "f", init)[0]
+
+
 @query("kernels", f"WITH {_vec_sql(64)} SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.f, b.f), 6) AS linear, round(pow(list_dot_product(a.f, b.f) + 1, 2), 6) AS poly, round(exp(-0.5 * {_d2('a.f', 'b.f')}), 6) AS rbf, round(tanh(list_dot_product(a.f, b.f)), 6) AS sigmoid, round(1 / sqrt({_d2('a.f', 'b.f')} + 1), 6) AS imq FROM v a JOIN v b ON b.vec_id = a.vec_id + 1")
 def _(spark, d):
     v = _vecs(spark, d)
@@ -915,6 +945,11 @@ def _(spark, d):
     return learning.medoid_step(_vecs(spark, d, 8), "label", "vec_id", "f")
 
 
+@query("medoid_step_whole", f"WITH {_vec_sql(64)}, c AS (SELECT a.label, a.vec_id, round(sum({_d2('a.f', 'b.f')}), 6) AS cost FROM v a JOIN v b ON a.label = b.label GROUP BY ALL) SELECT label, arg_min(vec_id, (cost, vec_id)) AS medoid FROM c GROUP BY 1")
+def _(spark, d):
+    return learning.medoid_step(_vecs(spark, d), "label", "vec_id", "f")
+
+
 @query("dbscan", f"""WITH RECURSIVE {_vec_sql(3)}, p AS (SELECT a.vec_id AS a, b.vec_id AS b, sqrt({_d2('a.f', 'b.f')}) AS dist FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE sqrt({_d2('a.f', 'b.f')}) <= 0.04),
 core AS (SELECT a AS id FROM p GROUP BY 1 HAVING count(*) + 1 >= 4), ce AS (SELECT a, b FROM p WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
 reach(id, z) AS (SELECT id, id FROM core UNION SELECT r.id, ce.b FROM reach r JOIN ce ON r.z = ce.a), roots AS (SELECT id, min(z) AS root FROM reach GROUP BY 1),
@@ -925,8 +960,8 @@ def _(spark, d):
 
 @query("random_forest")
 def _(spark, d):
-    v = _vecs(spark, d, 8).select("vec_id", "label", *[F.get("f", F.lit(i)).alias(f"f{i}") for i in range(8)])
-    return learning.random_forest(v, v, [f"f{i}" for i in range(8)], "label", 10).select("vec_id", "prediction")
+    v = _vecs(spark, d).select("vec_id", "label", *[F.get("f", F.lit(i)).alias(f"f{i}") for i in range(64)])
+    return learning.random_forest(v, v, [f"f{i}" for i in range(64)], "label", 10).select("vec_id", "prediction")
 
 
 @query("gmm_clusters")
