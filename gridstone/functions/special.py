@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _erf = np.vectorize(math.erf, otypes=[float])
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
@@ -33,12 +34,12 @@ def poisson_pmf(k: Column, rate: float) -> Column:
     return F.exp(k * math.log(rate) - rate - log_gamma(k + 1))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def erf(x: pd.Series) -> pd.Series:
     return pd.Series(_erf(x.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def log_gamma(x: pd.Series) -> pd.Series:
     return pd.Series(_lgamma(x.to_numpy(float)))
 
