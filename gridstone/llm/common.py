@@ -25,11 +25,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder: lineage ends there, and any executor can read it again."""
+def written(df: DataFrame, tell: bool = False):
+    """The rows as a table in the shared folder: lineage ends there, and any executor can read it again. ``tell``: its path, too."""
     path = shared_dir(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    return (table, path) if tell else table
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables of ``written`` that no result depends on any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def ascii_lower(col: Column) -> Column:
@@ -37,8 +45,8 @@ def ascii_lower(col: Column) -> Column:
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, UPPER, UPPER.lower()))
 
 
-#: Rows of a blocked filter, so 1 MB of broadcast data at most.
-FILTER_BLOCKS = 1 << 16
+#: Rows of a blocked filter where the length of the list is not told, and at most: 16 MB of broadcast data.
+FILTER_BLOCKS, MOST_BLOCKS = 1 << 16, 1 << 20
 
 
 def _filter_mask(h: Column) -> Column:
@@ -47,14 +55,30 @@ def _filter_mask(h: Column) -> Column:
     return at[0].bitwiseOR(at[1]).bitwiseOR(at[2]).bitwiseOR(at[3])
 
 
-def perhaps_listed(df: DataFrame, column: str, listed: DataFrame, listed_column: str) -> DataFrame:
-    """``df`` with a boolean column ``_perhaps``: false only if the value of ``column`` is surely not listed.
+def fresh(taken: list[str], name: str) -> str:
+    """``name``, with underscores behind it until no column has it in any case."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of a table, whatever signs their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def perhaps_listed(df: DataFrame, column: str, listed: DataFrame, listed_column: str, n: int | None = None, flag: str = "_perhaps") -> DataFrame:
+    """``df`` with a boolean column ``flag``: false only if the value of ``column`` is surely not listed.
 
-    A blocked Bloom filter as a broadcast table of at most FILTER_BLOCKS rows. A longer list lets more rows through, so an
-    exact join must follow; it saves shuffling the rows that can't match. Null values are not listed.
+    A blocked Bloom filter as a broadcast table, of eight values a row for a list of ``n`` values, of MOST_BLOCKS rows at most. A longer
+    list lets more rows through, so an exact join must follow; it saves shuffling the rows that can't match. Null values are
+    not listed.
     """
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BLOCKS)).cast("int")
-    words = listed.where(F.col(listed_column).isNotNull()).groupBy(block(F.col(listed_column)).alias("_block")).agg(F.bit_or(_filter_mask(F.col(listed_column))).alias("_word"))
+    size = FILTER_BLOCKS if n is None else min(MOST_BLOCKS, max(1 << 10, 1 << (max(1, n // 8) - 1).bit_length()))
+    at, word = fresh(df.columns, "_block"), fresh(df.columns, "_word")
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(size)).cast("int")
+    words = listed.where(F.col(listed_column).isNotNull()).groupBy(block(F.col(listed_column)).alias(at)).agg(F.bit_or(_filter_mask(F.col(listed_column))).alias(word))
     mask = _filter_mask(F.col(column))
-    joined = df.join(F.broadcast(words), F.when(F.col(column).isNotNull(), block(F.col(column))) == F.col("_block"), "left")
-    return joined.withColumn("_perhaps", F.coalesce(F.col("_word").bitwiseAND(mask) == mask, F.lit(False))).drop("_block", "_word")
+    joined = df.join(F.broadcast(words), F.when(F.col(column).isNotNull(), block(F.col(column))) == F.col(at), "left")
+    return joined.withColumn(flag, F.coalesce(F.col(word).bitwiseAND(mask) == mask, F.lit(False))).drop(at, word)

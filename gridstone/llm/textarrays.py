@@ -1,12 +1,13 @@
 """Words and shingles of whole Arrow string columns as numpy arrays, without a Python object for each word.
 
-Texts are read from Arrow's own buffers, in blocks of a few MB (a longer text is a block of its own). A word's hash is a
-polynomial over its bytes modulo 2^64 with a random value for each byte, then mixed; equal words have equal hashes, and
-two different ones meet with a probability of about 2^-64.
+Texts are read from Arrow's own buffers, in blocks of a few MB (a longer text is a block of its own). A word's hash takes in
+eight bytes at a time, each followed by a bijective mixing of the whole state; words over LONG bytes are hashed by BLAKE2b.
+Equal words have equal hashes; two different ones, repetitive ones too, meet with a probability of about 2^-64.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 2 << 20
-#: Odd, so that it has an inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 
@@ -28,14 +28,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def _byte_values(fold: bool) -> np.ndarray:
-    values = mix((np.arange(256, dtype=np.uint64) + _U(1)) * _U(BASE))
-    if fold:
-        values[ord("A"):ord("Z") + 1] = values[ord("a"):ord("z") + 1]
-    return values
-
-
-VALUES, FOLDED = _byte_values(False), _byte_values(True)
+#: A-Z to a-z.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A"):ord("Z") + 1] += 32
 #: Bytes of words between ASCII white space.
 NOT_SPACE = np.ones(256, dtype=bool)
 NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
@@ -43,17 +38,10 @@ NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("p", ())) < n:
-        size = max(n, BLOCK_BYTES + (1 << 16))
-        for name, base in (("p", BASE), ("q", pow(BASE, -1, 1 << 64))):
-            x = np.full(size, base, dtype=np.uint64)
-            x[0] = 1
-            _powers[name] = np.cumprod(x, dtype=np.uint64)
-    return _powers["p"], _powers["q"]
+#: Bytes of a span from which on its hash is BLAKE2b's.
+LONG = 128
+#: The lowest 0 to 8 bytes of a 64-bit value.
+_LOWEST = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
 
 
 def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -93,18 +81,29 @@ def spans(data: np.ndarray, offs: np.ndarray, member: np.ndarray) -> tuple[np.nd
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = VALUES) -> np.ndarray:
-    p, q = _power(len(data) + 1)
-    c = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(values[data] * p[:len(data)], out=c[1:])
-    return mix((c[ends] - c[starts]) * q[starts] + (ends - starts).astype(np.uint64))
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    n = ends - starts
+    h = mix(n.astype(np.uint64) * _U(BASE))
+    live = np.flatnonzero((n > 0) & (n <= LONG))
+    for at in range(0, LONG, 8):
+        if not len(live):
+            break
+        h[live] = mix(h[live] ^ (eight[starts[live] + at] & _LOWEST[np.minimum(n[live] - at, 8)]))
+        live = live[n[live] > at + 8]
+    for i in np.flatnonzero(n > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i]:ends[i]], digest_size=8).digest(), "little")
+    return h
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its runs of ``width`` lower-cased (A-Z) words; of all its words if they are fewer."""
     for _, _, data, offs in blocks(texts):
         starts, ends, first = spans(data, offs, NOT_SPACE)
-        h = span_hashes(data, starts, ends, FOLDED)
+        h = span_hashes(LOWER[data], starts, ends)
         run = h.copy()
         for k in range(1, width):
             run[:len(h) - k] = mix(run[:len(h) - k] * _U(BASE) + h[k:])
