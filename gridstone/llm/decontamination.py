@@ -1,15 +1,14 @@
 """Benchmark decontamination: a prefix-filtered set join of item windows against texts, in DataFrame functions only.
 
 A window is ``width`` consecutive words of an item (all its words if it has fewer); its set is its shingles of up to three
-words, each with its place. Texts are read once: each of their shingles that any item holds is kept with its position, in a
-table in the shared folder. The number of these places orders the shingles by rarity. As containment must be whole, the
-prefix of a window is its rarest shingle alone; only places of that shingle become candidates. The offset in the window
-bounds the position (it must not start before the text), the window's length bounds the end. A candidate counts if the
-places of all the other shingles of its window are there, at their offsets: places are matched by the words themselves,
-so that check is exact.
-
-The shingles of the benchmark are broadcast only if they are at most ``BROADCAST_SHINGLES`` rows; beyond it the same join
-is shuffled. Joins of places split hot keys by adaptive skew handling; counts combine before they are shuffled.
+words, each with its place. A first pass over the texts counts the shingles that items hold, which orders them by rarity. As
+containment must be whole, the prefix of a window is its rarest shingle alone, and a second pass keeps the places of
+these shingles only. The offset in the window bounds the position (it must not start before the text), the window's
+length bounds the end. What is left is verified on the words: the text's words from the place on must be the window's.
+
+Texts are cut into words once, and kept as four bytes a word for the two passes; hashes bear on the candidates only. Shingles that
+are surely not asked for go before any shuffle: by a broadcast join with up to ``BROADCAST_SHINGLES`` hashes, by a blocked filter with more. Joins
+of places split hot keys by adaptive skew handling; counts combine before they are shuffled.
 """
 
 from __future__ import annotations
@@ -17,14 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridstone.llm.common import ascii_lower, written
+from gridstone.llm.common import ascii_lower, perhaps_listed, removed, written
 
 #: ASCII other than 0-9 and a-z, after lower-casing.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GRAM = 3
-#: The shingles are broadcast up to so many rows, of so many bytes on average at most: under 8 MB in all.
+#: Hashes of shingles are broadcast up to so many rows, under 4 MB in all.
 BROADCAST_SHINGLES = 100_000
-MAX_SHINGLE = 64
 
 
 def words(text: Column) -> Column:
@@ -32,10 +30,14 @@ def words(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN, -1), lambda w: w != "")
 
 
-def _grams(w: Column, size: int) -> Column:
-    """The runs of ``size`` words, joined by a space (which no word holds)."""
-    n = F.size(w) - size + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(size)]))).otherwise(F.array().cast("array<string>"))
+def _gram(hashes: list[Column]) -> Column:
+    """A shingle's hash from those of its words; their number tells its size."""
+    return F.xxhash64(F.lit(len(hashes)), *hashes)
+
+
+def _grams(hashes: Column, size: int) -> Column:
+    n = F.size(hashes) - size + 1
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: _gram([F.get(hashes, i + k) for k in range(size)]))).otherwise(F.array().cast("array<bigint>"))
 
 
 def windows(items: DataFrame, item_col: str, text_col: str, width: int) -> DataFrame:
@@ -46,48 +48,64 @@ def windows(items: DataFrame, item_col: str, text_col: str, width: int) -> DataF
     return w.groupBy(F.array_join("w", " ").alias("win"), "length", "w").agg(F.collect_set("item").alias("items"))
 
 
+def _hashes(w: Column) -> Column:
+    """Four bytes a word, which is enough to find candidates."""
+    return F.transform(w, lambda x: F.hash(x))
+
+
 def _shingles(wins: DataFrame) -> DataFrame:
-    """(win, length, offset, shingle): the words of a shingle tell its size, so texts and items meet on the words alone."""
-    size = F.least("length", F.lit(GRAM))
-    rows = wins.select("win", "length", "w", size.alias("size"), F.explode(F.sequence(F.lit(0), F.col("length") - size)).alias("offset"))
-    return rows.select("win", "length", "size", "offset", F.array_join(F.slice("w", F.col("offset") + 1, F.col("size")), " ").alias("shingle"))
+    """(win, length, size, need, offset, shingle): need is the number of shingles of the window."""
+    rows = []
+    for size in range(1, GRAM + 1):
+        fits = wins.where((F.least("length", F.lit(GRAM)) == size)).withColumn("h", _hashes(F.col("w")))
+        rows.append(fits.select("win", "length", F.lit(size).alias("size"), (F.col("length") - size + 1).alias("need"), F.posexplode(_grams(F.col("h"), size)).alias("offset", "shingle")))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def _places(hashed: DataFrame, sizes: list[int], known: DataFrame, n: int) -> DataFrame:
+    """(doc, th, n_words, pos, shingle) of the places of known shingles in the texts; ``n`` is the number of known ones."""
+    grams = [_grams(F.col("h"), k) for k in sizes]
+    if len(sizes) == 1:
+        places = hashed.select("doc", "th", "n_words", F.posexplode(grams[0]).alias("pos", "shingle"))
+    else:
+        places = hashed.select("doc", "th", "n_words", F.explode(F.array(*grams)).alias("g")).select("doc", "th", "n_words", F.posexplode("g").alias("pos", "shingle"))
+    if n <= BROADCAST_SHINGLES:
+        return places.join(F.broadcast(known), "shingle", "left_semi")
+    return perhaps_listed(places, "shingle", known, "shingle", n).where("_perhaps").drop("_perhaps").join(known.hint("merge"), "shingle", "left_semi")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 10) -> DataFrame:
-    """One row for each distinct (id, text): id, n_words, n_hit, n_items, items (sorted ids as strings), spans, contaminated.
+    """One row for each row of ``docs``: id, n_words, n_hit, n_items, items (sorted ids as strings), spans, contaminated, text_hash.
 
     ``spans`` has the hit word ranges [start, end). A null or empty text has no words and is clean. Items without words
     are ignored, items with equal texts all count, null item ids do not. A window that occurs many times in one text, or
     in overlapping places, marks each word once. Rows that repeat an id with another text are documents of their own;
-    those that repeat both are one row. Only the named columns are read. Empty tables give empty results, an empty
-    benchmark leaves every text clean.
+    of those that repeat both each gets the result. Very long texts count whole. Only the named columns are read, so names of
+    others can't clash. Empty tables give empty results, an empty benchmark leaves every text clean.
     """
     wins = written(windows(items, item_col, item_text, width))
-    parts = _shingles(wins)
+    parts = written(_shingles(wins))
     listed = parts.select("size", "shingle").distinct()
-    facts = listed.agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("shingle")).alias("bytes"), F.sort_array(F.collect_set("size")).alias("sizes")).first()
-
-    base = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("th"), words(F.col(text_col)).alias("w")).withColumn("n_words", F.size("w").cast("long"))
-    # the empty shingle marks the text itself, so that one pass gives the word counts too
-    grams = F.array(F.array(F.lit("")), *[_grams(F.col("w"), k) for k in facts.sizes or []])
-    places = base.select("doc", "th", "n_words", F.explode(grams).alias("g")).select("doc", "th", "n_words", F.posexplode("g").alias("pos", "shingle"))
-    known = listed.select("shingle").unionByName(listed.sparkSession.createDataFrame([("",)], "shingle string"))
-    if facts.n <= BROADCAST_SHINGLES and (facts.bytes or 0) * facts.n <= BROADCAST_SHINGLES * MAX_SHINGLE:
-        known = F.broadcast(known)
-    found = written(places.join(known, "shingle", "left_semi"))
-
-    texts = found.where("shingle = ''").select("doc", "th", "n_words").distinct()
-    hits = found.where("shingle != ''").select("doc", "th", "n_words", "pos", "shingle")
-    rarity = hits.groupBy("shingle").agg(F.count(F.lit(1)).alias("places"))
-    prefix = parts.join(rarity, "shingle").groupBy("win", "length").agg(F.count(F.lit(1)).alias("have"), F.min(F.struct("places", "shingle", "offset")).alias("p"), (F.first("length") - F.least(F.first("length"), F.lit(GRAM)) + 1).alias("need"))
+    facts = listed.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("size")).alias("sizes")).first()
+    sizes = facts.sizes or [GRAM]
+
+    base = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    hashed, hashed_at = written(base.select("doc", "th", _hashes(words(F.col("text"))).alias("h")).withColumn("n_words", F.size("h")), True)
+    texts = written(hashed.select("doc", "th", F.col("n_words").cast("long").alias("n_words")))
+    rarity = _places(hashed, sizes, listed.select("shingle"), facts.n).groupBy("shingle").agg(F.count(F.lit(1)).alias("places"))
+    prefix = parts.join(rarity, "shingle").groupBy("win", "length").agg(F.count(F.lit(1)).alias("have"), F.first("need").alias("need"), F.min(F.struct("places", "shingle", "offset")).alias("p"))
     # a window with a shingle that no text holds can't occur
-    prefix = prefix.where("have = need").select("win", "length", "need", F.col("p.shingle").alias("shingle"), F.col("p.offset").alias("offset"))
-    cand = (hits.join(prefix, "shingle").withColumn("start", F.col("pos") - F.col("offset"))
-            .where("start >= 0 and start + length <= n_words").select("doc", "th", "start", "win", "length", "need").distinct())
-    need = cand.join(parts.select("win", "offset", "shingle"), "win").select("doc", "th", "start", "win", "length", "need", (F.col("start") + F.col("offset")).alias("pos"), "shingle")
-    same = need.doc.eqNullSafe(hits.doc) & (need.th.eqNullSafe(hits.th)) & (need.pos == hits.pos) & (need.shingle == hits.shingle)
-    occur = (need.join(hits, same, "left_semi").groupBy("doc", "th", "start", "win", "length", "need").count().where("count = need").select("doc", "th", "start", "win", "length"))
-    occur = written(occur)
+    prefix = written(prefix.where("have = need").select("length", F.col("p.shingle").alias("shingle"), F.col("p.offset").alias("offset")).distinct())
+    known = prefix.select("shingle").distinct()
+    starts = (_places(hashed, sizes, known, known.count()).join(prefix, "shingle").withColumn("start", F.col("pos") - F.col("offset"))
+              .where("start >= 0 and start + length <= n_words").groupBy("doc", "th").agg(F.collect_set(F.struct("start", "length")).alias("starts")))
+    starts = written(starts.withColumnsRenamed({"doc": "_d", "th": "_t"}))
+    removed(docs.sparkSession, hashed_at)
+    # the places of a text are at most its words times the lengths of windows, so they are gathered beside it
+    held = perhaps_listed(base, "th", starts, "_t").where("_perhaps").dropDuplicates(["doc", "th"]).join(starts.hint("merge"), F.col("doc").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")))
+    held = held.select("doc", "th", words(F.col("text")).alias("w"), "starts")
+    found = held.select("doc", "th", F.explode(F.transform("starts", lambda s: F.struct(s.start.alias("start"), s.length.alias("length"), F.array_join(F.slice("w", s.start + 1, s.length), " ").alias("win")))).alias("s"))
+    occur = written(found.select("doc", "th", "s.*").join(wins.select("win"), "win"))
 
     of_doc = Window.partitionBy("doc", "th").orderBy("start", "length")
     seen = F.coalesce(F.max(F.col("start") + F.col("length")).over(of_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
