@@ -6,17 +6,21 @@ projected gradient descent to the least squares of expected domain tokens agains
 
     minimise  sum_k (Z_k - T_k)^2 / m_k,   Z_k = sum_i r_i * tokens_i * p_ik,   m_k = sum_i tokens_i * p_ik^2,
 
-starting from 1, with steps scaled by each text's tokens. A step moves a text's rate by its posteriors times K numbers, so
+starting from 1, with steps scaled by each text's tokens and by the inverse Gram matrix of the posteriors of texts over the
+floor, halved when the loss grows. A step moves a text's rate by its posteriors times K numbers, so
 after any number of steps a rate is a fold over those numbers: each round is one aggregate over texts grouped by posterior,
 with no table of rates to update and no growing lineage. Posteriors are whole thousandths and sums are whole numbers, so a
 rerun task gives the same bits. Copies of a text are the whole part of its rate, and one more with the chance of the rest,
 decided by a hash of its id and text.
 
-At most ``max_rows`` labelled rows of each domain, those with the least hash of the id, are collected for training.
+Training takes at most ``max_rows`` labelled ids of each domain, those with the least hash of the id; their whole texts are
+counted on the executors, and only counts by domain and bucket reach the driver. The rounds end when the targets are met, or
+when a round no longer lessens the misses, as targets out of reach of rates over the floor show; the miss is told.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridstone.llm.common import written
-from gridstone.llm.textarrays import ALNUM, FOLDED, NOT_SPACE, blocks, span_hashes, spans
+from gridstone.llm.common import columns, written
+from gridstone.llm.textarrays import ALNUM, LOWER, NOT_SPACE, blocks, span_hashes, spans
 
 BUCKETS, EVIDENCE, MAX_ROWS = 1 << 15, 20, 1000
-TRAIN_BYTES = 20_000
-ROUNDS, CLOSE = 60, 1e-4
+#: A share of all tokens that a miss may be; rounds in a row that lessen the loss by under a hundredth; a guard against endless rounds.
+CLOSE, PATIENCE, ROUNDS = 1e-4, 5, 1000
 SCALE = 1000
 
 
@@ -39,18 +43,24 @@ def _words(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
     for lo, hi, data, offs in blocks(texts):
         a, b, first = spans(data, offs, ALNUM)
         _, _, tokens = spans(data, offs, NOT_SPACE)
-        h = span_hashes(data, a, b, FOLDED) if len(a) else np.zeros(0, np.uint64)
+        h = span_hashes(LOWER[data], a, b) if len(a) else np.zeros(0, np.uint64)
         yield lo, hi, (h >> np.uint64(49)).astype(np.int64), first, np.diff(tokens)
 
 
-def train(texts: list[str | None], domains: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def count_words(texts: pa.Array, domains: np.ndarray, k: int) -> np.ndarray:
+    """Words by bucket and domain (BUCKETS + 1 x domains); the last row has the numbers of texts."""
+    counts = np.zeros((BUCKETS + 1, k), np.int64)
+    for lo, hi, words, first, _ in _words(texts):
+        owner = np.repeat(domains[lo:hi], np.diff(first))
+        counts[:BUCKETS] += np.bincount(words[first[0]:first[-1]] * k + owner, minlength=BUCKETS * k).reshape(BUCKETS, k)
+    counts[BUCKETS] = np.bincount(domains, minlength=k)
+    return counts
+
+
+def train(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log-likelihoods (buckets x domains) with add-one smoothing, and log priors."""
-    counts, prior = np.ones((BUCKETS, k)), np.ones(k)
-    for lo, hi, words, first, _ in _words(pa.array(texts, pa.string())):
-        for i in range(lo, hi):
-            np.add.at(counts[:, domains[i]], words[first[i - lo]:first[i - lo + 1]], 1.0)
-            prior[domains[i]] += 1
-    return np.log(counts / counts.sum(axis=0)), np.log(prior / prior.sum())
+    smooth = counts + 1.0
+    return np.log(smooth[:-1] / smooth[:-1].sum(axis=0)), np.log(smooth[-1] / smooth[-1].sum())
 
 
 def posteriors(texts: pa.Array, model: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -80,9 +90,21 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], id_col:
     for d in domains:
         some = known.where(F.col("_d") == d).orderBy(*order).limit(max_rows)
         picked = some if picked is None else picked.unionByName(some)
-    rows = docs.select(F.col(id_col).alias("_id"), F.substring(F.col(text_col), 1, TRAIN_BYTES).alias("_text")).join(F.broadcast(picked), "_id").toPandas()
-    rows = rows.sort_values(["_id", "_text"], kind="stable")
-    return train(rows["_text"].tolist(), np.array([domains.index(d) for d in rows["_d"]], np.int64), len(domains))
+    number = F.create_map(*[x for i, d in enumerate(domains) for x in (F.lit(d), F.lit(i))])
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id").select("_text", number[F.col("_d")].alias("_k"))
+    k = len(domains)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((BUCKETS + 1, k), np.int64)
+        for b in batches:
+            total += count_words(b.column(0), b.column(1).to_numpy(), k)
+        at, d = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(d), pa.array(total[at, d])], ["bucket", "domain", "n"])
+
+    found = rows.mapInArrow(run, "bucket long, domain long, n long").groupBy("bucket", "domain").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros((BUCKETS + 1, k))
+    counts[found["bucket"].to_numpy(int), found["domain"].to_numpy(int)] = found["n"].to_numpy(float)
+    return train(counts)
 
 
 def _rate(p: Column, moves: list[list[float]], floor: float) -> Column:
@@ -94,54 +116,80 @@ def _rate(p: Column, moves: list[list[float]], floor: float) -> Column:
     return F.aggregate(steps, F.lit(1.0).cast("double"), lambda r, m: F.greatest(F.lit(float(floor)), r - dot(m)))
 
 
-def fit_rates(groups: DataFrame, weights: list[float], floor: float = 0.0, total: float | None = None) -> list[list[float]]:
-    """Moves of the rounds. ``groups`` has p (thousandths), tokens. total: of expected tokens; None: as many as there are, or,
-    with a floor of 1, the least that rates of 1 and more can meet."""
+def fit_rates(groups: DataFrame, weights: list[float], floor: float = 0.0, total: float | None = None) -> tuple[list[list[float]], float]:
+    """Moves of the rounds, and the largest miss of a target as a share of the total. ``groups`` has p (thousandths), tokens.
+
+    total: of expected tokens; None: as many as there are, or, with a floor of 1, the least that rates of 1 and more can meet."""
     k = len(weights)
     share = np.array(weights, float) / sum(weights)
     part = lambda i: F.get("p", F.lit(i))
-    first = groups.agg(*[F.sum(part(i) * F.col("tokens")).alias(f"z{i}") for i in range(k)], *[F.sum(F.shiftright(part(i) * part(i) * F.col("tokens"), 10)).alias(f"m{i}") for i in range(k)]).first()
-    z = np.array([(first[f"z{i}"] or 0) / SCALE for i in range(k)])
-    m = np.array([max(1.0, (first[f"m{i}"] or 0) / SCALE ** 2 * 1024) for i in range(k)])
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def sums(moves: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+        """Expected tokens, and the Gram matrix of the texts whose rates are over the floor, in one pass."""
+        held = groups.select("p", "tokens", _rate(F.col("p"), moves, floor).alias("r"))
+        free = F.when((F.col("r") > floor) | F.lit(not moves), F.col("tokens")).otherwise(0)
+        row = held.agg(*[F.sum(F.round(F.col("r") * part(i) * F.col("tokens")).cast("long")) for i in range(k)], *[F.sum(F.shiftright(part(i) * part(j) * free, 10)) for i, j in pairs]).first()
+        z, g = np.array([(x or 0) / SCALE for x in row[:k]]), np.zeros((k, k))
+        for (i, j), x in zip(pairs, row[k:]):
+            g[i, j] = g[j, i] = (x or 0) / SCALE ** 2 * 1024
+        return z, g
+
+    z, g = sums([])
+    m = np.maximum(1.0, g.diagonal())
     if total is None:
         total = float(z.sum()) if floor < 1 else float((z / np.maximum(share, 1e-12)).max())
-    goal, moves = share * total, []
-    for _ in range(ROUNDS):
-        gap = z - goal
-        if abs(gap).max() <= CLOSE * max(total, 1.0):
-            break
-        moves.append((0.9 * gap / m / 1.5).tolist())
-        r = _rate(F.col("p"), moves, floor)
-        row = groups.select("p", "tokens", r.alias("r")).agg(*[F.sum(F.round(F.col("r") * part(i) * F.col("tokens")).cast("long")).alias(f"z{i}") for i in range(k)]).first()
-        z = np.array([(row[f"z{i}"] or 0) / SCALE for i in range(k)])
-    return moves
-
-
-def mix_sources(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], weights: list[float], id_col: str = "doc_id", text_col: str = "text", floor: float = 0.0, total: float | None = None, keep: bool = True) -> DataFrame:
+    goal, moves, step, stuck = share * total, [], 1.0, 0
+    loss = lambda z: float(((z - goal) ** 2 / m).sum())
+    while len(moves) < ROUNDS and stuck < PATIENCE and abs(z - goal).max() > CLOSE * max(total, 1.0):
+        # a scaled gradient step: the metric is the Gram matrix of the free texts
+        move = step * np.linalg.solve(g + np.diag(1e-3 * m), z - goal)
+        new_z, new_g = sums([*moves, move.tolist()])
+        stuck = stuck + 1 if loss(new_z) > 0.99 * loss(z) else 0
+        if loss(new_z) > loss(z):
+            step /= 2
+            continue
+        moves.append(move.tolist())
+        z, g, step = new_z, new_g, min(1.0, 1.5 * step)
+    miss = float(abs(z - goal).max() / max(total, 1.0))
+    if miss > 10 * CLOSE:
+        warnings.warn(f"targets are missed by {miss:.2%} of all tokens after {len(moves)} rounds", stacklevel=2)
+    return moves, miss
+
+
+#: Columns that mix_sources adds.
+ADDED = ("n_tokens", "posterior", "rate", "copies")
+
+
+def mix_sources(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], weights: list[float], id_col: str = "doc_id", text_col: str = "text", floor: float = 0.0, total: float | None = None, keep: bool = True,
+                names: dict[str, str] | None = None, told: dict | None = None) -> DataFrame:
     """Each row of ``docs`` (only its id unless ``keep``) with n_tokens, posterior (thousandths), rate and copies.
 
     ``weights`` are the targets' shares of expected tokens, in the order of the model's domains. A null or empty text has
-    no tokens, the labelled table's prior as its posterior and the rate that follows from it. Repeated rows get the same rate
-    and copies. An empty table gives no rows. Columns of ``docs`` named as the new ones are replaced.
+    no tokens, the labelled table's prior as its posterior and the rate that follows from it. Ids, null ones too, bear on the
+    chance of a further copy only, so repeated rows get the same rate and copies. Very long texts count whole. An empty table gives no rows. ``names``: other names
+    of the added columns; columns of ``docs`` that have such a name are replaced. ``told`` gets the miss.
     """
-    new = ("n_tokens", "posterior", "rate", "copies")
-    kept = [f for f in docs.schema.fields if f.name not in new and (keep or f.name in (id_col, text_col))]
-    names = [f.name for f in kept]
-    schema = T.StructType([*kept, T.StructField("n_tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.LongType())), T.StructField("_u", T.DoubleType())])
-    k = len(weights)
-    at = names.index(text_col)
+    new = {n: (names or {}).get(n, n) for n in (*ADDED, "chance")}
+    taken = {n.lower() for n in new.values()}
+    held = [(c, f) for c, f in zip(columns(docs), docs.schema.fields) if f.name.lower() not in taken and (keep or f.name in (id_col, text_col))]
+    kept = [f for _, f in held]
+    at, k = [f.name for f in kept].index(text_col), len(weights)
+    schema = T.StructType([*kept, T.StructField(new["n_tokens"], T.LongType()), T.StructField(new["posterior"], T.ArrayType(T.LongType())), T.StructField(new["chance"], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p, n = posteriors(b.column(at), model)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * k + 1, k, dtype=np.int32)), pa.array(p.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n), lists, b.column(len(names))], schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n), lists, b.column(len(kept))], schema.names)
 
     chance = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("mix")), 11) / F.lit(float(1 << 53))
-    described = docs.select(*names, chance.alias("_u")).mapInArrow(run, schema)
+    described = docs.select(*[c for c, _ in held], chance.alias(new["chance"])).mapInArrow(run, schema)
     described = written(described if keep else described.drop(text_col))
-    groups = written(described.groupBy(F.col("posterior").alias("p")).agg(F.sum("n_tokens").alias("tokens")))
-    moves = fit_rates(groups, weights, floor, total)
-    rate = F.round(_rate(F.col("posterior"), moves, floor), 9)
-    out = described.withColumn("rate", rate).withColumn("copies", (F.floor("rate") + (F.col("_u") < F.col("rate") - F.floor("rate")).cast("int")).cast("long"))
-    return out.drop("_u")
+    groups = written(described.groupBy(F.col(new["posterior"]).alias("p")).agg(F.sum(new["n_tokens"]).alias("tokens")))
+    moves, miss = fit_rates(groups, weights, floor, total)
+    if told is not None:
+        told["miss"] = miss
+    rate, u = F.col(new["rate"]), F.col(new["chance"])
+    out = described.withColumn(new["rate"], F.round(_rate(F.col(new["posterior"]), moves, floor), 9))
+    return out.withColumn(new["copies"], (F.floor(rate) + (u < rate - F.floor(rate)).cast("int")).cast("long")).drop(new["chance"])

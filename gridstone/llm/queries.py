@@ -121,8 +121,9 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id").join(docs.select("doc_id", F.col("lang").alias("domain")), "doc_id")
     domains = list(MIX_TARGETS)
-    mixed = mix_sources(docs.select("doc_id", "text"), fit_domains(docs, labels, domains), list(MIX_TARGETS.values()), keep=False)
-    return mixed.select("doc_id", "n_tokens", *[F.get("posterior", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(domains)], "rate", "copies")
+    told: dict = {}
+    mixed = mix_sources(docs.select("doc_id", "text"), fit_domains(docs, labels, domains), list(MIX_TARGETS.values()), keep=False, told=told)
+    return mixed.select("doc_id", "n_tokens", *[F.get("posterior", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(domains)], "rate", "copies", F.lit(told["miss"]).alias("miss"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +153,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents"), width=3, threshold=0.9)
+    return jaccard_join(table(spark, sf_dir, "documents"), width=3, threshold=0.9).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
