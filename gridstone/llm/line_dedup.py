@@ -1,12 +1,16 @@
 """Line dedup: winnowing over line hashes, in DataFrame functions only.
 
 The units are the lines of a text that hold a word. A window is the shortest run of units from a line on (or back from a
-line) that holds ``min_words`` words. Of each window the line with the least hash is selected; as a repeated run of
-``min_words`` words holds whole windows, both of its places select the same line, so these minima are guaranteed
-fingerprints. Fingerprints meet on their hash; one that has no second place rules its windows out. From the rest, matches
-are extended both ways to the whole window, and windows meet on their content. Every window but the first of a content
-(by doc_id, text hash, line) marks its lines. The forward and backward windows inside a repeated run cover the whole run,
-so exactly the lines of later repeated runs of ``min_words`` words or more go.
+line) that holds ``min_words`` words.
+
+1. Of each window the place of the line with the least hash is selected, the first of equal ones. As a repeated run of ``min_words`` words holds
+   whole windows, both of its places select the same lines, so these minima are guaranteed fingerprints.
+2. Fingerprints, one for each place however many windows select it, are joined on their hash. One that has no second
+   place goes, and its windows with it: no content is looked at before that.
+3. Around each place that is left, the match is extended both ways, line by line, to the ends of the windows that selected it,
+   on the lines of the texts that hold one. Windows match if all their lines do, by two hashes of 64 bits.
+4. Every window but the first of a content (by doc_id, text hash, line) marks its lines. The forward and backward windows
+   inside a repeated run cover the whole run, so exactly the lines of later repeated runs of ``min_words`` words or more go.
 
 All of it is linear in the lines: no pair of places is ever formed, so a line that a third of the texts hold costs no
 more than others. Counts by hash combine before they are shuffled.
@@ -14,44 +18,56 @@ more than others. Counts by hash combine before they are shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridstone.llm.common import written
+from gridstone.llm.common import perhaps_listed, written
 
 #: Words are runs without ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def _units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, th, pos, h1, h2, words) for each line with a word; rows that repeat an id and a text count once."""
-    lines = (docs.where(F.col(text_col).isNotNull())
-             .select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "line"))
-             .withColumn("line", F.regexp_replace("line", rf"^{SPACE}|{SPACE}$", ""))
-             .where("line != ''")
-             .select("doc", "th", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("2"), "line").alias("h2"),
-                     (F.regexp_count("line", F.lit(SPACE)) + 1).cast("long").alias("words")))
-    return lines.repartition("doc", "th").dropDuplicates(["doc", "th", "pos"])
+def _lines(text: Column) -> Column:
+    """(pos, line) of the lines with a word, in order, without white space around them."""
+    lines = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("pos"), F.regexp_replace(x, rf"^{SPACE}|{SPACE}$", "").alias("line")))
+    return F.filter(lines, lambda u: u.line != "")
+
+
+def _windows(base: DataFrame, min_words: int) -> DataFrame:
+    """(doc, th, first, last, at, mark): units of each window, and place and hash of its least line; units count from 0."""
+    units = base.select("doc", "th", F.posexplode(F.transform(_lines(F.col("text")), lambda u: F.struct(F.xxhash64(u.line).alias("h"), (F.regexp_count(u.line, F.lit(SPACE)) + 1).alias("words")))).alias("unit", "u"))
+    units = units.select("doc", "th", "unit", "u.h", F.col("u.words").cast("long").alias("words")).repartition("doc", "th").dropDuplicates(["doc", "th", "unit"])  # rows that repeat an id and a text count once
+    of_doc = Window.partitionBy("doc", "th")
+    units = units.withColumn("through", F.sum("words").over(of_doc.orderBy("unit").rowsBetween(Window.unboundedPreceding, 0)))
+    units = units.withColumn("before", F.col("through") - F.col("words"))
+    windows = [F.struct(F.min("unit").over(frame).alias("first"), F.max("unit").over(frame).alias("last"), F.sum("words").over(frame).alias("words"), F.min(F.struct("h", "unit")).over(frame).alias("least"))
+               for frame in (of_doc.orderBy("before").rangeBetween(0, min_words - 1), of_doc.orderBy("through").rangeBetween(-(min_words - 1), 0))]
+    found = units.select("doc", "th", windows[0].alias("ahead"), windows[1].alias("back")).select("doc", "th", F.explode(F.array("ahead", "back")).alias("w")).where(F.col("w.words") >= min_words)
+    return found.select("doc", "th", "w.first", "w.last", F.col("w.least.unit").alias("at"), F.col("w.least.h").alias("mark"))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
     """(doc, th, pos): lines of later repeated runs; th is xxhash64 of the text."""
-    of_doc = Window.partitionBy("doc", "th")
-    units = _units(docs, id_col, text_col).withColumn("before", F.sum("words").over(of_doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words"))
-    units = units.withColumn("through", F.col("before") + F.col("words"))
-    windows = []
-    for frame in (of_doc.orderBy("before").rangeBetween(0, min_words - 1), of_doc.orderBy("through").rangeBetween(-(min_words - 1), 0)):
-        windows.append(F.struct(F.min("pos").over(frame).alias("first"), F.max("pos").over(frame).alias("last"), F.sum("words").over(frame).alias("words"),
-                                F.min("h1").over(frame).alias("mark"),
-                                F.xxhash64(F.collect_list("h1").over(frame)).alias("k1"), F.xxhash64(F.collect_list("h2").over(frame)).alias("k2")))
-    found = units.select("doc", "th", windows[0].alias("ahead"), windows[1].alias("back"))
-    found = found.select("doc", "th", F.explode(F.array("ahead", "back")).alias("w")).select("doc", "th", "w.*").where(F.col("words") >= min_words)
-    found = written(found.drop("words").dropDuplicates(["doc", "th", "first", "last"]))
-
-    marks = found.groupBy("mark").agg(F.min(F.struct("doc", "th", "first", "last")).alias("a"), F.max(F.struct("doc", "th", "first", "last")).alias("b")).where("a != b").select("mark")
-    alive = found.join(marks, "mark", "left_semi")
-    firsts = (alive.groupBy("k1", "k2").agg(F.min(F.struct("doc", "th", "first")).alias("origin"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    later = alive.join(firsts, ["k1", "k2"]).where(~F.struct("doc", "th", "first").eqNullSafe(F.col("origin")))
+    base = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    windows = written(_windows(base, min_words).distinct())
+
+    prints = windows.select("doc", "th", "at", "mark").distinct()
+    place = F.struct("doc", "th", "at")
+    met = prints.groupBy("mark").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("mark")
+    alive = windows.join(met, "mark", "left_semi").groupBy(F.col("doc").alias("_d"), F.col("th").alias("_t")).agg(F.collect_set(F.struct("first", "last")).alias("windows"))
+    alive = written(alive)
+
+    # a text's windows are at most twice its lines, so they are gathered beside it
+    held = perhaps_listed(base, "th", alive, "_t").where("_perhaps").dropDuplicates(["doc", "th"]).join(alive.hint("merge"), F.col("doc").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")))
+    units = F.transform(_lines(F.col("text")), lambda u: F.struct(u.pos.alias("pos"), F.xxhash64(u.line).alias("h"), F.xxhash64(F.lit("2"), u.line).alias("g")))
+    held = held.select("doc", "th", "windows", units.alias("units"))
+    run = lambda w: F.slice("units", w["first"] + 1, w["last"] - w["first"] + 1)
+    content = F.transform("windows", lambda w: F.struct(F.get("units", w["first"]).pos.alias("first"), F.get("units", w["last"]).pos.alias("last"), F.xxhash64(run(w).h).alias("k1"), F.xxhash64(run(w).g).alias("k2")))
+    matched = written(held.select("doc", "th", F.explode(content).alias("w")).select("doc", "th", "w.*"))
+
+    origin = F.struct("doc", "th", "first")
+    firsts = matched.groupBy("k1", "k2").agg(F.min(origin).alias("origin"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = matched.join(firsts, ["k1", "k2"]).where(~origin.eqNullSafe(F.col("origin")))
     return later.select("doc", "th", F.explode(F.sequence("first", "last")).alias("pos")).distinct()
 
 
