@@ -2,17 +2,18 @@
 
 Units are tokens reduced to their letters (look-alike digits and signs read as letters, other signs dropped), runs of lone
 letters joined, in windows of at most 12 letters. The kernel of two units sums, over all subsequences of three letters that
-both hold, LAMBDA to the power of both spans; a gapped or stuffed insult keeps most of its subsequences. Kernel values are
-scaled by a function of the units' lengths, which keeps the kernel positive semidefinite.
+both hold, LAMBDA to the power of both spans; a gapped or stuffed insult keeps most of its
+subsequences. Kernel values are scaled by a function of the units' lengths, which keeps the kernel positive semidefinite.
 
-Training sees sentences of labelled texts as bags of units: all units of a clean text are clean, a toxic text has at least
-one toxic unit. Positives start from letter 4-grams that toxic texts hold and clean ones don't, and are chosen anew by the
+Training sees labelled texts as bags of units: all units of a clean text are clean, a toxic text has at
+least one toxic unit. Positives start from letter 4-grams that toxic texts hold and clean ones don't, and are chosen anew by the
 machine in each round, as are hard negatives. Landmarks are units of either side; the machine is linear in the Nyström
 features. As its decision is a weighted sum of kernel values to the landmarks, it folds exactly into one weight for each
 subsequence (32,768 numbers), so scoring a unit costs no kernel evaluation. A text's score is the logistic of its highest unit.
 
-At most ``max_rows`` labelled rows of each class are collected for training, those with the least hash of the id; every
-text is scored whole.
+Training takes at most ``max_rows`` labelled rows of each class, those with the least hash of the id; their whole texts are
+reduced to distinct units on the executors. A round of training takes TRAIN_UNITS positives at most, those of the most texts, and as
+many of the hardest and of randomly drawn negatives. Every text is scored whole.
 """
 
 from __future__ import annotations
@@ -23,17 +24,27 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridstone.llm.common import columns
 from gridstone.llm.textarrays import NOT_SPACE, blocks, spans
 
 LAMBDA, LETTERS, STRIDE = 0.7, 12, 4
 LANDMARKS = 240
-MAX_ROWS = 3000
-#: Longest bytes of a training text that its bag is made of; scoring has no such bound.
-BAG_BYTES = 40_000
+#: Labelled rows of a class that training takes at most; units of a side that a round of training takes at most.
+MAX_ROWS, TRAIN_UNITS = 3000, 2500
+#: Weight of the squared norm beside losses that weigh 1,000 in all.
+PENALTY = 1e-3
+#: Log odds from which on a unit is a seed.
+SEED_ODDS = 2.0
+#: A clean text over the threshold counts as so many toxic ones under it, as shares of their classes.
+ALARM = 20
+
+#: Where a cut lies between two values.
+CUT = 0.4
 
 #: Byte to letter: 1-26 for a-z, 27-31 for bytes beyond ASCII, 0 for what is dropped.
 LETTER = np.zeros(256, np.uint8)
@@ -120,20 +131,28 @@ def phi(packed: np.ndarray) -> np.ndarray:
 def kernel(packed: np.ndarray, marks: np.ndarray) -> np.ndarray:
     """Kernel values of units and landmarks, the latter as features."""
     c, n = unpacked(packed)
-    out = np.zeros((len(packed), len(marks)))
+    out = np.zeros((len(packed), len(marks)), np.float32)
     columns = np.ascontiguousarray(marks.T, dtype=np.float32)
     for k in np.unique(n):
         at = np.flatnonzero(n == k)
-        for w, u in zip(_WEIGHT[k] / _NORM[k], _features(c[at], k)):
-            out[at] += w * columns[u]
+        weight = (_WEIGHT[k] / _NORM[k]).astype(np.float32)
+        for lo in range(0, len(at), 500):  # what is summed stays in the cache
+            part = at[lo:lo + 500]
+            held = np.zeros((len(part), len(marks)), np.float32)
+            row = np.empty_like(held)
+            for w, u in zip(weight, _features(c[part], k)):
+                np.take(columns, u, axis=0, out=row)
+                row *= w
+                held += row
+            out[part] = held
     return out
 
 
-def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3, steps: int = 400) -> np.ndarray:
+def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = PENALTY, steps: int = 400) -> np.ndarray:
     """Linear machine with squared hinge loss by accelerated gradient descent; the last weight is the bias."""
     x = np.hstack([x, np.ones((len(x), 1))])
     v = z = np.zeros(x.shape[1])
-    rate = 1.0 / (2 * np.linalg.norm(x * np.sqrt(weight)[:, None], 2) ** 2 + penalty)
+    rate = 1.0 / (2 * np.linalg.eigvalsh(x.T @ (x * weight[:, None]))[-1] + penalty)
     for i in range(steps):
         gap = np.maximum(0, 1 - y * (x @ z))
         g = -2 * (x.T @ (weight * y * gap)) + penalty * np.append(z[:-1], 0)
@@ -149,24 +168,8 @@ def _bag_top(score: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return top
 
 
-def train(texts: list[str | None], labels: np.ndarray, rounds: int = 3) -> tuple[np.ndarray, float, float]:
-    """Weights of the subsequences and the bias, then slope and offset of the logistic. One class only: a constant score."""
-    labels = np.asarray(labels)
-    weights, rng = np.zeros((1 << 15) + 1), np.random.default_rng(4)
-    if not len(labels) or labels.min() == labels.max():
-        share = float(labels.mean()) if len(labels) else 0.0
-        return weights, 0.0, 6.0 * (2 * share - 1)
-    packed, owner, base = [], [], 0
-    array = pa.array([(t or "").encode()[:BAG_BYTES].decode(errors="ignore") for t in texts], pa.string())
-    for lo, hi, data, offs in blocks(array):
-        u, o = units(data, offs)
-        packed.append(u)
-        owner.append(o + lo)
-    packed, owner = np.concatenate(packed), np.concatenate(owner)
-    kinds, at = np.unique(packed, return_inverse=True)
-    owner, at = np.divmod(np.unique(owner * len(kinds) + at), max(1, len(kinds)))
-    toxic = labels[owner] > 0
-
+def _odds(kinds: np.ndarray, at: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds of the letter 4-gram of each unit that tells toxic texts best, and a lower bound of it that few texts can't make large."""
     grams = [((kinds >> np.uint64(5 * i)) & np.uint64(0xFFFFF)).astype(np.int32) for i in range(LETTERS - 3)]
     whole = [g >> 15 > 0 for g in grams]
     t_df, c_df = np.zeros(1 << 20, np.int64), np.zeros(1 << 20, np.int64)
@@ -177,29 +180,68 @@ def train(texts: list[str | None], labels: np.ndarray, rounds: int = 3) -> tuple
         sick = labels[seen >> 20] > 0
         np.add.at(t_df, seen[sick] & 0xFFFFF, 1)
         np.add.at(c_df, seen[~sick] & 0xFFFFF, 1)
-    n_t, n_c = int((labels > 0).sum()), int((labels == 0).sum())
-    odds = np.where(t_df >= max(2, n_t // 300), np.log((t_df + 0.5) / (n_t + 1)) - np.log((c_df + 0.5) / (n_c + 1)), -9.0)
-    odds += 0.3 * np.log1p(t_df)
-    first = np.full(len(kinds), -9.0)
+    n_t, n_c = (labels > 0).sum(), (labels == 0).sum()
+    odds = np.log((t_df + 0.5) / (n_t + 1)) - np.log((c_df + 0.5) / (n_c + 1))
+    sure = odds - 1.64 * np.sqrt(1 / (t_df + 0.5) + 1 / (c_df + 0.5))
+    odds = np.where(t_df >= max(2, n_t // 300), odds, -9.0) + 0.3 * np.log1p(t_df)
+    out = [np.full(len(kinds), -9.0), np.full(len(kinds), -9.0)]
     for g, ok in zip(grams, whole):
-        first = np.where(ok, np.maximum(first, odds[g]), first)
+        out = [np.where(ok, np.maximum(best, x[g]), best) for best, x in zip(out, (odds, sure))]
+    return out[0], out[1]
+
 
+def train(packed: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Weights of the subsequences and the bias, then slope and offset of the logistic. One class only: a constant score.
+
+    ``packed`` has the units of all texts, ``owner`` the text that each is of, in ascending order. Every fourth text is held
+    back first: of a machine that chooses its positives anew and one that takes sure units only, the one that tells these texts better is
+    trained on all texts, and the logistic is the one fitted to the texts held back."""
+    labels = np.asarray(labels)
+    if not len(labels) or labels.min() == labels.max():
+        share = float(labels.mean()) if len(labels) else 0.0
+        return np.zeros((1 << 15) + 1), 0.0, 6.0 * (2 * share - 1)
+    back = np.zeros(len(labels), bool)
+    for y in (0, 1):
+        back[np.flatnonzero(labels == y)[3::4]] = True
+    if back.sum() in (0, labels[back].sum(), (labels[back] == 0).sum()) or not labels[~back].any():  # too few of a class
+        weights = machine(packed, owner, labels, True)
+        kinds, at = np.unique(packed, return_inverse=True)
+        return weights, *_logistic(_bag_top(decide(kinds, weights)[at], owner, len(labels)), labels)[1:]
+    seen = ~back[owner]
+    kinds, at = np.unique(packed[~seen], return_inverse=True)
+    found = []
+    for sure in (False, True):
+        weights = machine(packed[seen], (np.cumsum(~back) - 1)[owner[seen]], labels[~back], sure)
+        top = _bag_top(decide(kinds, weights)[at], (np.cumsum(back) - 1)[owner[~seen]], int(back.sum()))
+        found.append((*_logistic(top, labels[back]), sure))
+    _, a, b, sure = max(found, key=lambda x: x[0])
+    return machine(packed, owner, labels, sure), a, b
+
+
+def machine(packed: np.ndarray, owner: np.ndarray, labels: np.ndarray, only_sure: bool, rounds: int = 3) -> np.ndarray:
+    """Weights of the subsequences and the bias. ``only_sure``: the positives are the units that several toxic texts and hardly any clean ones hold, and no others."""
+    weights, rng = np.zeros((1 << 15) + 1), np.random.default_rng(4)
+    kinds, at = np.unique(packed, return_inverse=True)
+    owner, at = np.divmod(np.unique(owner.astype(np.int64) * len(kinds) + at), max(1, len(kinds)))
+    toxic = labels[owner] > 0
+    n_t, n_c = int((labels > 0).sum()), int((labels == 0).sum())
+    t_df, c_df = np.bincount(at[toxic], minlength=len(kinds)), np.bincount(at[~toxic], minlength=len(kinds))
+    first, sure = _odds(kinds, at, owner, labels)
+    seeds = np.flatnonzero(only_sure & (t_df >= max(2, n_t // 100)) & (t_df * n_c > 20 * c_df * n_t) & (sure > SEED_ODDS))
+    clean_kinds = np.flatnonzero(c_df)
     score = first
-    clean_kinds = np.unique(at[~toxic])
     for r in range(rounds):
         s = score[at]
         top = _bag_top(s, owner, len(labels))
         chosen = toxic & ((s >= top[owner] - 1.0) & (s > 0.5) if r == 0 else (s >= np.minimum(top[owner], 0.9)) & (s > -0.9))
-        pos, times = np.unique(at[chosen], return_counts=True)
-        pos = pos[np.argsort(-times, kind="stable")][:2500]
-        pos = pos[~np.isin(pos, clean_kinds)] if r == 0 else pos
-        hard = clean_kinds[np.argsort(-score[clean_kinds], kind="stable")][:2500]
-        neg = np.union1d(hard, rng.choice(clean_kinds, min(2500, len(clean_kinds)), replace=False)) if len(clean_kinds) else clean_kinds
-        pos = np.setdiff1d(pos, neg) if r == 0 else pos[~np.isin(pos, hard[:200])]
+        pos = seeds if only_sure and len(seeds) else np.unique(at[chosen])
+        hard = np.setdiff1d(clean_kinds, seeds, assume_unique=True)
+        hard = hard[np.argsort(-score[hard], kind="stable")][:TRAIN_UNITS]
+        neg = np.setdiff1d(np.union1d(hard, rng.choice(clean_kinds, min(TRAIN_UNITS, len(clean_kinds)), replace=False)), seeds) if len(clean_kinds) else clean_kinds
+        pos = np.setdiff1d(pos, neg if r == 0 else hard[:200])
+        pos = pos[np.argsort(-t_df[pos], kind="stable")][:TRAIN_UNITS]
         if not len(pos) or not len(neg):
             break
-        rank = {k: i for i, k in enumerate(np.unique(at[chosen])[np.argsort(-times, kind="stable")].tolist())}
-        pos = np.array(sorted(pos.tolist(), key=lambda k: rank.get(k, 1 << 30)))
         marks = np.concatenate([pos[:LANDMARKS // 2], hard[:LANDMARKS // 4], rng.choice(neg, min(LANDMARKS // 4, len(neg)), replace=False)])
         feats = phi(kinds[np.unique(marks)])
         values, vectors = np.linalg.eigh((feats @ feats.T).astype(float))
@@ -211,23 +253,34 @@ def train(texts: list[str | None], labels: np.ndarray, rounds: int = 3) -> tuple
         v = _machine(kernel(kinds[rows], feats) @ root, y, balance * 1000)
         weights = np.append(feats.T @ (root @ v[:-1]), v[-1])
         score = decide(kinds, weights)
-    top = _bag_top(score[at], owner, len(labels))
-    a, b = _logistic(top, labels)
-    return weights, a, b
+    return weights
+
 
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Gain, slope and offset of a logistic that is 0.7 at the cut with the most toxic texts over it, a clean text over it weighing ALARM times as much.
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset by Newton's method, with smoothed targets; clean texts weigh 19 times as much, as a false alarm costs a clean text. The slope is kept positive."""
-    n1, n0 = (y > 0).sum(), (y == 0).sum()
-    t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    w = np.where(y > 0, 0.05 / n1, 0.95 / n0) * len(y)
-    p = np.array([2.0, 0.0])
-    f = np.stack([x, np.ones(len(x))], axis=1)
-    for _ in range(50):
-        q = 1 / (1 + np.exp(-np.clip(f @ p, -30, 30)))
-        h = (f * (w * q * (1 - q))[:, None]).T @ f + 1e-3 * np.eye(2) * len(y)
-        p = p - np.linalg.solve(h, f.T @ (w * (q - t)) + 1e-3 * len(y) * (p - [4.0, 0.0]))
-    return max(0.1, float(p[0])), float(p[1])
+    The cut lies between two values, nearer to the lower one, since gaps and further letters lower a score; the slope makes clean texts' median 0.05."""
+    values = np.unique(x)
+    cuts = np.append(values[:-1] + CUT * (values[1:] - values[:-1]), values[-1] + 1)
+    toxic, clean = np.sort(x[y > 0]), np.sort(x[y == 0])
+    gain = 1 - np.searchsorted(toxic, cuts) / len(toxic) - ALARM * (1 - np.searchsorted(clean, cuts) / len(clean))
+    best = np.flatnonzero(gain >= gain.max() - 1e-9)
+    cut = float(cuts[best[len(best) // 2]])
+    slope = min(20.0, max(0.5, 3.79 / max(1e-3, cut - float(np.median(clean)))))
+    return float(gain.max()), slope, 0.8473 - slope * cut
+
+
+def texts_units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct units of each text, and the text that each is of, in ascending order."""
+    packed, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for lo, _, data, offs in blocks(texts):
+        u, o = units(data, offs)
+        order = np.lexsort((u, o))
+        u, o = u[order], o[order]
+        new = np.append(True, (u[1:] != u[:-1]) | (o[1:] != o[:-1]))[:len(u)]
+        packed.append(u[new])
+        owner.append(o[new] + lo)
+    return np.concatenate(packed), np.concatenate(owner)
 
 
 def score_texts(texts: pa.Array, model: tuple[np.ndarray, float, float]) -> np.ndarray:
@@ -245,25 +298,37 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_y"))
     order = [F.xxhash64(F.col("_id").cast("string")), F.col("_id")]
     picked = known.where("_y > 0").orderBy(*order).limit(max_rows).unionByName(known.where("_y = 0").orderBy(*order).limit(max_rows))
-    texts = docs.select(F.col(id_col).alias("_id"), F.substring(F.col(text_col), 1, BAG_BYTES).alias("_text")).join(F.broadcast(picked), "_id").select("_id", "_text", "_y").toPandas()
-    texts = texts.sort_values(["_id", "_text"], kind="stable").drop_duplicates("_id")  # the same order on any plan
-    rows, y = texts["_text"].tolist(), texts["_y"].to_numpy()
-    del texts
-    model = train(rows, y)
-    del rows
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id").select(F.xxhash64(F.col("_id").cast("string")).alias("key"), F.xxhash64("_text").alias("th"), "_y", "_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            packed, owner = texts_units(b.column(3))
+            bounds = np.searchsorted(owner, np.arange(b.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.ListArray.from_arrays(pa.array(bounds), pa.array(packed.astype(np.int64)))], ["key", "th", "y", "units"])
+
+    found = texts.mapInArrow(run, "key long, th long, y int, units array<long>").toArrow().combine_chunks()
+    # the same order on any plan, and one row of each id
+    found = found.take(pa.compute.sort_indices(found, [("key", "ascending"), ("th", "ascending")]))
+    key = found["key"].to_numpy()
+    found = found.filter(pa.array(np.append(True, key[1:] != key[:-1])[:len(key)]))
+    lists = found["units"].combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.int64()))
+    sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
+    model = train(lists.flatten().to_numpy().astype(np.uint64), np.repeat(np.arange(len(sizes)), sizes), found["y"].to_numpy())
+    del found, lists
     gc.collect()  # the driver goes on with other stages: what training held goes back
     pa.default_memory_pool().release_unused()
     return model
 
 
-def toxicity(docs: DataFrame, model: tuple[np.ndarray, float, float], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """All columns of ``docs`` with ``score`` (double) and ``predicted`` (int) added, in place of columns so named.
+def toxicity(docs: DataFrame, model: tuple[np.ndarray, float, float], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
+    """All columns of ``docs`` with ``score_col`` (double) and ``predicted_col`` (int) added, in place of columns so named.
 
-    Null and empty texts, and texts without a unit, get the score of the decision value -1. Repeated rows get equal
-    scores. An empty table gives no rows; a model of one class only scores all alike.
+    Null and empty texts, and texts without a unit, get the score of the decision value -1. Ids are not read, so null and
+    repeated ones are like others; repeated texts get equal scores. A very long text is scored whole. An empty table
+    gives no rows; a model of one class only scores all alike.
     """
-    kept = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
-    schema = T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    kept = [f for f in docs.schema.fields if f.name.lower() not in (score_col.lower(), predicted_col.lower())]
+    schema = T.StructType([*kept, T.StructField(score_col, T.DoubleType()), T.StructField(predicted_col, T.IntegerType())])
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,4 +336,4 @@ def toxicity(docs: DataFrame, model: tuple[np.ndarray, float, float], id_col: st
             score = score_texts(b.column(names.index(text_col)), model)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], schema.names)
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*[c for c, f in zip(columns(docs), docs.schema.fields) if f in kept]).mapInArrow(run, schema)
