@@ -1,7 +1,9 @@
 """A corpus pipeline in stages: toxic texts go, near copies go, leaked passages go, sources are mixed, tokens are written.
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame; run() writes what a stage returns as Parquet in the shared
-folder and reads it as the next one's input. All stages but the last return the columns of documents.
+folder and reads it as the next one's input. All stages but the last return the columns of documents; columns that a stage
+needs meanwhile get names that no column has, so names can't clash. Null, empty, very long and repeated texts and empty tables
+get what the operators' docstrings say: a null or empty text is neither toxic, nor a copy, nor a leak, and stays.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstone.llm.common import perhaps_listed, shared_dir, table, written
+from gridstone.llm.common import columns, fresh, perhaps_listed, shared_dir, table, written
 from gridstone.llm.decontamination import decontaminate
 from gridstone.llm.jaccard_join import jaccard_join
 from gridstone.llm.mixing import fit_domains, mix_sources
@@ -25,33 +27,44 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the classifier does not mark. It learns from the labels that op4 learns from."""
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     model = fit(docs, table(spark, sf_dir, "labels").where(~held_out))
-    return toxicity(docs, model).where("predicted = 0").select(*docs.columns)
+    score, mark = fresh(docs.columns, "score"), fresh(docs.columns, "predicted")
+    return toxicity(docs, model, score_col=score, predicted_col=mark).where(F.col(mark) == 0).select(*columns(docs))
+
+
+def _without(docs: DataFrame, listed: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id and text hash are not in ``listed`` (id, th, once); of those listed with once = true, one row of each id and text stays."""
+    names = [fresh(docs.columns, n) for n in ("th", "perhaps", "id", "listed_th", "once")]
+    th, perhaps, at, listed_th, once = names
+    listed = listed.select(F.col("id").alias(at), F.col("th").alias(listed_th), F.col("once").alias(once))
+    marked = perhaps_listed(docs.withColumn(th, F.xxhash64("text")), th, listed, listed_th, flag=perhaps)
+    met = marked.where(F.col(perhaps)).join(listed.hint("merge"), F.col("doc_id").eqNullSafe(F.col(at)) & (F.col(th) == F.col(listed_th)), "left")
+    kept = columns(docs)
+    repeated = met.where(F.col(once)).dropDuplicates(["doc_id", th])
+    return marked.where(~F.col(perhaps)).select(*kept).unionByName(met.where(F.col(listed_th).isNull()).select(*kept)).unionByName(repeated.select(*kept))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group linked by five-word shingles at a similarity of 0.8: the one with the smallest doc_id. Rows without an id stay."""
-    gone = written(jaccard_join(docs).where("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct())
-    marked = perhaps_listed(docs, "doc_id", gone, "gone")
-    unsure = marked.where("_perhaps").select(*docs.columns).join(gone.hint("merge"), F.col("doc_id") == F.col("gone"), "left_anti")
-    return marked.where("not _perhaps").select(*docs.columns).unionByName(unsure)
+    """One row of each group linked by five-word shingles at a similarity of 0.8: the one with the smallest doc_id, of several
+    with that id the one with the smallest text hash, of repeated rows any. Null ids count as smaller than others."""
+    found = jaccard_join(docs).where("n_shingles > 0").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("th"), F.expr("doc_id <=> component_id and text_hash = component_hash").alias("stays"))
+    listed = found.groupBy("id", "th").agg(F.first("stays").alias("once"), F.count(F.lit(1)).alias("n")).where("not once or n > 1")
+    return _without(docs, written(listed))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text holds no window of a benchmark item."""
     found = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
-    found = written(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
-    marked = perhaps_listed(docs.withColumn("_th", F.xxhash64("text")), "_th", found, "_hash")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_hash"))
-    unsure = marked.where("_perhaps").join(found.hint("merge"), same, "left_anti").select(*docs.columns)
-    return marked.where("not _perhaps").select(*docs.columns).unionByName(unsure)
+    return _without(docs, written(found.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("th"), F.lit(False).alias("once")).distinct()))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows repeated so often that the expected tokens of the domains meet their shares; each row stays at least once."""
     labels = table(spark, sf_dir, "labels").select("doc_id").join(docs.select("doc_id", F.col("lang").alias("domain")), "doc_id")
     domains = list(TARGETS)
-    mixed = mix_sources(docs, fit_domains(docs, labels, domains), list(TARGETS.values()), floor=1.0)
-    return mixed.select(*docs.columns, F.explode(F.expr("sequence(1, int(copies))")).alias("_copy")).select(*docs.columns)
+    names = {n: fresh(docs.columns, n) for n in ("n_tokens", "posterior", "rate", "copies", "chance")}
+    mixed = mix_sources(docs, fit_domains(docs, labels, domains), list(TARGETS.values()), floor=1.0, names=names)
+    copy = fresh(docs.columns, "copy")
+    return mixed.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(names["copies"]).cast("int")))).select(*columns(docs))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
