@@ -77,8 +77,8 @@ def fa_eigenvalues(a: Column, b: Column, c: Column) -> Column:
 
 
 def flip_gradient(gx: Column, gy: Column, gz: Column, code: int) -> tuple[Column, Column, Column]:
-    """Codes 1-3 negate x, y, z; 4-6 swap xy, xz, yz; others leave the direction."""
-    return {1: (-gx, gy, gz), 2: (gx, -gy, gz), 3: (gx, gy, -gz), 4: (gy, gx, gz), 5: (gz, gy, gx), 6: (gx, gz, gy)}.get(code, (gx, gy, gz))
+    """Codes 1-3 negate x, y, z; 4-6 negate x and y, x and z, y and z; others leave the direction."""
+    return {1: (-gx, gy, gz), 2: (gx, -gy, gz), 3: (gx, gy, -gz), 4: (-gx, -gy, gz), 5: (-gx, gy, -gz), 6: (gx, -gy, -gz)}.get(code, (gx, gy, gz))
 
 
 def tensor_row(gx: Column, gy: Column, gz: Column, b: Column) -> list[Column]:

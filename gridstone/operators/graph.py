@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridstone.operators.ordered import running
+
 
 def _cut(df: DataFrame) -> DataFrame:
     """Lineage ends in the cluster's checkpoint folder."""
@@ -33,11 +35,8 @@ def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def compact(nodes: DataFrame) -> DataFrame:
-    """(id, new): ids numbered from 0 in order, by prefix sums over range partitions."""
-    part = nodes.select("id").distinct().repartitionByRange("id").sortWithinPartitions("id").withColumn("_p", F.spark_partition_id())
-    part = part.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("id")))
-    sizes = part.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return part.join(F.broadcast(sizes), "_p").select("id", (F.col("_b") + F.col("_r") - 1).cast("bigint").alias("new"))
+    """(id, new): ids numbered from 0 in order, by running counts over ranges."""
+    return running(nodes.select("id").distinct(), ["id"], {"new": F.lit(1)}).select("id", (F.col("new") - 1).cast("bigint").alias("new"))
 
 
 def component_roots(nodes: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
@@ -108,10 +107,20 @@ def sinkhorn(matrix: DataFrame, rounds: int = 10) -> DataFrame:
 
 
 def linear_partition(nodes: DataFrame, parts: int) -> DataFrame:
-    """(id, part): cuts at equal shares of the weight cumulated in id order. One small task; nodes beyond it go by ``compact`` ranks."""
-    cum = F.sum("weight").over(Window.orderBy("id"))
-    total = nodes.agg(F.sum("weight").alias("_t"))
-    return nodes.withColumn("_c", cum).crossJoin(F.broadcast(total)).select("id", F.least(F.floor((F.col("_c") - F.col("weight")) / F.col("_t") * parts), F.lit(parts - 1)).cast("int").alias("part"))
+    """(id, part): nodes in id order go to a part until the weight so far is over its cut, at equal shares; the next node begins the next part.
+
+    A node moves on by one part at most, so node i is in part min(i, cuts passed by node j, plus i - 1 - j, over all j before it):
+    a running minimum after the running sum, without a task that holds all nodes.
+    """
+    total = float(nodes.agg(F.sum("weight")).first()[0] or 0.0)
+    share = total / parts
+    seen = running(nodes.select("id", "weight"), ["id"], {"_sum": F.col("weight").cast("double"), "_at": F.lit(1)})
+    passed = F.greatest(F.lit(0), F.ceil(F.round(F.col("_sum") / share, 9)) - 1) - F.col("_at") if share > 0 else -F.col("_at")
+    low = running(seen, ["id"], least={"_low": passed})
+    # the minimum over the nodes before: node i's own does not count
+    own = low.withColumn("_next", F.least(F.lit(0), F.col("_low")) + F.col("_at"))
+    after = own.select((F.col("_at") + 1).alias("_at"), "_next")
+    return own.select("id", "_at").join(after, "_at", "left").select("id", F.least(F.coalesce("_next", F.lit(0)), F.lit(parts - 1)).cast("int").alias("part"))
 
 
 def renumber_by_part(parts: DataFrame) -> DataFrame:

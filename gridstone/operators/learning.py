@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridstone.operators.elementwise import array_ssd, gauss_logprob
+from gridstone.operators.elementwise import array_ssd
+from gridstone.operators.ordered import running
 
 
 def kmeans(points: DataFrame, id_col: str, features: str, init: list[list[float]], rounds: int | None = None) -> tuple[DataFrame, list[list[float]]]:
@@ -34,37 +35,50 @@ def kmeans(points: DataFrame, id_col: str, features: str, init: list[list[float]
     return assigned(points).select(id_col, "cluster"), cents
 
 
-def best_split(df: DataFrame, feature: str, label: str, entropy: bool = False) -> DataFrame:
-    """(threshold, loss): the midpoint split of one feature with the least squared loss, or label entropy, for 0/1 labels.
+def best_split(df: DataFrame, feature: str, label: str, entropy: bool = False, weight: str | None = None) -> DataFrame:
+    """(threshold, loss): the midpoint split of one feature with the least squared loss, or label entropy, for any numeric labels.
 
-    Rows are counted by feature value first, so the running sums go over distinct values.
+    Rows are summed by feature value first, so the running sums go over distinct values, in ranges of them. Entropy counts
+    each label's weight on either side; its labels are the distinct ones, a bounded number of classes.
     """
-    by = df.groupBy(F.col(feature).cast("double").alias("f")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("double")).alias("s"))
-    w = Window.orderBy("f")
-    run = by.withColumn("nl", F.sum("n").over(w)).withColumn("sl", F.sum("s").over(w)).withColumn("next", F.lead("f").over(w))
-    run = run.crossJoin(F.broadcast(by.agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s")))).where("next is not null")
-
-    def loss(n: Column, s: Column) -> Column:
-        p = s / n
-        return -(F.when(p > 0, s * F.log(p)).otherwise(0.0) + F.when(p < 1, (n - s) * F.log(1 - p)).otherwise(0.0)) if entropy else s - s * s / n
-
-    cost = loss(F.col("nl"), F.col("sl")) + loss(F.col("all_n") - F.col("nl"), F.col("all_s") - F.col("sl"))
-    scored = run.select(((F.col("f") + F.col("next")) / 2).alias("threshold"), F.round(cost, 9).alias("loss"))
+    f, y, w = F.col(feature).cast("double"), F.col(label).cast("double"), F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    kinds = sorted(r[0] for r in df.select(y.alias("y")).where("y is not null").distinct().collect()) if entropy else []
+    parts = {"n": w, "s": w * y, "q": w * y * y} if not entropy else {"n": w} | {f"k{i}": F.when(y == k, w).otherwise(0.0) for i, k in enumerate(kinds)}
+    by = df.groupBy(f.alias("f")).agg(*[F.sum(c).alias(n) for n, c in parts.items()])
+    total = by.agg(*[F.sum(n).alias(n) for n in parts]).first()
+    run = running(by, ["f"], {f"l_{n}": F.col(n) for n in parts})
+    # the next value: the one whose running count before it is this one's
+    after = run.select(F.col("f").alias("next"), F.round(F.col("l_n") - F.col("n"), 6).alias("_at"))
+    run = run.withColumn("_at", F.round("l_n", 6)).join(after, "_at")
+
+    def loss(side: dict[str, Column]) -> Column:
+        if not entropy:
+            return F.when(side["n"] > 0, side["q"] - side["s"] * side["s"] / side["n"]).otherwise(0.0)
+        return -sum((F.when(side[f"k{i}"] > 0, side[f"k{i}"] * F.log(side[f"k{i}"] / side["n"])).otherwise(0.0) for i in range(len(kinds))), F.lit(0.0))
+
+    cost = loss({n: F.col(f"l_{n}") for n in parts}) + loss({n: F.lit(total[n]) - F.col(f"l_{n}") for n in parts})
+    scored = run.select(((F.col("f") + F.col("next")) / 2).alias("threshold"), F.round(cost, 6).alias("loss"))
     return scored.agg(F.min(F.struct("loss", "threshold")).alias("m")).select("m.threshold", "m.loss")
 
 
-def find_class(df: DataFrame, theta: DataFrame, v: str, keys: list[str]) -> DataFrame:
-    """The class (theta: class, mu, var, prior) of the highest log-probability for each row, the lower class in ties."""
-    scored = df.crossJoin(F.broadcast(theta)).withColumn("_s", F.struct(F.round(-gauss_logprob(F.col(v), F.col("mu"), F.col("var"), F.col("prior")), 9), F.col("class")))
-    return scored.groupBy(*keys).agg(F.min("_s").alias("_m")).select(*keys, F.col("_m.class").alias("class"))
+def find_class(df: DataFrame, theta: DataFrame, v: str) -> DataFrame:
+    """``df`` with the ``class`` (theta: class, mu, var) of the least squared distance over the variance; values up to the least
+    mean are of its class, from the largest mean on of that one; the class with the smaller mean in ties.
+
+    The classes are literals of the plan, so no row is moved; all rows are kept, repeated ones too."""
+    rows = theta.orderBy("mu", "class").collect()  # one row a class
+    kind = theta.schema["class"].dataType
+    x = F.col(v)
+    costs = F.array(*[F.struct(((x - r["mu"]) * (x - r["mu"]) / r["var"]).alias("d"), F.lit(i).alias("i"), F.lit(r["class"]).cast(kind).alias("class")) for i, r in enumerate(rows)])
+    first, last = (F.lit(r["class"]).cast(kind) for r in (rows[0], rows[-1]))
+    return df.withColumn("class", F.when(x <= rows[0]["mu"], first).when(x >= rows[-1]["mu"], last).otherwise(F.array_min(costs)["class"]))
 
 
 def bh_adjust(df: DataFrame, p: str, idx: str) -> DataFrame:
-    """Benjamini-Hochberg: p n / rank, made monotone from the largest down."""
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    ranked = df.withColumn("_r", F.row_number().over(Window.orderBy(p, idx))).crossJoin(F.broadcast(n))
-    raw = ranked.withColumn("_q", F.least(F.lit(1.0), F.col(p) * F.col("_n") / F.col("_r")))
-    return raw.withColumn("q", F.min("_q").over(Window.orderBy(F.desc("_r")))).drop("_r", "_n", "_q")
+    """Benjamini-Hochberg: p n / rank, made monotone from the largest down, by running counts and minima over ranges."""
+    n = df.count()
+    ranked = running(df, [p, idx], {"_rank": F.lit(1)}).withColumn("_q", F.least(F.lit(1.0), F.col(p) * n / F.col("_rank")))
+    return running(ranked, [p, idx], least={"q": F.col("_q")}, ascending=False).drop("_rank", "_q")
 
 
 def medoid_step(df: DataFrame, label: str, id_col: str, features: str) -> DataFrame:

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from gridstone.operators.ordered import running
 from pyspark.sql import types as T
 
 
@@ -40,7 +42,7 @@ def argmin_first(df: DataFrame, keys: list[str], v: str, idx: str) -> DataFrame:
 def order_quantiles(df: DataFrame, v: str, keys: list[str] | None = None) -> DataFrame:
     """Seven picks of the sorted values without interpolation: first, n/40, n/4, n/2, 3n/4, 39n/40, last (integer ranks)."""
     keys = keys or []
-    # a global sort would be one task; a range sort numbers rows by partition, so only the picked ranks are found
+    # a global sort would be one task; running counts over ranges find the picked ranks
     ranked = _ranked(df, v, keys)
     totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     picks = [(0, F.lit(0)), (1, F.floor(F.col("n") / 40)), (2, F.floor(F.col("n") / 4)), (3, F.floor(F.col("n") / 2)), (4, F.floor(3 * F.col("n") / 4)), (5, F.floor(39 * F.col("n") / 40)), (6, F.col("n") - 1)]
@@ -49,14 +51,14 @@ def order_quantiles(df: DataFrame, v: str, keys: list[str] | None = None) -> Dat
 
 
 def _ranked(df: DataFrame, v: str, keys: list[str]) -> DataFrame:
-    """(keys, value, rank from 0). Ungrouped, values are counted first and ranks are prefix sums over range partitions."""
+    """(keys, value, rank from 0). Ungrouped, values are counted first and the ranks are running counts over ranges of values."""
     if keys:
         return df.select(*keys, v).withColumn("rank", (F.row_number().over(Window.partitionBy(*keys).orderBy(v)) - 1).cast("bigint"))
-    part = df.select(v).repartitionByRange(v).sortWithinPartitions(v).withColumn("_p", F.spark_partition_id())
-    part = part.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(v)))
-    sizes = part.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return part.join(F.broadcast(before.select("_p", "_b")), "_p").select(v, (F.col("_b") + F.col("_r") - 1).cast("bigint").alias("rank"))
+    counted = running(df.groupBy(v).agg(F.count(F.lit(1)).alias("_n")), [v], {"_through": F.col("_n")})
+    n = df.count()
+    picked = sorted({0, n // 40, n // 4, n // 2, 3 * n // 4, 39 * n // 40, max(0, n - 1)})
+    held = F.filter(F.lit(picked).cast("array<bigint>"), lambda r: (r >= F.col("_through") - F.col("_n")) & (r < F.col("_through")))
+    return counted.select(v, F.explode(held).alias("rank"))
 
 
 def centroids(df: DataFrame, label: str, features: str) -> DataFrame:

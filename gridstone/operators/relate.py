@@ -89,13 +89,16 @@ def radius_join(points: DataFrame, radius: float, id_col: str, axes: list[str])
 
 
 def nearest(points: DataFrame, others: DataFrame, id_col: str, features: str) -> DataFrame:
-    """The nearest other of each point, the smaller id of ties; ``others`` is a small table such as centroids."""
+    """The nearest other of each point, the smaller id of ties; ``others`` is a small table such as centroids, whose rows become literals. Repeated points stay."""
     from gridstone.operators.elementwise import array_ssd
 
-    o = others.select(F.col(id_col).alias("_oid"), F.col(features).alias("_of"))
-    scored = points.crossJoin(F.broadcast(o)).withColumn("_d", F.struct(array_ssd(F.col(features), F.col("_of")).alias("d"), F.col("_oid").alias("id")))
-    keys = [c for c in points.columns if c != features]
-    return scored.groupBy(*keys).agg(F.min("_d").alias("_m")).select(*keys, F.col("_m.id").alias("nearest"), F.sqrt("_m.d").alias("dist"))
+    kind = others.schema[id_col].dataType
+    rows = others.orderBy(id_col).limit(MOST_QUERIES + 1).collect()
+    if len(rows) > MOST_QUERIES:
+        raise ValueError(f"over {MOST_QUERIES} others: use knn")
+    costs = F.array(*[F.struct(array_ssd(F.col(features), F.lit([float(x) for x in r[features]])).alias("d"), F.lit(r[id_col]).cast(kind).alias("id")) for r in rows])
+    best = points.withColumn("_m", F.array_min(costs))
+    return best.select(*[c for c in points.columns if c != features], F.col("_m.id").alias("nearest"), F.sqrt("_m.d").alias("dist"))
 
 
 def grid_extent(spark: SparkSession, sizes: dict[str, int]) -> DataFrame:

@@ -59,8 +59,10 @@ def iir_filter(df: DataFrame, channel: str, t: str, v: str, b: list[float], a: l
     return df.select(channel, t, v).groupBy(channel).applyInPandas(run, f"{channel} {types[channel]}, {t} {types[t]}, {name} double")
 
 
-def epoch_average(df: DataFrame, channel: str, pos: str, v: str, is_trigger: Column, before: int, after: int) -> DataFrame:
-    """(offset, n, mean): values around triggers, averaged by offset; a trigger counts only if its whole epoch is inside the channel.
+def epoch_average(df: DataFrame, channel: str, pos: str, v: str, is_trigger: Column, before: int, after: int, centred: bool = True) -> DataFrame:
+    """(offset, n, mean): values around triggers, averaged by offset, less the mean of these averages unless ``centred`` is false.
+
+    A trigger counts only if its whole epoch is inside the channel.
 
     ``pos`` is a running number in the channel; each trigger is turned into its places, which meet the rows by equi-join.
     """
@@ -68,7 +70,9 @@ def epoch_average(df: DataFrame, channel: str, pos: str, v: str, is_trigger: Col
     low = F.min(pos).over(Window.partitionBy(channel))
     trig = df.withColumn("_n", n).withColumn("_l", low).where(is_trigger).where((F.col(pos) - before >= F.col("_l")) & (F.col(pos) + after <= F.col("_n")))
     places = trig.select(channel, F.col(pos).alias("_at"), F.explode(F.sequence(F.lit(-before), F.lit(after))).alias("offset")).withColumn(pos, (F.col("_at") + F.col("offset")).cast(df.schema[pos].dataType))
-    return places.join(df.select(channel, pos, v), [channel, pos]).groupBy("offset").agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"))
+    found = places.join(df.select(channel, pos, v), [channel, pos]).groupBy("offset").agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"))
+    # before + after + 1 rows
+    return found.withColumn("mean", F.col("mean") - F.avg("mean").over(Window.partitionBy(F.lit(0)))) if centred else found
 
 
 def center(df: DataFrame, keys: list[str], v: str, name: str = "centered") -> DataFrame:
@@ -95,15 +99,18 @@ def box(df: DataFrame, others: list[str], axis: str, v: str, half: int) -> DataF
 
 
 def gaussian_taps(sigma: float, degree: int = 0) -> list[float]:
-    """Kernel of odd width, 3 at least, to three sigmas, normalised by its sum (degree 0)."""
-    half = max(1, int(3 * sigma + 0.5))
+    """Kernel as wide as six sigmas, rounded down to whole places, 3 at least, and one more if that is even; divided by its sum.
+
+    The sum of degree 1 is 0 but for rounding, so that kernel is divided by the sum of k times its k-th tap, which makes a ramp's slope exact."""
+    n = max(int(6 * abs(sigma)), 3)
+    half = n // 2
     g = [math.exp(-k * k / (2 * sigma * sigma)) for k in range(-half, half + 1)]
     if degree == 1:
         g = [-k / sigma ** 2 * x for k, x in zip(range(-half, half + 1), g)]
     elif degree == 2:
         g = [(k * k / sigma ** 4 - 1 / sigma ** 2) * x for k, x in zip(range(-half, half + 1), g)]
-    total = sum(g)
-    return [x / total for x in g] if degree == 0 else g
+    total = sum(g) if degree != 1 else sum(-k * x for k, x in zip(range(-half, half + 1), g))
+    return [x / total for x in g]
 
 
 def gaussian_filter(df: DataFrame, others: list[str], axis: str, v: str, sigma: float, name: str = "smooth", mask: Column | None = None) -> DataFrame:
@@ -118,13 +125,14 @@ def gaussian_filter(df: DataFrame, others: list[str], axis: str, v: str, sigma:
 
 
 def lee_filter(df: DataFrame, others: list[str], axis: str, v: str, half: int, d: float, name: str = "lee") -> DataFrame:
-    """Mean of the neighbours along an axis whose values lie within d of the row's own."""
+    """Mean of the neighbours along an axis whose values differ from the row's own by less than d, the row's own included; its own value if d is 0."""
     w = Window.partitionBy(*others).orderBy(axis)
     own = F.col(v)
     at = [own] + [f(v, k).over(w) for k in range(1, half + 1) for f in (F.lag, F.lead)]
-    inside = [F.when(F.abs(x - own) <= d, x) for x in at]
+    inside = [F.when(F.abs(x - own) < d, x) for x in at]
     total = sum((F.coalesce(x, F.lit(0.0)) for x in inside), F.lit(0.0))
-    return df.withColumn(name, total / sum((x.isNotNull().cast("int") for x in inside), F.lit(0)))
+    count = sum((x.isNotNull().cast("int") for x in inside), F.lit(0))
+    return df.withColumn(name, F.when(count > 0, total / count).otherwise(own))
 
 
 def gradient_central(df: DataFrame, others: list[str], axis: str, v: str) -> DataFrame:
@@ -135,12 +143,15 @@ def gradient_central(df: DataFrame, others: list[str], axis: str, v: str) -> Dat
 
 
 def autocorrelation(df: DataFrame, channel: str, t: str, v: str, lags: int) -> DataFrame:
-    """(channel, lag, acf): centred products over the first n - lags places, over that of lag 0."""
+    """(channel, lag, acf) of lags 0 to lags - 1: centred products over the first n - lags places, over that of lag 0; 1 for a constant channel.
+
+    A channel of no more places than ``lags`` has none to sum over, and so counts as constant."""
     w = Window.partitionBy(channel)
     base = df.select(channel, (F.col(v) - F.avg(v).over(w)).alias("_c"), F.row_number().over(w.orderBy(t)).alias("_i"), F.count(F.lit(1)).over(w).alias("_n"), t)
-    led = base.select(channel, "_c", "_i", "_n", *[F.lead("_c", k).over(w.orderBy(t)).alias(f"_l{k}") if k else F.col("_c").alias("_l0") for k in range(lags + 1)])
-    sums = led.where(F.col("_i") <= F.col("_n") - lags).groupBy(channel).agg(*[F.sum(F.col("_c") * F.col(f"_l{k}")).alias(f"_s{k}") for k in range(lags + 1)])
-    return sums.select(channel, F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.when(F.col("_s0") != 0, F.col(f"_s{k}") / F.col("_s0")).otherwise(0.0).alias("acf")) for k in range(lags + 1)])).alias("_x")).select(channel, "_x.*")
+    led = base.select(channel, "_c", "_i", "_n", *[F.lead("_c", k).over(w.orderBy(t)).alias(f"_l{k}") if k else F.col("_c").alias("_l0") for k in range(lags)])
+    inside = F.col("_i") <= F.col("_n") - lags
+    sums = led.groupBy(channel).agg(*[F.coalesce(F.sum(F.when(inside, F.col("_c") * F.col(f"_l{k}"))), F.lit(0.0)).alias(f"_s{k}") for k in range(lags)])
+    return sums.select(channel, F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.when(F.col("_s0") != 0, F.col(f"_s{k}") / F.col("_s0")).otherwise(1.0).alias("acf")) for k in range(lags)])).alias("_x")).select(channel, "_x.*")
 
 
 def power_spectrum(df: DataFrame, channel: str, t: str, v: str) -> DataFrame:

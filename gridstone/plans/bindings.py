@@ -183,7 +183,7 @@ def _(spark, d):
     return g.withColumn("back_y", site_of(F.col("idx"), 16, 64)[1].cast("bigint"))
 
 
-@query("gradient_flip", "SELECT vec_id, -CAST(embedding[1] AS DOUBLE) AS gx, CAST(embedding[3] AS DOUBLE) AS gy, CAST(embedding[2] AS DOUBLE) AS gz FROM embeddings")
+@query("gradient_flip", "SELECT vec_id, -CAST(embedding[1] AS DOUBLE) AS gx, -CAST(embedding[2] AS DOUBLE) AS gy, -CAST(embedding[3] AS DOUBLE) AS gz FROM embeddings")
 def _(spark, d):
     g = [F.get("embedding", F.lit(i)).cast("double") for i in range(3)]
     x = elementwise.flip_gradient(*elementwise.flip_gradient(*g, 1), 6)
@@ -490,7 +490,7 @@ def _(spark, d):
 
 @query("epoch_average", """WITH s AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM events),
 g AS (SELECT user_id, pos AS at FROM s WHERE event_type = 'error' AND pos - 2 >= 1 AND pos + 3 <= n)
-SELECT CAST(k AS INTEGER) AS "offset", count(*) AS n, round(avg(value), 6) AS mean FROM g, (SELECT unnest(range(-2, 4)) AS k) JOIN s ON s.user_id = g.user_id AND s.pos = g.at + k GROUP BY 1""")
+SELECT CAST(k AS INTEGER) AS "offset", count(*) AS n, round(avg(value) - avg(avg(value)) OVER (), 6) AS mean FROM g, (SELECT unnest(range(-2, 4)) AS k) JOIN s ON s.user_id = g.user_id AND s.pos = g.at + k GROUP BY 1""")
 def _(spark, d):
     pos = F.row_number().over(Window.partitionBy("user_id").orderBy("at"))
     return sequence.epoch_average(_events(spark, d).withColumn("pos", pos), "user_id", "pos", "value", F.col("event_type") == "error", 2, 3).select("offset", "n", r6("mean"))
@@ -512,6 +512,12 @@ def _(spark, d):
     return sequence.box(day_grid(spark, d), ["s"], "day", "v", 3).select("s", "day", r6("box_sum", 2), r6("box_mean", 4), r6("box_var", 0))
 
 
+def _gauss(sigma: float, half: int) -> list[float]:
+    """Taps for the SQL, from the definition: exp(-k^2 / 2 sigma^2) over their sum."""
+    g = [2.718281828459045 ** (-0.5 * (k / sigma) ** 2) for k in range(-half, half + 1)]
+    return [x / sum(g) for x in g]
+
+
 def _gauss_sql(col: str, taps: list[float]) -> str:
     h = len(taps) // 2
     at = [f"(lag({col}, {h - k}) OVER w)" if k < h else f"(lead({col}, {k - h}) OVER w)" if k > h else col for k in range(len(taps))]
@@ -520,7 +526,7 @@ def _gauss_sql(col: str, taps: list[float]) -> str:
     return f"({num}) / ({den})"
 
 
-@query("gaussian1d", f"WITH {DAY_SQL} SELECT s, day, round({_gauss_sql('v', sequence.gaussian_taps(1.5))}, 4) AS smooth FROM g WINDOW w AS (PARTITION BY s ORDER BY day)")
+@query("gaussian1d", f"WITH {DAY_SQL} SELECT s, day, round({_gauss_sql('v', _gauss(1.5, 4))}, 4) AS smooth FROM g WINDOW w AS (PARTITION BY s ORDER BY day)")
 def _(spark, d):
     return sequence.gaussian_filter(day_grid(spark, d), ["s"], "day", "v", 1.5).select("s", "day", r6("smooth", 4))
 
@@ -531,16 +537,16 @@ def _(spark, d):
 
 
 @query("lee_filter", f"""WITH {DAY_SQL}, x AS (SELECT s, day, v, [lag(v, 2) OVER w, lag(v) OVER w, v, lead(v) OVER w, lead(v, 2) OVER w] AS n FROM g WINDOW w AS (PARTITION BY s ORDER BY day))
-SELECT s, day, round(list_avg([y FOR y IN n IF y IS NOT NULL AND abs(y - v) <= 200000]), 4) AS lee FROM x""")
+SELECT s, day, round(list_avg([y FOR y IN n IF y IS NOT NULL AND abs(y - v) < 200000]), 4) AS lee FROM x""")
 def _(spark, d):
     return sequence.lee_filter(day_grid(spark, d), ["s"], "day", "v", 2, 200000.0).select("s", "day", r6("lee", 4))
 
 
 @query("autocorrelation", f"""WITH {DAY_SQL}, c AS (SELECT s, day, v - avg(v) OVER (PARTITION BY s) AS c, row_number() OVER (PARTITION BY s ORDER BY day) AS i, count(*) OVER (PARTITION BY s) AS n FROM g),
-k AS (SELECT unnest(range(8)) AS lag), a AS (SELECT a.s, k.lag, sum(a.c * b.c) AS s2 FROM c a, k JOIN c b ON a.s = b.s AND b.i = a.i + k.lag WHERE a.i <= a.n - 7 GROUP BY ALL)
+k AS (SELECT unnest(range(8)) AS lag), a AS (SELECT a.s, k.lag, sum(a.c * b.c) AS s2 FROM c a, k JOIN c b ON a.s = b.s AND b.i = a.i + k.lag WHERE a.i <= a.n - 8 GROUP BY ALL)
 SELECT a.s, CAST(a.lag AS INTEGER) AS lag, round(a.s2 / z.s2, 6) AS acf FROM a JOIN a z ON a.s = z.s AND z.lag = 0""")
 def _(spark, d):
-    return sequence.autocorrelation(day_grid(spark, d), "s", "day", "v", 7).select("s", "lag", r6("acf"))
+    return sequence.autocorrelation(day_grid(spark, d), "s", "day", "v", 8).select("s", "lag", r6("acf"))
 
 
 @query("iir_filter")
@@ -743,24 +749,26 @@ def _(spark, d):
     return graph.sinkhorn(m, 10).select("r", "c", r6("v", 9))
 
 
-_LP = "c AS (SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_nationkey + 1 AS DOUBLE) AS w FROM nation), lp AS (SELECT id, CAST(least(floor((sum(w) OVER (ORDER BY id) - w) / (SELECT sum(w) FROM c) * 4), 3) AS INTEGER) AS part FROM c)"
+_LP = """c AS (SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_nationkey + 1 AS DOUBLE) AS w FROM nation), o AS (SELECT id, w, row_number() OVER (ORDER BY id) AS i, sum(w) OVER (ORDER BY id) AS s, (SELECT sum(w) FROM c) / 4 AS cut FROM c),
+walk(i, part, nxt) AS (SELECT i, 0, CASE WHEN s > cut THEN 1 ELSE 0 END FROM o WHERE i = 1 UNION ALL SELECT o.i, walk.nxt, walk.nxt + CASE WHEN o.s > (walk.nxt + 1) * o.cut THEN 1 ELSE 0 END FROM walk JOIN o ON o.i = walk.i + 1),
+lp AS (SELECT id, CAST(least(part, 3) AS INTEGER) AS part FROM walk JOIN o USING (i))"""
 
 
 def _parts(spark: SparkSession, d: str) -> DataFrame:
     return graph.linear_partition(t(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), (F.col("n_nationkey") + 1).cast("double").alias("weight")), 4)
 
 
-@query("linear_partition", f"WITH {_LP} SELECT id, part FROM lp")
+@query("linear_partition", f"WITH RECURSIVE {_LP} SELECT id, part FROM lp")
 def _(spark, d):
     return _parts(spark, d)
 
 
-@query("partition_numbering", f"WITH {_LP}, x AS (SELECT id, 3 - part AS part FROM lp) SELECT id, CAST(part AS INTEGER) AS part, row_number() OVER (ORDER BY part, id) - 1 AS number FROM x")
+@query("partition_numbering", f"WITH RECURSIVE {_LP}, x AS (SELECT id, 3 - part AS part FROM lp) SELECT id, CAST(part AS INTEGER) AS part, row_number() OVER (ORDER BY part, id) - 1 AS number FROM x")
 def _(spark, d):
     return graph.renumber_by_part(_parts(spark, d).select("id", (3 - F.col("part")).alias("part")))
 
 
-@query("cut_edges", f"WITH {GRAPH_SQL}, {_LP} SELECT count(*) FILTER (a.part <> b.part) AS cut FROM e JOIN lp a ON a.id = src JOIN lp b ON b.id = dst")
+@query("cut_edges", f"WITH RECURSIVE {GRAPH_SQL}, {_LP} SELECT count(*) FILTER (a.part <> b.part) AS cut FROM e JOIN lp a ON a.id = src JOIN lp b ON b.id = dst")
 def _(spark, d):
     return graph.cut_edges(nation_graph(spark, d)[1], _parts(spark, d))
 
@@ -900,7 +908,7 @@ def _split_sql(entropy: bool) -> str:
     loss = "-(CASE WHEN {s} > 0 THEN {s} * ln({s} / {n}) ELSE 0 END + CASE WHEN {s} < {n} THEN ({n} - {s}) * ln(1 - {s} / {n}) ELSE 0 END)" if entropy else "({s} - {s} * {s} / {n})"
     return f"""WITH b AS (SELECT CAST(n_chars AS DOUBLE) AS f, CAST(count(*) AS DOUBLE) AS n, CAST(sum(quality) AS DOUBLE) AS s FROM labels JOIN documents USING (doc_id) GROUP BY 1),
 r AS (SELECT f, sum(n) OVER w AS nl, sum(s) OVER w AS sl, lead(f) OVER w AS nxt, sum(n) OVER () AS nn, sum(s) OVER () AS ss FROM b WINDOW w AS (ORDER BY f)),
-x AS (SELECT (f + nxt) / 2 AS threshold, round({loss.format(s='sl', n='nl')} + {loss.format(s='(ss - sl)', n='(nn - nl)')}, 9) AS loss FROM r WHERE nxt IS NOT NULL) SELECT threshold, loss FROM x ORDER BY loss, threshold LIMIT 1"""
+x AS (SELECT (f + nxt) / 2 AS threshold, round({loss.format(s='sl', n='nl')} + {loss.format(s='(ss - sl)', n='(nn - nl)')}, 6) AS loss FROM r WHERE nxt IS NOT NULL) SELECT threshold, loss FROM x ORDER BY loss, threshold LIMIT 1"""
 
 
 @query("best_split_sqloss", _split_sql(False))
@@ -928,10 +936,10 @@ def _(spark, d):
     return j.select("event_id", F.round(elementwise.gauss_logprob(F.col("value"), F.col("mu"), F.col("var"), F.col("prior")), 6).alias("lp"))
 
 
-@query("find_class", f"WITH {_THETA} SELECT event_id, arg_min(class, (round(-(ln(prior) - 0.5 * ln(2 * pi() * var) - (value - mu) * (value - mu) / (2 * var)), 9), class)) AS class FROM events, th GROUP BY 1")
+@query("find_class", f"WITH {_THETA} SELECT event_id, CASE WHEN value <= (SELECT min(mu) FROM th) THEN (SELECT arg_min(class, mu) FROM th) WHEN value >= (SELECT max(mu) FROM th) THEN (SELECT arg_max(class, mu) FROM th) ELSE (SELECT arg_min(class, (value - mu) * (value - mu) / var) FROM th) END AS class FROM events")
 def _(spark, d):
     ev = t(spark, d, "events")
-    return learning.find_class(ev.select("event_id", "value"), _theta(ev), "value", ["event_id"])
+    return learning.find_class(ev.select("event_id", "value"), _theta(ev), "value").select("event_id", "class")
 
 
 @query("bh_adjust", "WITH p AS (SELECT c_custkey, ((c_custkey * 7919) % 1009 + 1) / 1010.0 AS p FROM customer), r AS (SELECT *, row_number() OVER (ORDER BY p, c_custkey) AS k, count(*) OVER () AS n FROM p) SELECT c_custkey, round(min(least(1.0, p * n / k)) OVER (ORDER BY k DESC), 9) AS q FROM r")
@@ -1089,8 +1097,8 @@ def _(spark, d):
 
 
 @query("masked_gaussian", f"WITH {DAY_SQL}, k AS (SELECT s, day, v, CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END AS m FROM g) SELECT s, day, round(CASE WHEN {{den}} > 0 THEN {{num}} / {{den}} ELSE 0 END, 4) AS smooth FROM k WINDOW w AS (PARTITION BY s ORDER BY day)".format(
-    num="(" + " + ".join(f"coalesce({'lag' if i < 3 else 'lead'}(v * m, {abs(i - 3)}) OVER w, 0) * {g!r}" for i, g in enumerate(sequence.gaussian_taps(1.0))) + ")",
-    den="(" + " + ".join(f"coalesce({'lag' if i < 3 else 'lead'}(m, {abs(i - 3)}) OVER w, 0) * {g!r}" for i, g in enumerate(sequence.gaussian_taps(1.0))) + ")"))
+    num="(" + " + ".join(f"coalesce({'lag' if i < 3 else 'lead'}(v * m, {abs(i - 3)}) OVER w, 0) * {g!r}" for i, g in enumerate(_gauss(1.0, 3))) + ")",
+    den="(" + " + ".join(f"coalesce({'lag' if i < 3 else 'lead'}(m, {abs(i - 3)}) OVER w, 0) * {g!r}" for i, g in enumerate(_gauss(1.0, 3))) + ")"))
 def _(spark, d):
     return sequence.gaussian_filter(day_grid(spark, d), ["s"], "day", "v", 1.0, mask=F.col("v") > 0).select("s", "day", r6("smooth", 4))
 

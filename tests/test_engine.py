@@ -147,3 +147,73 @@ def test_streams(spark, tmp_path):
     for t in range(6):
         y = 0.5 * t + 0.5 * y
     assert math.isclose(spark.sql("SELECT filtered FROM iir_test WHERE c = 1 AND t = 5").first()[0], y)
+
+
+def test_flip_codes(spark):
+    signs = {0: "+++", 1: "-++", 2: "+-+", 3: "++-", 4: "--+", 5: "-+-", 6: "+--"}
+    for code, want in signs.items():
+        got = elementwise.flip_gradient(F.lit(1.0), F.lit(2.0), F.lit(3.0), code)
+        assert "".join("-" if "negative" in str(c) else "+" for c in got) == want
+
+
+def test_kernel_widths_and_sums():
+    assert [len(sequence.gaussian_taps(s)) for s in (0.3, 0.5, 1.0, 1.5, 2.0)] == [3, 3, 7, 9, 13]
+    assert all(abs(sum(sequence.gaussian_taps(1.5, k)) - 1) < 1e-12 for k in (0, 2))
+    assert abs(sum(-k * x for k, x in zip(range(-4, 5), sequence.gaussian_taps(1.5, 1))) - 1) < 1e-12
+
+
+def test_sequence_rules(spark):
+    flat = spark.createDataFrame([("a", i, 5.0) for i in range(9)] + [("b", i, float(i % 3)) for i in range(9)], "s string, t int, v double")
+    acf = {(r.s, r.lag): r.acf for r in sequence.autocorrelation(flat, "s", "t", "v", 3).collect()}
+    assert [acf["a", k] for k in range(3)] == [1.0, 1.0, 1.0]
+    c = [i % 3 - 1 for i in range(9)]  # by the definition: sums over t < n - m
+    sums = [sum(c[t] * c[t + k] for t in range(6)) for k in range(3)]
+    assert np.allclose([acf["b", k] for k in range(3)], [x / sums[0] for x in sums])
+    lee = {r.t: r.x for r in sequence.lee_filter(flat.where("s = 'b'"), ["s"], "t", "v", 1, 1.0, "x").collect()}
+    assert lee[0] == 0.0 and lee[4] == 1.0  # a difference of just 1 is not under 1
+    epochs = {r.offset: r["mean"] for r in sequence.epoch_average(flat.where("s = 'b'"), "s", "t", "v", flat.t == 4, 1, 1).collect()}
+    assert epochs == {-1: -1.0, 0: 0.0, 1: 1.0}
+
+
+def test_class_of_a_value(spark):
+    from gridstone.operators import learning
+
+    theta = spark.createDataFrame([(0, 1.0, 1.0), (1, 5.0, 16.0), (2, 9.0, 1.0)], "class int, mu double, var double")
+    rows = [(-3.0,), (1.0,), (2.0,), (2.0,), (3.0,), (7.0,), (8.0,), (9.0,), (50.0,)]
+    got = [(r.v, r["class"]) for r in learning.find_class(spark.createDataFrame(rows, "v double"), theta, "v").collect()]
+    assert sorted(got) == [(-3.0, 0), (1.0, 0), (2.0, 1), (2.0, 1), (3.0, 1), (7.0, 1), (8.0, 1), (9.0, 2), (50.0, 2)]
+
+
+def brute_parts(weights, parts):
+    out, s, p, cut = [], 0.0, 0, sum(weights) / parts
+    for w in weights:
+        out.append(min(p, parts - 1))
+        s += w
+        p += s > (p + 1) * cut
+    return out
+
+
+@pytest.mark.parametrize(("weights", "parts"), [([1.0] * 4, 2), ([1.0] * 10, 3), ([9.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0], 4), ([0.0, 0.0, 5.0, 0.0, 1.0], 3), ([2.0], 3)])
+def test_linear_partition_values(spark, weights, parts):
+    nodes = spark.createDataFrame([(10 * i, w) for i, w in enumerate(weights)], "id bigint, weight double").repartition(3)
+    assert [r.part for r in graph.linear_partition(nodes, parts).orderBy("id").collect()] == brute_parts(weights, parts)
+
+
+def test_running_values_without_exchange_reuse(spark):
+    from gridstone.operators.ordered import running
+
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = graph.compact(spark.range(0, 60_000, 3).select("id")).agg(F.countDistinct("new").alias("n"), F.max("new").alias("top"), F.sum((F.col("id") == F.col("new") * 3).cast("int")).alias("right")).first()
+        assert (got.n, got.top, got.right) == (20_000, 19_999, 20_000)
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    rng = np.random.default_rng(3)
+    rows = [(int(k), i, float(x)) for i, (k, x) in enumerate(zip(rng.integers(0, 40, 500), rng.normal(size=500)))]
+    df = spark.createDataFrame(rows, "k int, i int, x double")
+    order = sorted(rows)
+    up = {r.i: (r.s, r.m) for r in running(df, ["k", "i"], {"s": F.col("x")}, {"m": F.col("x")}).collect()}
+    down = {r.i: r.m for r in running(df, ["k", "i"], least={"m": F.col("x")}, ascending=False).collect()}
+    for n, (_, i, _) in enumerate(order):
+        assert np.isclose(up[i][0], sum(x for *_, x in order[:n + 1])) and up[i][1] == min(x for *_, x in order[:n + 1]) and down[i] == min(x for *_, x in order[n:])
+    assert running(df.where("k > 99"), ["k"], {"s": F.col("x")}).count() == 0
