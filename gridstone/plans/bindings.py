@@ -1131,3 +1131,6 @@ def _(spark, d):
 def _(spark, d):
     votes = t(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("site"), F.col("l_linenumber").alias("rater")).agg((F.avg("l_quantity") > 25).cast("int").alias("vote"))
     return pipelines.consensus(votes, 5).select("site", r6("p"))
+
+
+from gridstone.plans import volumes  # noqa: E402, F401  (registers its queries)
