@@ -25,6 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme that Spark's file systems give it; one without a scheme is on the default file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return "file:///" + whole.removeprefix("file:").lstrip("/") if whole.startswith("file:") else whole
+
+
 def written(df: DataFrame, tell: bool = False):
     """The rows as a table in the shared folder: lineage ends there, and any executor can read it again. ``tell``: its path, too."""
     path = shared_dir(df.sparkSession)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridstone.llm.common import written
+from gridstone.llm.common import qualified, written
 from gridstone.llm.textarrays import blocks, span_hashes
 
 LENGTH, ROWS = 2048, 512
@@ -143,13 +143,21 @@ class PieceEncoder:
         """(ids of some texts in order, number of ids of each), the end id included."""
         for lo, hi, data, offs in blocks(texts):
             if self.by_piece and not ODD_SPACE.search(data):
-                yield self._block(data, offs)
-                continue
+                try:
+                    yield self._block(data, offs)
+                    continue
+                except MemoryError:  # more different pieces than are remembered: text by text
+                    self._forget()
             ids = []
             for a, b in zip(offs[:-1], offs[1:]):
                 part = data[a:b]
-                if self.by_piece and not ODD_SPACE.search(part):
-                    ids.append(self._block(part, np.array([0, b - a]))[0])
+                try:
+                    pieces = self._block(part, np.array([0, b - a]))[0] if self.by_piece and not ODD_SPACE.search(part) else None
+                except MemoryError:
+                    pieces = None
+                    self._forget()
+                if pieces is not None:
+                    ids.append(pieces)
                 else:
                     whole = self.tokenizer.encode(part.tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids
                     ids.append(np.append(np.array(whole, self.dtype), np.array([self.end_id], self.dtype)))
@@ -216,11 +224,14 @@ class Shard:
             self.stride = self.rows = 0
             return
         self.stride = self.source.tell() - self.header
+        self.last: tuple[int, pa.RecordBatch] | None = None
         self.rows = self._batch(0).num_rows
 
     def _batch(self, k: int) -> pa.RecordBatch:
-        self.source.seek(self.header + k * self.stride)
-        return pa.ipc.read_record_batch(pa.ipc.read_message(self.source), self.schema)
+        if self.last is None or self.last[0] != k:  # texts follow each other, and so do their batches
+            self.source.seek(self.header + k * self.stride)
+            self.last = k, pa.ipc.read_record_batch(pa.ipc.read_message(self.source), self.schema)
+        return self.last[1]
 
     def sequence(self, i: int) -> tuple[np.ndarray, pa.Array]:
         """Ids and mask of sequence i."""
@@ -243,7 +254,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
     """Writes shards to ``path`` (a URI of a shared folder) and returns the index: id, part, offset, n_tokens.
 
     A null text counts as empty and has the end id only. Rows go by id, then text, null ids first; repeated rows are
-    repeated. An empty table gives an empty index and no shard. Other columns are not read. The index is read from its
+    repeated. A text of any length is encoded whole. An empty table gives an empty index and no shard. Other columns are not read. The index is read from its
     table, so the shards are whole once this returns.
     """
     spark = docs.sparkSession
@@ -251,8 +262,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
     base = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     base = base.repartitionByRange(parts, F.asc_nulls_first(id_col), F.xxhash64("_text")).sortWithinPartitions(F.asc_nulls_first(id_col), F.xxhash64("_text"))
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("part", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    root = path if "://" in path or path.startswith("file:") else f"file://{path}"
-    root = re.sub(r"^file:/+", "file:///", root)
+    root = qualified(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -290,7 +300,7 @@ def shard_name(part: int) -> str:
 def read_tokens(index: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     """Each text of an index, from the shards: id, start (ids of all texts before it), n_tokens, ids_crc32 (of 32-bit ids)."""
     spark = index.sparkSession
-    root = re.sub(r"^file:/+", "file:///", path if "://" in path or path.startswith("file:") else f"file://{path}")
+    root = qualified(spark, path)
     totals = index.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # a row for each shard
     before, bases = 0, []
     for r in totals:
