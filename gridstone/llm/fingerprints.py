@@ -23,8 +23,8 @@ BUCKETS = 128
 TRIPLETS = [(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)]
 #: Most that the parts of a difference add to it: length, ratios, buckets.
 LENGTH_MOST, RATIO_MOST, WORST = 32, 24, 3 * BUCKETS
-#: A bucket difference over this is no likeness at all; digests of unrelated texts differ by about so much.
-FAR = 160
+#: Ids that cut points are taken from at most, those with the least hash.
+SAMPLE = 20_000
 
 _SALTS = (np.random.default_rng(128).integers(0, 1 << 32, (len(TRIPLETS), 3, 256))).astype(np.uint32)
 
@@ -81,8 +81,8 @@ def differences(a: list[str], b: list[str]) -> np.ndarray:
 
 
 def likeness(a: list[str], b: list[str]) -> np.ndarray:
-    """1 for equal digests, falling with the difference to 0."""
-    return np.maximum(0.0, 1.0 - differences(a, b) / FAR)
+    """1 for equal digests, falling evenly to 0 at the largest difference that there can be."""
+    return 1.0 - differences(a, b) / (LENGTH_MOST + RATIO_MOST + WORST)
 
 
 def fingerprint_texts(texts: pa.Array) -> list[str]:
@@ -106,19 +106,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def with_next(docs: DataFrame, run, schema: T.StructType, id_col: str = "doc_id", text_col: str = "text", per_part: int = 40_000) -> DataFrame:
     """``run(ids, texts, next_texts)`` over all rows in descending (id, text) order, each with the text that follows it.
 
-    The last row is followed by the first. Ids are dealt into ranges by exact counts over the id column; the row that
-    follows a range, one for each, goes along with it as a guest. No range holds more than its share and all texts move
-    once. ``run`` gives a record batch.
+    The last row is followed by the first. Ids of any ordered type are dealt into ranges by cut points from a bounded sample
+    of them, which bears on the ranges' sizes only; the row that follows a range, one for each, goes along with it as a
+    guest. All texts move once. Rows of one id share a range. ``run`` gives a record batch.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     keys = base.select("_id")
     n = keys.count()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // per_part))
-    cuts = keys.where("_id is not null").stat.approxQuantile("_id", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
-    cuts = sorted(set(int(c) for c in cuts))
+    id_type = docs.schema[id_col].dataType
+    seen = sorted(r[0] for r in keys.where("_id is not null").orderBy(F.xxhash64("_id")).limit(SAMPLE).collect()) if parts > 1 else []
+    cuts = sorted({seen[i * len(seen) // parts] for i in range(1, parts)}) if seen else []
     # part 0 has the largest ids, as rows go in descending order; null ids come last
-    at_or_below = F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c <= F.col("_id")))
+    at_or_below = F.size(F.filter(F.array(*[F.lit(c).cast(id_type) for c in cuts]), lambda c: c <= F.col("_id"))) if cuts else F.lit(0)
     part = F.lit(len(cuts)) - F.when(F.col("_id").isNull(), 0).otherwise(at_or_below)
     dealt = base.withColumn("_part", part)
     tops = dealt.groupBy("_part").agg(F.max("_id").alias("top")).collect()
@@ -128,9 +129,9 @@ def with_next(docs: DataFrame, run, schema: T.StructType, id_col: str = "doc_id"
     m = len(used)
     if not m:
         return spark.createDataFrame([], schema)
-    firsts = spark.createDataFrame([((i - 1) % m, i, p, top[i]) for p, i in place.items()], "guest_of long, _slot long, _part int, top long")
+    firsts = spark.createDataFrame([((i - 1) % m, i, p, top[i]) for p, i in place.items()], T.StructType([T.StructField("guest_of", T.LongType()), T.StructField("_slot", T.LongType()), T.StructField("_part", T.IntegerType()), T.StructField("top", id_type)]))
     # the first row of each range: its largest text of its largest id
-    heads = dealt.join(F.broadcast(firsts), "_part").where(F.col("_id").eqNullSafe(F.col("top"))).groupBy("guest_of").agg(F.max("_text").alias("_text")).select(F.col("guest_of").alias("_slot"), F.lit(None).cast(docs.schema[id_col].dataType).alias("_id"), "_text", F.lit(True).alias("_guest"))
+    heads = dealt.join(F.broadcast(firsts), "_part").where(F.col("_id").eqNullSafe(F.col("top"))).groupBy("guest_of").agg(F.max("_text").alias("_text")).select(F.col("guest_of").alias("_slot"), F.lit(None).cast(id_type).alias("_id"), "_text", F.lit(True).alias("_guest"))
     slots = F.broadcast(firsts.select("_part", "_slot"))
     rows = dealt.join(slots, "_part").select("_slot", "_id", "_text", F.lit(False).alias("_guest")).unionByName(heads)
     rows = rows.repartitionById(m, F.col("_slot").cast("int")).sortWithinPartitions("_slot", "_guest", F.desc_nulls_last("_id"), F.desc("_text"))

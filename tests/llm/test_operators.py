@@ -40,6 +40,20 @@ def test_pieces_equal_whole_encoding():
     assert ids.tolist() == want and counts.sum() == len(want)
 
 
+def test_more_pieces_than_are_remembered(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from gridstone.llm import token_output
+    from gridstone.llm.queries import vocabulary
+
+    monkeypatch.setattr(token_output, "REMEMBERED", 6)
+    texts = ["one two three four five six seven eight nine", "one two", "", "two three"]
+    enc, whole = token_output.PieceEncoder(vocabulary(), 0), Tokenizer.from_file(vocabulary())
+    ids, counts = zip(*enc.encode(pa.array(texts)))
+    want = [[*whole.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert np.concatenate(ids).tolist() == sum(want, []) and np.concatenate(counts).tolist() == [len(w) for w in want]
+
+
 def test_token_output_round_trip(spark, tmp_path):
     from tokenizers import Tokenizer
 
@@ -279,6 +293,45 @@ def test_fingerprints_edited(spark):
     assert edited_fingerprints(docs(spark, ODD)).count() == len(ODD)
 
 
+def test_fingerprints_string_ids_and_likeness(spark):
+    from gridstone.llm.fingerprints import differences, edited_fingerprints, fingerprint_texts, likeness
+
+    rng = np.random.default_rng(8)
+    words = [f"word{i}" for i in range(300)]
+    rows = [(f"k{i:03d}", " ".join(rng.choice(words, 200)), "x", 1.0) for i in range(60)]
+    got = {r.doc_id: r for r in edited_fingerprints(spark.createDataFrame(rows, DOC.replace("bigint", "string"))).collect()}
+    order = sorted(rows, reverse=True)
+    for (i, t, *_), (_, n, *_) in zip(order, order[1:] + order[:1]):
+        a, e, b = fingerprint_texts(pa.array([t, t[:len(t) - len(t) // 3] + n[:len(t) // 3], n]))
+        for near, other in ((got[i].near_edited, e), (got[i].near_next, b)):  # by the definition, digit by digit
+            d = 0
+            for k in range(5, len(a), 1):
+                x, y = int(a[k], 16), int(other[k], 16)
+                d += abs((x >> 2) - (y >> 2)) + abs((x & 3) - (y & 3))
+            size = (int(a[1:3], 16) - int(other[1:3], 16)) % 256
+            d += min(min(size, 256 - size), 32) + min(sum(abs(int(a[k], 16) - int(other[k], 16)) for k in (3, 4)), 24)
+            assert near == pytest.approx(1 - d / (32 + 24 + 384)) and differences([a], [other]).tolist() == [d]
+    assert np.mean([r.near_edited > r.near_next for r in got.values()]) > 0.95
+    assert likeness([a, a], [a, b])[0] == 1.0
+
+
+def brute_digest(counts, n):
+    q = sorted(counts)
+    cut = [q[31], q[63], q[95]]
+    codes = "".join(f"{sum(c > x for x in cut):02b}" for c in counts)
+    size = round(np.log(n) / np.log(1.1)) % 256 if n else 0
+    top = max(cut[2], 1)
+    return f"Q{size:02x}{cut[0] * 15 // top:x}{cut[1] * 15 // top:x}{int(codes, 2):064x}"
+
+
+def test_digests_brute_force():
+    from gridstone.llm.fingerprints import digests
+
+    rng = np.random.default_rng(2)
+    counts, sizes = rng.integers(0, 9, (20, 128)), rng.integers(0, 5000, 20)
+    assert digests(counts, sizes) == [brute_digest(c.tolist(), int(n)) for c, n in zip(counts, sizes)]
+
+
 def test_bucket_counts_brute_force():
     from gridstone.llm.fingerprints import _SALTS, TRIPLETS, bucket_counts
 
