@@ -36,3 +36,51 @@ def test_pipeline(spark):
     assert {r.doc_id for r in after} == {r.doc_id for r in before} and len(after) >= len(before)
     assert seen["token output"][1].count() == len(after)
     assert pipeline.ORACLE_SQL is None
+
+
+CLASHES = ["gone", "_id", "_th", "_perhaps", "th", "perhaps", "id", "once", "score", "predicted", "posterior", "n_tokens", "rate", "copies", "copy", "_block", "_word", "component_id", "odd name"]
+
+
+def odd_docs(spark, rows):
+    """Rows of (doc_id, text, lang) with columns whose names the stages use themselves."""
+    schema = ", ".join(["doc_id bigint", "text string", "lang string", "source string", "n_chars bigint", *[f"`{c}` string" for c in CLASHES]])
+    return spark.createDataFrame([(i, t, g, "s", len(t or ""), *[f"{c}{k}" for c in CLASHES]) for k, (i, t, g) in enumerate(rows)], schema)
+
+
+def test_stages_on_odd_rows(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from gridstone.llm.common import table
+
+    item = table(spark, SF, "benchmark").orderBy("item_id").first().text
+    words = [f"word{i}" for i in range(60)]
+    base, near, other = " ".join(words), " ".join([*words[:59], "new"]), " ".join(f"other{i}" for i in range(40))
+    rows = [(1, base, "en"), (2, near, "en"), (3, other, "en"), (3, base, "en"), (4, None, "en"), (5, "", "de"), (6, other, "en"), (6, other, "en"), (None, "no id at all", "fr"), (None, None, None),
+            (7, f"before it {item} after it", "en"), (7, "a clean text of that id", "en"), (8, "lonely words here", "es"), (8, "lonely words here", "es"), (9, "long " * 30_000, "en")]
+    docs = odd_docs(spark, rows)
+    show = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    stages = dict(pipeline.STAGES)
+    empty = docs.where("doc_id > 99")
+    for name in list(stages)[:-1]:
+        out = stages[name](spark, docs, SF)
+        assert out.columns == docs.columns, name
+        values = {tuple(r) for r in docs.collect()}
+        assert {tuple(r) for r in out.collect()} <= values, name  # columns of any name keep their values
+        assert stages[name](spark, empty, SF).count() == 0, name
+
+    kept = [(1, base), (3, other), (4, None), (5, ""), (None, "no id at all"), (None, None), (7, f"before it {item} after it"), (7, "a clean text of that id"), (8, "lonely words here"), (9, "long " * 30_000)]
+    assert show(stages["near copies"](spark, docs, SF)) == sorted(kept, key=repr)
+    assert show(stages["decontamination"](spark, docs, SF)) == sorted([(i, t) for i, t, _ in rows if item not in (t or "")], key=repr)
+    assert {(i, t) for i, t in show(stages["mixing"](spark, docs, SF))} == {(i, t) for i, t, _ in rows}
+    assert show(stages["toxicity"](spark, docs, SF)) == sorted([(i, t) for i, t, _ in rows], key=repr)
+    assert stages["token output"](spark, docs, SF).count() == len(rows) and stages["token output"](spark, empty, SF).count() == 0
+
+
+def test_mixing_stage_meets_its_shares(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from gridstone.llm.common import table
+
+    docs = table(spark, SF, "documents")
+    mixed = pipeline.mix(spark, docs, SF).selectExpr("lang", "size(split(trim(text), '[ \\t\\n\\r]+')) as n").groupBy("lang").sum("n").collect()
+    total = sum(r["sum(n)"] for r in mixed)
+    for r in mixed:  # soft memberships against true labels on 200 rows
+        assert abs(r["sum(n)"] / total - pipeline.TARGETS[r.lang]) < 0.12, (r.lang, r["sum(n)"] / total)
