@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridstone.functions import special
-from gridstone.operators import algebra, elementwise, geometry, graph, histograms, learning, mesh, morphology, reductions, relate, sequence
+from gridstone.operators import algebra, elementwise, geometry, graph, histograms, learning, mesh, mixture, morphology, reductions, relate, sequence
 from gridstone.plans import pipelines
 from gridstone.sources import text as text_files
 
@@ -359,22 +359,12 @@ def _(spark, d):
     return reductions.regression(t(spark, d, "lineitem").withColumn("k", F.col("l_partkey") % 50), ["k"], "l_extendedprice", "l_quantity").select("k", r6("slope", 4), r6("intercept", 4), r6("r2"))
 
 
-@query("covariance", "WITH e AS (SELECT [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(covar_pop(e[i + 1], e[j + 1]), 9) AS cov FROM e, (SELECT unnest(range(4)) AS i), (SELECT unnest(range(4)) AS j) GROUP BY ALL")
-def _(spark, d):
-    return reductions.covariance(t(spark, d, "embeddings"), "embedding", 4).select("i", "j", r6("cov", 9))
-
-
-@query("covariance_whole", "WITH e AS (SELECT [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(covar_pop(e[i + 1], e[j + 1]), 9) AS cov FROM e, (SELECT unnest(range(64)) AS i), (SELECT unnest(range(64)) AS j) GROUP BY ALL")
+@query("covariance", "WITH e AS (SELECT [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(covar_pop(e[i + 1], e[j + 1]), 9) AS cov FROM e, (SELECT unnest(range(64)) AS i), (SELECT unnest(range(64)) AS j) GROUP BY ALL")
 def _(spark, d):
     return reductions.covariance(t(spark, d, "embeddings"), "embedding", 64).select("i", "j", r6("cov", 9))
 
 
-@query("within_scatter", "WITH e AS (SELECT label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings), s AS (SELECT i, j, label, count(*) * covar_pop(e[i + 1], e[j + 1]) AS s FROM e, (SELECT unnest(range(4)) AS i), (SELECT unnest(range(4)) AS j) GROUP BY ALL) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sum(s), 6) AS scatter FROM s GROUP BY ALL")
-def _(spark, d):
-    return reductions.within_scatter(t(spark, d, "embeddings"), "label", "embedding", 4).select("i", "j", r6("scatter"))
-
-
-@query("within_scatter_whole", "WITH e AS (SELECT label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings), s AS (SELECT i, j, label, count(*) * covar_pop(e[i + 1], e[j + 1]) AS s FROM e, (SELECT unnest(range(64)) AS i), (SELECT unnest(range(64)) AS j) GROUP BY ALL) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sum(s), 6) AS scatter FROM s GROUP BY ALL")
+@query("within_scatter", "WITH e AS (SELECT label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings), s AS (SELECT i, j, label, count(*) * covar_pop(e[i + 1], e[j + 1]) AS s FROM e, (SELECT unnest(range(64)) AS i), (SELECT unnest(range(64)) AS j) GROUP BY ALL) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sum(s), 6) AS scatter FROM s GROUP BY ALL")
 def _(spark, d):
     return reductions.within_scatter(t(spark, d, "embeddings"), "label", "embedding", 64).select("i", "j", r6("scatter"))
 
@@ -549,14 +539,15 @@ def _(spark, d):
     return sequence.autocorrelation(day_grid(spark, d), "s", "day", "v", 8).select("s", "lag", r6("acf"))
 
 
-@query("iir_filter")
+@query("iir_filter", f"WITH {DAY_SQL} SELECT a.s, a.day, round(sum(0.2 * pow(CAST(0.8 AS DOUBLE), a.day - b.day) * b.v), 4) AS filtered FROM g a JOIN g b ON a.s = b.s AND b.day <= a.day GROUP BY 1, 2")
 def _(spark, d):
     return sequence.iir_filter(day_grid(spark, d), "s", "day", "v", [0.2], [1.0, -0.8]).select("s", "day", r6("filtered", 4))
 
 
-@query("power_spectrum")
+@query("power_spectrum", f"""WITH {DAY_SQL}, f AS (SELECT s, CAST(k AS INTEGER) AS k, sum(v * cos(2 * pi() * (k * day % 2405) / 2405)) AS re, -sum(v * sin(2 * pi() * (k * day % 2405) / 2405)) AS im FROM g, (SELECT unnest(range(1203)) AS k) GROUP BY 1, 2)
+SELECT s, k, round(sqrt(re * re + im * im), 0) AS power, round(CASE WHEN k = 0 THEN 0 ELSE atan2(im, re) END, 4) AS phase FROM f""")
 def _(spark, d):
-    return sequence.power_spectrum(day_grid(spark, d), "s", "day", "v").select("s", "k", r6("power", 2), r6("phase", 4))
+    return sequence.power_spectrum(day_grid(spark, d), "s", "day", "v").select("s", "k", r6("power", 0), r6("phase", 4))
 
 
 # Geometry.
@@ -838,52 +829,41 @@ def _(spark, d):
     return relate.radius_join(_xyz(spark, d), 0.02, "vec_id", ["x", "y", "z"]).select("a", "b", r6("dist"))
 
 
-_CENT = "c AS (SELECT label AS k, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(f[i]) AS m FROM v, (SELECT unnest(range(1, 9)) AS i) GROUP BY ALL) GROUP BY 1)"
+_CENT = "c AS (SELECT label AS k, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(f[i]) AS m FROM v, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL) GROUP BY 1)"
 
 
-_CENT_WHOLE = _CENT.replace("range(1, 9)", "range(1, 65)")
 
 
-def _nearest(spark: SparkSession, d: str, n: int = 8) -> DataFrame:
-    v = _vecs(spark, d, n)
+def _nearest(spark: SparkSession, d: str) -> DataFrame:
+    v = _vecs(spark, d)
     cents = reductions.centroids(v, "label", "f").groupBy(F.col("label").alias("vec_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "mean"))), lambda s: s["mean"]).alias("f"))
     return relate.nearest(v, cents, "vec_id", "f")
 
 
-@query("nearest_centroid", f"WITH {_vec_sql(8)}, {_CENT}, p AS (SELECT vec_id, label, k, {_d2('f', 'c')} AS d FROM v, c) SELECT vec_id, arg_min(k, (round(d, 12), k)) AS nearest FROM p GROUP BY 1")
+@query("nearest_centroid", f"WITH {_vec_sql(64)}, {_CENT}, p AS (SELECT vec_id, label, k, {_d2('f', 'c')} AS d FROM v, c) SELECT vec_id, arg_min(k, (round(d, 12), k)) AS nearest FROM p GROUP BY 1")
 def _(spark, d):
     return _nearest(spark, d).select("vec_id", "nearest")
 
 
-@query("nearest_centroid_whole", f"WITH {_vec_sql(64)}, {_CENT_WHOLE}, p AS (SELECT vec_id, label, k, {_d2('f', 'c')} AS d FROM v, c) SELECT vec_id, arg_min(k, (round(d, 12), k)) AS nearest FROM p GROUP BY 1")
-def _(spark, d):
-    return _nearest(spark, d, 64).select("vec_id", "nearest")
-
-
-@query("mislabel_rate", f"WITH {_vec_sql(8)}, {_CENT}, p AS (SELECT vec_id, label, k, {_d2('f', 'c')} AS d FROM v, c), n AS (SELECT vec_id, any_value(label) AS label, arg_min(k, (round(d, 12), k)) AS nearest FROM p GROUP BY 1) SELECT round(avg(CASE WHEN nearest <> label THEN 1.0 ELSE 0 END), 6) AS rate FROM n")
+@query("mislabel_rate", f"WITH {_vec_sql(64)}, {_CENT}, p AS (SELECT vec_id, label, k, {_d2('f', 'c')} AS d FROM v, c), n AS (SELECT vec_id, any_value(label) AS label, arg_min(k, (round(d, 12), k)) AS nearest FROM p GROUP BY 1) SELECT round(avg(CASE WHEN nearest <> label THEN 1.0 ELSE 0 END), 6) AS rate FROM n")
 def _(spark, d):
     return reductions.mislabel_rate(_nearest(spark, d), "nearest", "label").select(r6("rate"))
 
 
-@query("mislabel_rate_whole", f"WITH {_vec_sql(64)}, {_CENT_WHOLE}, p AS (SELECT vec_id, label, k, {_d2('f', 'c')} AS d FROM v, c), n AS (SELECT vec_id, any_value(label) AS label, arg_min(k, (round(d, 12), k)) AS nearest FROM p GROUP BY 1) SELECT round(avg(CASE WHEN nearest <> label THEN 1.0 ELSE 0 END), 6) AS rate FROM n")
-def _(spark, d):
-    return reductions.mislabel_rate(_nearest(spark, d, 64), "nearest", "label").select(r6("rate"))
-
-
 _K = 4
 
 
 def _kmeans_sql() -> str:
-    steps = [_vec_sql(4), f"c0 AS (SELECT CAST(vec_id AS INTEGER) AS k, f AS c FROM v WHERE vec_id < {_K})"]
+    steps = [_vec_sql(64), f"c0 AS (SELECT CAST(vec_id AS INTEGER) AS k, f AS c FROM v WHERE vec_id < {_K})"]
     for r in range(3):
         steps.append(f"a{r} AS (SELECT vec_id, any_value(f) AS f, arg_min(k, (d, k)) AS k FROM (SELECT vec_id, f, k, {_d2('f', 'c')} AS d FROM v, c{r}) GROUP BY 1)")
-        steps.append(f"c{r + 1} AS (SELECT k, list(m ORDER BY i) AS c FROM (SELECT k, i, avg(f[i]) AS m FROM a{r}, (SELECT unnest(range(1, 5)) AS i) GROUP BY ALL) GROUP BY 1)")
+        steps.append(f"c{r + 1} AS (SELECT k, list(m ORDER BY i) AS c FROM (SELECT k, i, avg(f[i]) AS m FROM a{r}, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL) GROUP BY 1)")
     return f"WITH {', '.join(steps)} SELECT vec_id, k AS cluster FROM a2"
 
 
 @query("kmeans_2iter", _kmeans_sql())
 def _(spark, d):
-    v = _vecs(spark, d, 4)
+    v = _vecs(spark, d)
     init = [r["f"] for r in v.where(F.col("vec_id") < _K).orderBy("vec_id").collect()]
     return learning.kmeans(v, "vec_id", "f", init, 2)[0]
 
@@ -948,12 +928,7 @@ def _(spark, d):
     return learning.bh_adjust(p, "p", "c_custkey").select("c_custkey", r6("q", 9))
 
 
-@query("medoid_step", f"WITH {_vec_sql(8)}, c AS (SELECT a.label, a.vec_id, round(sum({_d2('a.f', 'b.f')}), 6) AS cost FROM v a JOIN v b ON a.label = b.label GROUP BY ALL) SELECT label, arg_min(vec_id, (cost, vec_id)) AS medoid FROM c GROUP BY 1")
-def _(spark, d):
-    return learning.medoid_step(_vecs(spark, d, 8), "label", "vec_id", "f")
-
-
-@query("medoid_step_whole", f"WITH {_vec_sql(64)}, c AS (SELECT a.label, a.vec_id, round(sum({_d2('a.f', 'b.f')}), 6) AS cost FROM v a JOIN v b ON a.label = b.label GROUP BY ALL) SELECT label, arg_min(vec_id, (cost, vec_id)) AS medoid FROM c GROUP BY 1")
+@query("medoid_step", f"WITH {_vec_sql(64)}, c AS (SELECT a.label, a.vec_id, round(sum({_d2('a.f', 'b.f')}), 6) AS cost FROM v a JOIN v b ON a.label = b.label GROUP BY ALL) SELECT label, arg_min(vec_id, (cost, vec_id)) AS medoid FROM c GROUP BY 1")
 def _(spark, d):
     return learning.medoid_step(_vecs(spark, d), "label", "vec_id", "f")
 
@@ -974,8 +949,10 @@ def _(spark, d):
 
 @query("gmm_clusters")
 def _(spark, d):
-    v = _vecs(spark, d, 3).select("vec_id", *[F.get("f", F.lit(i)).alias(f"f{i}") for i in range(3)])
-    return learning.gmm(v, ["f0", "f1", "f2"], 4, most=10).select("vec_id", "cluster")
+    v = _vecs(spark, d)
+    starts = [r["f"] for r in v.where(F.col("vec_id") < _K).orderBy("vec_id").collect()]
+    model = mixture.variational_mixture(v, "f", starts, spread=0.02)
+    return mixture.classify(v.select("vec_id", "f"), "f", model).select("vec_id", "cluster")
 
 
 # Masks.
@@ -1029,15 +1006,15 @@ def _(spark, d):
 # Meshes, quadrature, distributions, text.
 
 def _tri(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("c_custkey")
-    return t(spark, d, "customer").select(k.alias("id"), (k % 500).alias("a"), ((k * 7 + 1) % 500).alias("b"), ((k * 13 + 5) % 500).alias("c")).where("a != b and b != c and a != c")
+    k, n = F.col("c_custkey"), F.lit(t(spark, d, "embeddings").count())
+    return t(spark, d, "customer").select(k.alias("id"), (k % n).alias("a"), ((k * 7 + 1) % n).alias("b"), ((k * 13 + 5) % n).alias("c")).where("a != b and b != c and a != c")
 
 
 def _vertices(spark: SparkSession, d: str) -> DataFrame:
     return _xyz(spark, d).withColumnRenamed("vec_id", "id")
 
 
-_TRI = "tri AS (SELECT c_custkey AS id, c_custkey % 500 AS a, (c_custkey * 7 + 1) % 500 AS b, (c_custkey * 13 + 5) % 500 AS c FROM customer WHERE c_custkey % 500 <> (c_custkey * 7 + 1) % 500 AND (c_custkey * 7 + 1) % 500 <> (c_custkey * 13 + 5) % 500 AND c_custkey % 500 <> (c_custkey * 13 + 5) % 500)"
+_TRI = "tri AS (SELECT c_custkey AS id, c_custkey % (SELECT count(*) FROM embeddings) AS a, (c_custkey * 7 + 1) % (SELECT count(*) FROM embeddings) AS b, (c_custkey * 13 + 5) % (SELECT count(*) FROM embeddings) AS c FROM customer WHERE c_custkey % (SELECT count(*) FROM embeddings) <> (c_custkey * 7 + 1) % (SELECT count(*) FROM embeddings) AND (c_custkey * 7 + 1) % (SELECT count(*) FROM embeddings) <> (c_custkey * 13 + 5) % (SELECT count(*) FROM embeddings) AND c_custkey % (SELECT count(*) FROM embeddings) <> (c_custkey * 13 + 5) % (SELECT count(*) FROM embeddings))"
 _EDGES = "ed AS (SELECT least(a, b) AS u, greatest(a, b) AS v FROM tri UNION ALL SELECT least(b, c), greatest(b, c) FROM tri UNION ALL SELECT least(a, c), greatest(a, c) FROM tri)"
 _VERT = "vx AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)"
 

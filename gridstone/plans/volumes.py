@@ -6,10 +6,11 @@ quantities, 0 where there are none. The matrix has a row for each nation and a c
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstone.operators import dense, volume
+from gridstone.operators import dense, tensor, volume
 from gridstone.operators.ordered import running
 from gridstone.operators.relate import grid_extent
 from gridstone.plans.bindings import query, r6, t
@@ -230,6 +231,54 @@ def _(spark, d):
     return dense.insert_row(dense.delete_row(dense.swap_rows(_a(spark, d), 2, 9), 5), 1, F.col("c") * 2.0)
 
 
+@query("dense_inverse", f"{_M}, g AS (SELECT a.c AS r, b.c AS c, sum(a.v * b.v) AS v FROM a JOIN a b USING (r) WHERE a.c < 2 AND b.c < 2 GROUP BY 1, 2), m AS (SELECT max(v) FILTER (r = 0 AND c = 0) + 1 AS p, max(v) FILTER (r = 0 AND c = 1) AS q, max(v) FILTER (r = 1 AND c = 1) + 1 AS s FROM g) SELECT CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, round(CASE WHEN r + c = 1 THEN -q WHEN r = 0 THEN s ELSE p END / (p * s - q * q), 9) AS v FROM m, (SELECT unnest([0, 1]) AS r), (SELECT unnest([0, 1]) AS c)")
+def _(spark, d):
+    a = dense.part(_a(spark, d), (0, 25), (0, 2))
+    return dense.apply(dense.add_to_diagonal(dense.transpose_multiply(a, a), 1.0), np.linalg.inv).select("r", "c", r6("v", 9))
+
+
+@query("dense_root", f"{_M}, g AS (SELECT a.c AS r, b.c AS c, sum(a.v * b.v) AS v FROM a JOIN a b USING (r) WHERE a.c < 2 AND b.c < 2 GROUP BY 1, 2), m AS (SELECT max(v) FILTER (r = 0 AND c = 0) + 1 AS p, max(v) FILTER (r = 0 AND c = 1) AS q, max(v) FILTER (r = 1 AND c = 1) + 1 AS s FROM g), k AS (SELECT *, sqrt(p * s - q * q) AS h, sqrt(p + s + 2 * sqrt(p * s - q * q)) AS t FROM m) SELECT CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, round(CASE WHEN r + c = 1 THEN q WHEN r = 0 THEN p + h ELSE s + h END / t, 6) AS v FROM k, (SELECT unnest([0, 1]) AS r), (SELECT unnest([0, 1]) AS c)")
+def _(spark, d):
+    a = dense.part(_a(spark, d), (0, 25), (0, 2))
+    return dense.apply(dense.add_to_diagonal(dense.transpose_multiply(a, a), 1.0), dense.matrix_root).select("r", "c", r6("v"))
+
+
+@query("least_squares", "SELECT 'slope' AS name, round(regr_slope(l_extendedprice, l_quantity), 4) AS v FROM lineitem UNION ALL SELECT 'intercept', round(regr_intercept(l_extendedprice, l_quantity), 3) FROM lineitem")
+def _(spark, d):
+    w = dense.least_squares(t(spark, d, "lineitem").withColumn("one", F.lit(1.0)), ["one", "l_quantity"], "l_extendedprice")
+    return spark.createDataFrame([("slope", round(float(w[1]), 4)), ("intercept", round(float(w[0]), 3))], "name string, v double")
+
+
+@query("greedy_assignment")
+def _(spark, d):
+    return dense.greedy_assignment(_a(spark, d))
+
+
+# Tensors: a signal for each of seven directions of a part.
+
+_DIRECTIONS = [(1.0, 0.0, 0.0, 1.0), (0.0, 1.0, 0.0, 1.0), (0.0, 0.0, 1.0, 1.0), (0.6, 0.8, 0.0, 2.0), (0.6, 0.0, 0.8, 2.0), (0.0, 0.6, 0.8, 2.0), (0.48, 0.6, 0.64, 3.0)]
+
+
+def _fit_sql() -> str:
+    x, y, z, b = (np.array(c) for c in zip(*_DIRECTIONS))
+    rows = np.stack([b * x * x, 2 * b * x * y, 2 * b * x * z, b * y * y, 2 * b * y * z, b * z * z], axis=1)
+    p = np.linalg.solve(rows.T @ rows, rows.T)  # full rank: the normal equations
+    parts = ", ".join("CAST(" + " + ".join(f"({w!r}) * r[{i + 1}]" for i, w in enumerate(row.tolist())) + f" AS DOUBLE) AS {n}" for n, row in zip(("txx", "txy", "txz", "tyy", "tyz", "tzz"), p))
+    rates = ", ".join(f"(ln(CAST(100 AS DOUBLE)) - ln(s[{i + 1}])) / {d[3]}" for i, d in enumerate(_DIRECTIONS))
+    return f"""WITH s AS (SELECT p_partkey, [CASE WHEN (p_partkey + i) % 11 = 0 THEN 0.01 ELSE 100 * exp(-(p_size + (p_partkey * (i + 3)) % 17) / CAST(20 AS DOUBLE)) END FOR i IN range(7)] AS s FROM part),
+r AS (SELECT p_partkey, [{rates}] AS r FROM s), f AS (SELECT p_partkey, {parts} FROM r),
+q AS (SELECT *, txx + tyy + tzz AS tr, txx * txx + tyy * tyy + tzz * tzz + 2 * (txy * txy + txz * txz + tyz * tyz) AS sq FROM f)
+SELECT p_partkey, round(txx, 6) AS txx, round(tyz, 6) AS tyz, round(CASE WHEN sq > 0.1 THEN least(1.0, sqrt(greatest(0.0, 1.5 * (sq - tr * tr / 3)) / sq)) ELSE 0 END, 6) AS fa FROM q"""
+
+
+@query("tensor_fit", _fit_sql())
+def _(spark, d):
+    k = F.col("p_partkey")
+    signals = {f"s{i}": F.when((k + i) % 11 == 0, 0.0).otherwise(100 * F.exp(-(F.col("p_size") + (k * (i + 3)) % 17) / F.lit(20.0))) for i in range(7)}
+    fitted = tensor.fit(t(spark, d, "part").select("p_partkey", F.lit(100.0).alias("s"), *[c.alias(n) for n, c in signals.items()]), list(signals), "s", _DIRECTIONS)
+    return tensor.anisotropy(fitted).select("p_partkey", r6("txx"), r6("tyz"), r6("fa"))
+
+
 # Image tables and draws.
 
 @query("image_mean", f"WITH {VOL}, w AS (SELECT x, y, z, v * 3 + 1 AS v FROM vol) SELECT x, y, z, (vol.v + w.v) / 2 AS mean FROM vol JOIN w USING (x, y, z)")

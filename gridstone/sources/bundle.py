@@ -7,7 +7,9 @@ given. A reader splits a directory by file; a writer gives each task a file of i
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -75,7 +77,7 @@ class BundleSource(DataSource):
         return BundleReader(self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> "BundleWriter":
-        return BundleWriter(self.options["path"])
+        return BundleWriter(self.options["path"], overwrite)
 
 
 class BundleReader(DataSourceReader):
@@ -85,38 +87,71 @@ class BundleReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         from pyarrow import fs
 
-        f, p = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
+        f, p = _place(self.path)
         info = f.get_file_info(p)
         files = [info] if info.is_file else f.get_file_info(fs.FileSelector(p))
         return [InputPartition(x.path) for x in sorted(files, key=lambda x: x.path) if x.is_file and not x.base_name.startswith((".", "_"))]
 
     def read(self, partition: InputPartition):
-        from pyarrow import fs
-
-        f = fs.FileSystem.from_uri(self.path)[0] if "://" in self.path else fs.LocalFileSystem()
-        with f.open_input_file(partition.value) as file:
+        with _place(self.path)[0].open_input_file(partition.value) as file:
             for seq, (tag, attrs, data) in enumerate(read_records(file.read())):
                 yield partition.value, seq, tag, attrs, data
 
 
-class BundleWriter(DataSourceWriter):
-    def __init__(self, path: str):
-        self.path = path
+def _place(path: str):
+    """File system and folder of a path; one without a scheme is local."""
+    from pyarrow import fs
 
-    def write(self, rows) -> WriterCommitMessage:
-        import uuid
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """Name of the file that a task wrote; empty if it had no rows."""
+
+    name: str
 
-        from pyarrow import fs
 
-        f, p = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
+class BundleWriter(DataSourceWriter):
+    """Tasks write files that readers don't see; the commit shows one file of each task, however often tasks were run."""
+
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex
+
+    def write(self, rows) -> WriterCommitMessage:
+        f, p = _place(self.path)
         f.create_dir(p, recursive=True)
         raw = write_records([(r["tag"], dict(r["attrs"]), bytes(r["data"])) for r in rows])
+        name = uuid.uuid4().hex if raw else ""
         if raw:
-            name = f"{p}/{uuid.uuid4().hex}"
-            with f.open_output_stream(f"{p}/.{name.rpartition('/')[2]}") as out:
+            with f.open_output_stream(f"{p}/_{self.job}-{name}") as out:
                 out.write(raw)
-            f.move(f"{p}/.{name.rpartition('/')[2]}", name)
-        return WriterCommitMessage()
+        return Written(name)
+
+    def commit(self, messages) -> None:
+        from pyarrow import fs
+
+        f, p = _place(self.path)
+        if self.overwrite:
+            for x in f.get_file_info(fs.FileSelector(p, allow_not_found=True)):
+                if x.is_file and not x.base_name.startswith((".", "_")):
+                    f.delete_file(x.path)
+        for m in messages:
+            if m is not None and m.name:
+                f.move(f"{p}/_{self.job}-{m.name}", f"{p}/{m.name}")
+        self._clear()
+
+    def abort(self, messages) -> None:
+        self._clear()
+
+    def _clear(self) -> None:
+        """Files of attempts that were not committed go."""
+        from pyarrow import fs
+
+        f, p = _place(self.path)
+        for x in f.get_file_info(fs.FileSelector(p, allow_not_found=True)):
+            if x.base_name.startswith(f"_{self.job}-"):
+                f.delete_file(x.path)
 
 
 def register(spark: SparkSession) -> None:

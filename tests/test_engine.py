@@ -217,3 +217,122 @@ def test_running_values_without_exchange_reuse(spark):
     for n, (_, i, _) in enumerate(order):
         assert np.isclose(up[i][0], sum(x for *_, x in order[:n + 1])) and up[i][1] == min(x for *_, x in order[:n + 1]) and down[i] == min(x for *_, x in order[n:])
     assert running(df.where("k > 99"), ["k"], {"s": F.col("x")}).count() == 0
+
+
+def grid(spark, values):
+    """Rows of a small array indexed [z][y][x]."""
+    a = np.asarray(values, float)
+    return spark.createDataFrame([(x, y, z, float(a[z, y, x])) for z in range(a.shape[0]) for y in range(a.shape[1]) for x in range(a.shape[2])], "x int, y int, z int, v double")
+
+
+def test_volume_values(spark):
+    from gridstone.operators import volume
+
+    at = lambda df, name: {(r.z, r.y, r.x): r[name] for r in df.collect()}
+    a = np.arange(27.0).reshape(3, 3, 3) ** 1.5
+    df = grid(spark, a)
+    boxes = at(volume.box_stats(df, "v", 1), "mean")
+    assert np.isclose(boxes[0, 0, 0], a[:2, :2, :2].mean()) and np.isclose(boxes[1, 1, 1], a.mean())
+    assert np.isclose(at(volume.box_stats(df, "v", 1), "var")[0, 1, 2], a[:2, :, 1:].var(ddof=1))
+    assert np.allclose(list(at(volume.gaussian(grid(spark, np.full((3, 4, 5), 7.0)), "v", 1.0), "smooth").values()), 7.0)
+    assert at(volume.subimage(df, "v"), "sub")[0, 0, 0] == [0.0] * 13 + [a[0, 0, 0], a[0, 0, 1], 0.0, a[0, 1, 0], a[0, 1, 1], 0.0, 0.0, 0.0, 0.0, a[1, 0, 0], a[1, 0, 1], 0.0, a[1, 1, 0], a[1, 1, 1]]
+    flat = volume.nonlocal_means(grid(spark, np.full((3, 3, 3), 4.0)), "v", 1, 1, 1.0)
+    assert set(at(flat, "denoised").values()) == {4.0}
+    same = volume.rescale(df, "v", (3, 3, 3), (3, 3, 3))
+    assert np.allclose([at(same, "v")[z, y, x] - a[z, y, x] for z in range(3) for y in range(3) for x in range(3)], 0)
+    half = at(volume.rescale(grid(spark, np.arange(8.0).reshape(1, 1, 8)), "v", (8, 1, 1), (4, 1, 1)), "v")
+    assert [half[0, 0, x] for x in range(4)] == [0.0, 2.0, 4.0, 6.0]
+
+
+@pytest.mark.parametrize(("sites", "c26", "c6"), [([(0, 0, 0)], 1, 1), ([(0, 0, 0), (1, 1, 1)], 1, 2), ([(0, 0, 0), (5, 5, 5)], 2, 2), ([(x, y, z) for x in range(3) for y in range(3) for z in range(3)], 1, 1),
+                                                  ([(x, y, z) for x in range(3) for y in range(3) for z in range(3) if (x, y, z) != (1, 1, 1)], 2, 2), ([(x, y, 0) for x in range(3) for y in range(3) if (x, y) != (1, 1)], 0, 0)])
+def test_euler_values(spark, sites, c26, c6):
+    from gridstone.operators import volume
+
+    row = volume.euler(spark.createDataFrame(sites, "x int, y int, z int")).first()
+    assert (row.c26, row.c6) == (c26, c6)
+
+
+def test_bundle_commit(spark, tmp_path):
+    from gridstone.sources import bundle
+
+    bundle.register(spark)
+    rows = spark.createDataFrame([("a", {"k": "1"}, bytearray(b"x")), ("b", {"k": "2"}, bytearray(b"yy"))], "tag string, attrs map<string,string>, data binary")
+    path = str(tmp_path / "b")
+    rows.write.format("bundle").mode("append").save(path)
+    rows.write.format("bundle").mode("append").save(path)
+    assert spark.read.format("bundle").load(path).count() == 4
+    rows.limit(1).write.format("bundle").mode("overwrite").save(path)
+    assert spark.read.format("bundle").load(path).count() == 1 and not [x for x in os.listdir(path) if x.startswith("_")]
+    late = bundle.BundleWriter(path, False)
+    lost, kept = (late.write(iter([{"tag": "c", "attrs": {}, "data": b"z"}])) for _ in range(2))  # a task that ran twice
+    late.commit([kept])
+    assert spark.read.format("bundle").load(path).count() == 2 and lost.name not in os.listdir(path) and len(os.listdir(path)) == 2
+
+
+def test_variational_mixture(spark):
+    from gridstone.operators import mixture
+
+    rng = np.random.default_rng(4)
+    centres = np.array([[0.0, 0.0, 0.0], [6.0, 0.0, 0.0], [0.0, 7.0, 3.0]])
+    label = rng.integers(0, 3, 900)
+    x = centres[label] + rng.normal(size=(900, 3)) * [1.0, 0.5, 0.8]
+    df = spark.createDataFrame([(i, int(k), v.tolist()) for i, (k, v) in enumerate(zip(label, x))] + [(9000, 0, None)], "id int, label int, f array<double>").repartition(3)
+    model = mixture.variational_mixture(df, "f", [[1.0, 1.0, 0.0], [5.0, 0.0, 1.0], [0.0, 6.0, 2.0], [40.0, 40.0, 40.0]])
+    assert len(model.alpha) == 3 and np.allclose(sorted(model.mean.tolist()), sorted(centres.tolist()), atol=0.2)  # the far class is removed
+    out = mixture.classify(df, "f", model).toPandas()
+    assert out[out.id == 9000].cluster.tolist() == [-1]
+    seen = out[out.id < 9000]
+    names = {k: g.cluster.mode()[0] for k, g in seen.groupby("label")}
+    assert len(set(names.values())) == 3 and (seen.label.map(names) == seen.cluster).mean() > 0.98
+    # a round by the definition, point by point: the fitted parameters are its fixpoint
+    r = model.responsibilities(x)[0]
+    n_k, mean = r.sum(axis=0), (r.T @ x) / r.sum(axis=0)[:, None]
+    m = (x.mean(axis=0) + n_k[:, None] * mean) / (1 + n_k[:, None])
+    scale = np.eye(3) * 3
+    for k in range(3):
+        w = scale + sum(r[i, k] * np.outer(x[i] - mean[k], x[i] - mean[k]) for i in range(900)) + n_k[k] / (1 + n_k[k]) * np.outer(mean[k] - x.mean(axis=0), mean[k] - x.mean(axis=0))
+        assert np.allclose(w, model.scale[k], rtol=1e-3) and np.allclose(m[k], model.mean[k], atol=1e-3)
+    ranked = {r["label"]: r["rank"] for r in mixture.rank_classes(df.where("f is not null").selectExpr("label", "f[1] as v"), "label", "v").collect()}
+    assert ranked[2] == 2 and sorted(ranked.values()) == [0, 1, 2]
+
+
+def test_tensor_values(spark):
+    from gridstone.operators import tensor
+
+    rng = np.random.default_rng(2)
+    directions = [(*(v / np.linalg.norm(v)).tolist(), 1.0) for v in rng.normal(size=(12, 3))]
+    d = np.array([[1.7, 0.2, 0.1], [0.2, 0.4, -0.1], [0.1, -0.1, 0.3]])
+    signals = [float(80 * np.exp(-np.array(g[:3]) @ d @ np.array(g[:3]))) for g in directions]
+    names = [f"s{i}" for i in range(12)]
+    rows = spark.createDataFrame([(80.0, *signals), (0.0, *signals)], ["b0", *names])
+    out = tensor.anisotropy(tensor.fit(rows, names, "b0", directions)).orderBy("b0").collect()
+    assert np.allclose([out[1][n] for n in tensor.PARTS], [1.7, 0.2, 0.1, 0.4, -0.1, 0.3]) and out[0].fa == 0.0
+    e = np.linalg.eigvalsh(d)
+    assert np.isclose(out[1].fa, np.sqrt(1.5 * ((e - e.mean()) ** 2).sum() / (e ** 2).sum()))
+
+
+def test_greedy_assignment_brute_force(spark):
+    from gridstone.operators import dense
+
+    rng = np.random.default_rng(5)
+    for m in (rng.integers(0, 6, (7, 5)).astype(float), np.zeros((2, 2)), rng.random((4, 6))):
+        left, want = m.copy(), set()
+        while left.max() > 0:
+            c, r = divmod(int(left.T.argmax()), left.shape[0])  # column by column
+            want.add((r, c, m[r, c]))
+            left[r], left[:, c] = 0, 0
+        assert {tuple(x) for x in dense.greedy_assignment(dense.table(spark, m)).collect()} == want
+
+
+def test_small_matrices(spark):
+    from gridstone.operators import dense
+
+    rng = np.random.default_rng(6)
+    a = rng.normal(size=(5, 5))
+    m = a @ a.T + np.eye(5)
+    assert np.allclose(dense.small(dense.apply(dense.table(spark, m), np.linalg.inv)) @ m, np.eye(5))
+    assert np.allclose(dense.matrix_root(m) @ dense.matrix_root(m), m) and np.allclose(dense.matrix_root(m, True) @ dense.matrix_root(m), np.eye(5))
+    assert np.allclose(dense.matrix_exp(dense.matrix_log(m)), m)
+    with pytest.raises(ValueError):
+        dense.small(spark.createDataFrame([(5000, 0, 1.0)], "r int, c int, v double"))

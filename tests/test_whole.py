@@ -15,8 +15,8 @@ def test_whole_vectors_equal_sql(spark, name):
 
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
-    got = bindings.queries()[f"{name}_whole"](spark, SF).toPandas()
-    want = con.execute(bindings.oracle_sql()[f"{name}_whole"]).df()[list(got.columns)]
+    got = bindings.queries()[name](spark, SF).toPandas()
+    want = con.execute(bindings.oracle_sql()[name]).df()[list(got.columns)]
     by = list(got.columns)[:2] if len(want) > 1 else []
     a, b = (x.sort_values(by).to_numpy(float) if by else x.to_numpy(float) for x in (got, want))
     assert a.shape == b.shape and np.allclose(a, b, atol=1e-6)
