@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Keys that cut points are taken from at most, those with the least hash; and ranges at most.
+#: Different keys that cut points are taken from, about: those whose hash is under a share of its range; and ranges at most.
 SAMPLE, RANGES = 20_000, 400
 
 
@@ -18,7 +18,9 @@ def ranges(df: DataFrame, key: str, name: str = "_range") -> DataFrame:
     """``df`` with the number of its range, in the order of ``key``; null keys are in the first one."""
     spark = df.sparkSession
     parts = min(RANGES, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    keys = sorted(r[0] for r in df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(SAMPLE).collect())
+    different = df.agg(F.approx_count_distinct(key)).first()[0]
+    few = F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(1, different)))
+    keys = sorted(r[0] for r in df.select(key).where(F.col(key).isNotNull() & few).distinct().collect())
     cuts = sorted({keys[i * len(keys) // parts] for i in range(1, parts)}) if len(keys) > 1 else []
     if not cuts:
         return df.withColumn(name, F.lit(0))
