@@ -23,7 +23,7 @@ BUCKETS = 128
 TRIPLETS = [(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)]
 #: Most that the parts of a difference add to it: length, ratios, buckets.
 LENGTH_MOST, RATIO_MOST, WORST = 32, 24, 3 * BUCKETS
-#: Ids that cut points are taken from at most, those with the least hash.
+#: Different ids that cut points are taken from, about: those whose hash is under a share of its range.
 SAMPLE = 20_000
 
 _SALTS = (np.random.default_rng(128).integers(0, 1 << 32, (len(TRIPLETS), 3, 256))).astype(np.uint32)
@@ -113,10 +113,11 @@ def with_next(docs: DataFrame, run, schema: T.StructType, id_col: str = "doc_id"
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     keys = base.select("_id")
-    n = keys.count()
+    n, different = keys.agg(F.count(F.lit(1)), F.approx_count_distinct("_id")).first()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // per_part))
     id_type = docs.schema[id_col].dataType
-    seen = sorted(r[0] for r in keys.where("_id is not null").orderBy(F.xxhash64("_id")).limit(SAMPLE).collect()) if parts > 1 else []
+    few = F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(1, different)))
+    seen = sorted(r[0] for r in keys.where(F.col("_id").isNotNull() & few).distinct().collect()) if parts > 1 else []
     cuts = sorted({seen[i * len(seen) // parts] for i in range(1, parts)}) if seen else []
     # part 0 has the largest ids, as rows go in descending order; null ids come last
     at_or_below = F.size(F.filter(F.array(*[F.lit(c).cast(id_type) for c in cuts]), lambda c: c <= F.col("_id"))) if cuts else F.lit(0)
