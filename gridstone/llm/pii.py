@@ -63,7 +63,7 @@ CUES = "ssn social security national id passport tax insurance account acct iban
 #: Words that a name may follow.
 TITLES = "mr mrs ms dr prof sir madam herr frau monsieur madame señor señora name dear patient signed sincerely regards employee tenant author contact".split()
 GIVEN = (
-    "anna maria john james robert michael william david mary patricia jennifer linda elizabeth susan jessica sarah karen thomas charles daniel matthew anthony mark paul steven andrew kevin brian george edward peter "
+    "anna maria john james robert michael william david mary patricia jennifer linda elizabeth susan jessica sarah karen thomas charles daniel matthew anthony mark paul steven andrew kevin george edward peter "
     "hans klaus jürgen wolfgang ute petra sabine monika jean pierre marie claire sophie luc michel carlos jose juan luis miguel carmen lucia pablo diego emma olivia noah liam laura julia martin alice eleanor"
 ).split()
 #: Words that a street address holds, and ends of one.
