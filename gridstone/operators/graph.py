@@ -6,15 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridstone.operators.ordered import running
+from gridstone.state import shared_root
 
 
 def _cut(df: DataFrame) -> DataFrame:
     """Lineage ends in the cluster's checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="gridstone-"))
+    shared_root(df.sparkSession)
     return df.checkpoint()
 
 

@@ -1,207 +1,305 @@
-"""Filters and measures of dense three-dimensional grids, kept as rows (x, y, z, value).
+"""Filters and measures of dense three-dimensional grids, kept as rows (keys, x, y, z, value).
 
-What separates goes by one window pass an axis; what needs the values around a site goes by an equi-join on shifted sites. Sites
-outside the grid are left out, so a grid needs no border. All sites are spread by their place, and no key holds more
-than a line of the grid.
+``keys`` are the columns that tell the grids of an image table apart; no filter looks from one grid into another. What needs the values
+around a site goes over bricks with rims (``bricks``), one shuffle a filter. Neighbours are those at the places beside a
+site: where a place has no site, or a null value, it is left out, so a grid needs no border and may have holes.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from gridstone.operators import bricks
+from gridstone.operators.bricks import AXES, brick_tables, over_bricks, shifted
 from gridstone.operators.sequence import gaussian_taps
 
-AXES = ("x", "y", "z")
-
-
-def _line(axis: str) -> Window:
-    return Window.partitionBy(*[a for a in AXES if a != axis]).orderBy(axis)
+Keys = Iterable[str]
 
 
 def _offsets(half: int, kept=lambda o: True) -> Column:
     return F.explode(F.array(*[F.struct(*[F.lit(k).alias(f"d{a}") for a, k in zip(AXES, o)]) for o in product(range(-half, half + 1), repeat=3) if kept(o)])).alias("_o")
 
 
-def around(df: DataFrame, values: list[str], half: int = 1, kept=lambda o: True) -> DataFrame:
+def around(df: DataFrame, values: list[str], half: int = 1, kept=lambda o: True, keys: Keys = ()) -> DataFrame:
     """``df`` beside each row of the box of ``half`` around a site: dx, dy, dz and the other's values, named with an underscore before."""
-    there = df.select(*AXES, *values, _offsets(half, kept))
-    there = there.select(*[(F.col(a) - F.col(f"_o.d{a}")).cast(df.schema[a].dataType).alias(a) for a in AXES], *[F.col(v).alias(f"_{v}") for v in values], *[F.col(f"_o.d{a}").alias(f"d{a}") for a in AXES])
-    return df.join(there, list(AXES))
+    there = df.select(*keys, *AXES, *values, _offsets(half, kept))
+    there = there.select(*keys, *[(F.col(a) - F.col(f"_o.d{a}")).cast(df.schema[a].dataType).alias(a) for a in AXES], *[F.col(v).alias(f"_{v}") for v in values], *[F.col(f"_o.d{a}").alias(f"d{a}") for a in AXES])
+    return df.join(there, [*keys, *AXES])
+
+
+def box_stats(df: DataFrame, v: str, half: int, keys: Keys = ()) -> DataFrame:
+    """n, mean and sample variance (0 for one site) over the box around each site; squares are taken about the box's mean."""
+    def f(arrays):
+        return dict(zip(("n", "mean", "var"), bricks.box_stats(arrays[v], half)))
 
+    return over_bricks(df, [v], half, f, {"n": "bigint", "mean": "double", "var": "double"}, keys)
 
-def box_stats(df: DataFrame, v: str, half: int) -> DataFrame:
-    """n, mean and sample variance (0 for one site) over the box around each site: sums of counts, values and squares, an axis at a time."""
-    out = df.withColumn("n", F.lit(1)).withColumn("_s", F.col(v)).withColumn("_q", F.col(v) * F.col(v))
-    for axis in AXES:
-        w = _line(axis).rowsBetween(-half, half)
-        out = out.withColumns({c: F.sum(c).over(w) for c in ("n", "_s", "_q")})
-    mean = F.col("_s") / F.col("n")
-    return out.withColumn("mean", mean).withColumn("var", F.when(F.col("n") > 1, F.greatest(F.lit(0.0), F.col("_q") - F.col("_s") * mean) / (F.col("n") - 1)).otherwise(0.0)).drop("_s", "_q")
 
+def gaussian(df: DataFrame, v: str, sigma: float, name: str = "smooth", keys: Keys = (), mask: str | None = None) -> DataFrame:
+    """Separable Gaussian; weights outside the grid, or where the boolean column ``mask`` is not true, are made up for by the rest. A site off the mask keeps its value."""
+    taps = np.array(gaussian_taps(sigma))
+    half = len(taps) // 2
 
-def gaussian(df: DataFrame, v: str, sigma: float, name: str = "smooth") -> DataFrame:
-    """Separable Gaussian; weights outside the grid are made up for by the rest."""
-    taps = gaussian_taps(sigma)
-    half, out = len(taps) // 2, df.withColumn("_v", F.col(v).cast("double")).withColumn("_w", F.lit(1.0))
-    for axis in AXES:
-        w = _line(axis)
-        at = lambda c, k: F.col(c) if k == half else F.coalesce((F.lag if k < half else F.lead)(c, abs(k - half)).over(w), F.lit(0.0))  # noqa: B023, E731
-        out = out.withColumns({c: sum((at(c, k) * float(g) for k, g in enumerate(taps)), F.lit(0.0)) for c in ("_v", "_w")})
-    return out.withColumn(name, F.col("_v") / F.col("_w")).drop("_v", "_w")
+    def f(arrays):
+        held = np.isfinite(arrays[v]) & (True if mask is None else arrays[mask] == 1)
+        sums = [np.where(held, arrays[v], 0.0), held.astype(float)]
+        for axis in range(3):
+            sums = [sum((g * shifted(s, tuple(k - half if i == axis else 0 for i in range(3)), 0) for k, g in enumerate(taps)), np.zeros_like(s)) for s in sums]
+        return {name: np.where(held, sums[0] / np.where(held, sums[1], 1.0), arrays[v])}
 
+    df = df if mask is None else df.withColumn(mask, F.col(mask).cast("double"))
+    return over_bricks(df, [v] if mask is None else [v, mask], half, f, {name: "double"}, keys)
 
-def lee(df: DataFrame, v: str, half: int, d: float, name: str = "lee") -> DataFrame:
+
+def lee(df: DataFrame, v: str, half: int, d: float, name: str = "lee", keys: Keys = ()) -> DataFrame:
     """Mean of the box's values that differ from the site's by less than d; the site's own if there is none."""
-    near = around(df.select(*AXES, v), [v], half).where(F.abs(F.col(f"_{v}") - F.col(v)) < d)
-    found = near.groupBy(*AXES).agg(F.avg(f"_{v}").alias(name))
-    return df.join(found, list(AXES), "left").withColumn(name, F.coalesce(name, F.col(v)))
+    def f(arrays):
+        a = arrays[v]
+        total, n = np.zeros_like(a), np.zeros_like(a)
+        for o in bricks.box(half):
+            other = shifted(a, o)
+            near = np.abs(other - a) < d
+            total += np.where(near, other - a, 0.0)
+            n += near
+        return {name: a + total / np.maximum(n, 1)}
+
+    return over_bricks(df, [v], half, f, {name: "double"}, keys)
+
 
+def median(df: DataFrame, v: str, half: int = 1, name: str = "median", keys: Keys = ()) -> DataFrame:
+    return over_bricks(df, [v], half, lambda arrays: {name: bricks.medians(arrays[v], half)}, {name: "double"}, keys)
 
-def median(df: DataFrame, v: str, half: int = 1, name: str = "median") -> DataFrame:
-    return around(df.select(*AXES, v), [v], half).groupBy(*AXES).agg(F.median(f"_{v}").alias(name))
 
+def rank_filter(df: DataFrame, mask: str, least: int, name: str = "kept", keys: Keys = ()) -> DataFrame:
+    """A mask that holds where ``least`` or more of the 26 neighbours are in the mask. The rule is this library's own."""
+    def f(arrays):
+        a = arrays["_m"] == 1
+        return {name: sum((shifted(a, o, False) for o in bricks.box(1) if any(o)), np.zeros(a.shape, int)) >= least}
 
-def rank_filter(df: DataFrame, mask: str, least: int, name: str = "kept") -> DataFrame:
-    """A mask that holds where ``least`` or more of the 26 neighbours are in the mask."""
-    near = around(df.select(*AXES, mask), [mask], 1, lambda o: any(o))
-    return near.groupBy(*AXES).agg((F.count_if(F.col(f"_{mask}")) >= least).alias(name))
+    flags = df.select(*keys, *AXES, F.coalesce(F.col(mask), F.lit(False)).cast("double").alias("_m"))
+    return over_bricks(flags, ["_m"], 1, f, {name: "boolean"}, keys).drop("_m")
 
 
-def subimage(df: DataFrame, v: str, name: str = "sub") -> DataFrame:
-    """The 27 values around each site as an array, x fastest, 0 outside."""
-    pairs = around(df.select(*AXES, v), [v], 1).select(*AXES, ((F.col("dz") + 1) * 9 + (F.col("dy") + 1) * 3 + F.col("dx") + 1).alias("_k"), f"_{v}")
-    held = pairs.groupBy(*AXES).agg(F.map_from_entries(F.collect_list(F.struct("_k", f"_{v}"))).alias("_m"))
-    return held.select(*AXES, F.transform(F.sequence(F.lit(0), F.lit(26)), lambda k: F.coalesce(F.element_at("_m", k), F.lit(0.0))).alias(name))
+def subimage(df: DataFrame, v: str, name: str = "sub", keys: Keys = ()) -> DataFrame:
+    """The 27 values around each site as an array, x fastest; all 0 for a site on the border of the grid (one of its six neighbours is absent)."""
+    def f(arrays):
+        a = arrays[v]
+        near = np.stack([np.nan_to_num(shifted(a, (i, j, k))) for k in (-1, 0, 1) for j in (-1, 0, 1) for i in (-1, 0, 1)], axis=-1)
+        return {name: np.where(bricks.inner(a)[..., None], near, 0.0)}
 
+    return over_bricks(df, [v], 1, f, {name: "array<double>"}, keys)
 
-def gradients(df: DataFrame, v: str) -> DataFrame:
-    """Central differences gx, gy, gz, their magnitude, the Laplacian and the cross differences gxy, gxz, gyz; one-sided sites count 0."""
-    out = df
-    step = lambda c, axis: (F.lead(c).over(_line(axis)) - F.lag(c).over(_line(axis))) / 2
-    second = lambda axis: F.coalesce(F.lead(v).over(_line(axis)) - 2 * F.col(v) + F.lag(v).over(_line(axis)), F.lit(0.0))
-    out = out.withColumns({f"g{a}": F.coalesce(step(v, a), F.lit(0.0)) for a in AXES}).withColumn("laplace", sum((second(a) for a in AXES), F.lit(0.0)))
-    out = out.withColumns({f"g{a}{b}": F.coalesce(step(f"g{a}", b), F.lit(0.0)) for a, b in (("x", "y"), ("x", "z"), ("y", "z"))})
-    return out.withColumn("magnitude", F.sqrt(F.col("gx") ** 2 + F.col("gy") ** 2 + F.col("gz") ** 2))
 
+def gradients(df: DataFrame, v: str, keys: Keys = ()) -> DataFrame:
+    """Central differences gx, gy, gz (halved), their magnitude, the Laplacian, and the corner differences gxy, gxz, gyz (not divided); all 0 on the border of the grid."""
+    names = ("gx", "gy", "gz", "laplace", "gxy", "gxz", "gyz", "magnitude")
 
-def zero_crossings(df: DataFrame, v: str, name: str = "crossing") -> DataFrame:
-    """True where a value and the next one along an axis have unlike signs."""
-    ahead = [F.coalesce(F.lead(v).over(_line(a)) * F.col(v) < 0, F.lit(False)) for a in AXES]
-    return df.withColumn(name, ahead[0] | ahead[1] | ahead[2])
+    def f(arrays):
+        a = arrays[v]
+        at = lambda **o: shifted(a, tuple(o.get(n, 0) for n in AXES))
+        step = [(at(**{n: 1}) - at(**{n: -1})) / 2 for n in AXES]
+        bend = sum(at(**{n: 1}) - 2 * a + at(**{n: -1}) for n in AXES)
+        cross = [at(**{m: 1, n: 1}) - at(**{m: 1, n: -1}) - at(**{m: -1, n: 1}) + at(**{m: -1, n: -1}) for m, n in (("x", "y"), ("x", "z"), ("y", "z"))]
+        inside = bricks.inner(a)
+        found = [*step, bend, *cross, np.sqrt(sum(g * g for g in step))]
+        return {n: np.where(inside, np.nan_to_num(g), 0.0) for n, g in zip(names, found)}
 
+    return over_bricks(df, [v], 1, f, dict.fromkeys(names, "double"), keys)
 
-def diffuse(df: DataFrame, v: str, kappa: float, rate: float = 0.1, rounds: int = 1) -> DataFrame:
-    """Anisotropic diffusion: each round adds rate times the sum of exp(-(d / kappa)^2) d over the differences d to the six neighbours."""
-    out = df.withColumn("_v", F.col(v).cast("double"))
-    for _ in range(rounds):
-        d = [F.coalesce(f("_v").over(_line(a)) - F.col("_v"), F.lit(0.0)) for a in AXES for f in (F.lag, F.lead)]
-        out = out.withColumn("_v", F.col("_v") + rate * sum((F.exp(-(x / kappa) * (x / kappa)) * x for x in d), F.lit(0.0)))
-    return out.withColumn(v, F.col("_v")).drop("_v")
 
+def zero_crossings(df: DataFrame, v: str, name: str = "crossing", keys: Keys = ()) -> DataFrame:
+    """True where a value and the next one along an axis have unlike signs. The rule is this library's own."""
+    def f(arrays):
+        a = arrays[v]
+        return {name: (shifted(a, (1, 0, 0)) * a < 0) | (shifted(a, (0, 1, 0)) * a < 0) | (shifted(a, (0, 0, 1)) * a < 0)}
 
-def patch_distance(pairs: DataFrame, df: DataFrame, v: str, half: int) -> DataFrame:
-    """``pairs`` (x, y, z, tx, ty, tz) with the mean squared difference of the boxes around both sites, over places inside the grid for both."""
+    return over_bricks(df, [v], 1, f, {name: "boolean"}, keys)
+
+
+def diffuse(df: DataFrame, v: str, kappa: float, rate: float = 0.1, rounds: int = 1, keys: Keys = ()) -> DataFrame:
+    """Anisotropic diffusion: each round adds rate times the sum of exp(-(d / kappa)^2) d over the differences d to the six neighbours. The rule is this library's own.
+
+    The rim is as wide as there are rounds, so all of them take one shuffle."""
+    def f(arrays):
+        a = arrays[v]
+        for _ in range(rounds):
+            d = [shifted(a, tuple(k if i == axis else 0 for i in range(3))) - a for axis in range(3) for k in (-1, 1)]
+            a = a + rate * sum((np.where(np.isfinite(x), np.exp(-(x / kappa) ** 2) * x, 0.0) for x in d), np.zeros_like(a))
+        return {"_v": a}
+
+    return over_bricks(df, [v], rounds, f, {"_v": "double"}, keys).drop(v).withColumnRenamed("_v", v)
+
+
+def patch_distance(pairs: DataFrame, df: DataFrame, v: str, half: int, keys: Keys = ()) -> DataFrame:
+    """``pairs`` (keys, x, y, z, tx, ty, tz) with the mean squared difference of the boxes around both sites, over places inside the grid for both."""
     box = pairs.select("*", _offsets(half))
-    own = df.select(*[F.col(a).alias(f"_s{a}") for a in AXES], F.col(v).alias("_sv"))
-    other = df.select(*[F.col(a).alias(f"_t{a}") for a in AXES], F.col(v).alias("_tv"))
+    own = df.select(*keys, *[F.col(a).alias(f"_s{a}") for a in AXES], F.col(v).alias("_sv"))
+    other = df.select(*keys, *[F.col(a).alias(f"_t{a}") for a in AXES], F.col(v).alias("_tv"))
     at = lambda names, mark: [(F.col(c) + F.col(f"_o.d{a}")).cast(df.schema[a].dataType).alias(f"_{mark}{a}") for c, a in zip(names, AXES)]
     box = box.select(*pairs.columns, *at(AXES, "s"), *at([f"t{a}" for a in AXES], "t"))
-    met = box.join(own, [f"_s{a}" for a in AXES]).join(other, [f"_t{a}" for a in AXES])
+    met = box.join(own, [*keys, *[f"_s{a}" for a in AXES]]).join(other, [*keys, *[f"_t{a}" for a in AXES]])
     return met.groupBy(*pairs.columns).agg(F.avg((F.col("_sv") - F.col("_tv")) ** 2).alias("dist"))
 
 
-def nonlocal_means(df: DataFrame, v: str, reach: int, half: int, noise: float, name: str = "denoised") -> DataFrame:
+#: 42 is the sum of squares of the weights 6 and six times -1; the ratios of means and of variances that non-local means admit.
+RESIDUAL, MEAN_RATIO, VAR_RATIO = 42, 0.95, 0.5
+
+
+def noise(df: DataFrame, v: str, keys: Keys = ()) -> DataFrame:
+    """(keys, noise): noise variance of each grid, the mean square of six times a value less its six neighbours, over 42; 0 without such sites."""
+    keys = list(keys)
+
+    def run(rows, arrays, places):
+        a = arrays[v]
+        r = 6 * a
+        for axis in range(3):
+            for k in (-1, 1):
+                r = r - shifted(a, tuple(k if i == axis else 0 for i in range(3)))
+        r = r[places]
+        r = r[np.isfinite(r)]
+        return pa.table({**{k: rows[k].slice(0, 1) for k in keys}, "_s": [float((r * r).sum())], "_n": [float(len(r))]})
+
+    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("_s", T.DoubleType()), T.StructField("_n", T.DoubleType())])
+    sums = brick_tables(df, [v], 1, run, schema, keys).groupBy(*keys).agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
+    return sums.select(*keys, F.when(F.col("_n") > 0, F.col("_s") / (RESIDUAL * F.col("_n"))).otherwise(0.0).alias("noise"))
+
+
+def nonlocal_means(df: DataFrame, v: str, reach: int, half: int, variance: float | None = None, name: str = "denoised", keys: Keys = (), rician: bool = False) -> DataFrame:
     """Each site's mean over the sites in its ``reach`` whose boxes have a mean ratio of 0.95 and a variance ratio of 0.5 or nearer to 1,
-    weighted by exp(-patch distance / 2 noise). Sites of mean or variance 0 keep their value."""
-    low_mean, low_var = 0.95, 0.5
-    stats = box_stats(df.select(*AXES, v), v, half).select(*AXES, v, "mean", "var")
-    near = around(stats.where("mean != 0 and var != 0"), [v, "mean", "var"], reach)
-    ratio = lambda c: F.col(c) / F.col(f"_{c}")
-    near = near.where(ratio("mean").between(low_mean, 1 / low_mean) & ratio("var").between(low_var, 1 / low_var))
-    pairs = near.select(*AXES, *[(F.col(a) + F.col(f"d{a}")).cast(df.schema[a].dataType).alias(f"t{a}") for a in AXES], F.col(f"_{v}").alias("_other"))
-    weighed = patch_distance(pairs, df, v, half).withColumn("_w", F.exp(-F.col("dist") / (2 * noise)))
-    found = weighed.groupBy(*AXES).agg((F.sum(F.col("_other") * F.col("_w")) / F.sum("_w")).alias(name))
-    return df.join(found, list(AXES), "left").withColumn(name, F.coalesce(name, F.col(v)))
+    weighted by exp(-patch distance / 2 noise). Sites of mean or variance 0 keep their value.
+
+    The noise variance is each grid's own (``noise``), unless one is given. ``rician``: the root of the weighted mean of squares less twice the
+    noise variance, 0 where that is negative. Without noise only equal patches count.
+    """
+    keys = list(keys)
+    if variance is None:
+        known = df.select(*keys, *AXES, v)
+        own = noise(df, v, keys).withColumnRenamed("noise", "_noise")
+        known = known.join(own, keys) if keys else known.crossJoin(F.broadcast(own))  # one row
+    else:
+        known = df.select(*keys, *AXES, v, F.lit(float(variance)).alias("_noise"))
+
+    def f(arrays):
+        s2 = float(np.nanmax(arrays["_noise"]))
+        return {name: bricks.nonlocal_mean(arrays[v], reach, half, s2, rician, MEAN_RATIO, VAR_RATIO)}
+
+    return over_bricks(known, [v, "_noise"], reach + half, f, {name: "double"}, keys).drop("_noise")
 
 
 #: The seven neighbours of a site that none of the others' seven repeats.
 FORWARD = [o for o in product((0, 1), repeat=3) if any(o)]
 
 
-def cooccurrence(df: DataFrame, intensity: str, magnitude: str, gradient: list[str], ranges: dict[str, tuple[float, float, int]], angles: int) -> DataFrame:
-    """(kind, i, j, share): co-occurrences of intensity bins, gradient bins and angle bins of sites and their forward neighbours.
+#: Fixed value: a table of fewer pairs has no distance to others.
+LEAST_PAIRS = 120
+
+
+def cooccurrence(df: DataFrame, intensity: str, magnitude: str, gradient: list[str], ranges: dict[str, tuple[float, float, int]], angles: int, keys: Keys = (), mask: str | None = None) -> DataFrame:
+    """(keys, kind, i, j, share, pairs): co-occurrences of intensity bins, gradient bins and angle bins of sites and their forward neighbours.
+
+    ``ranges`` has low, high and number of bins of the intensity and the magnitude; a pair counts only if both sites are inside both and,
+    where a boolean column ``mask`` is given, on it. Angle bins part the arc cosine, from 0 to pi, of the dot product of both
+    gradients, cut at -1 and 1. Shares are of all ``pairs`` of the grid. Pairs are counted in each brick before they are shuffled.
+    """
+    keys, values = list(keys), [intensity, magnitude, *gradient, *([mask] if mask else [])]
+
+    def bin_of(a: np.ndarray, low: float, high: float, n: int) -> np.ndarray:
+        return np.where((a >= low) & (a < high), np.floor(n * (a - low) / (high - low)), np.nan)
+
+    def run(rows, arrays, places):
+        i, g = (bin_of(arrays[c], *ranges[c]) for c in (intensity, magnitude))
+        good = np.isfinite(i) & np.isfinite(g) & (arrays[mask] == 1 if mask else True)
+        own = np.zeros(good.shape, bool)
+        own[places] = True
+        found = []
+        for o in FORWARD:
+            at = own & good & shifted(good, o, False)
+            pick = lambda a: (a[at].astype(int), shifted(a, o)[at].astype(int))  # noqa: B023, E731
+            dot = sum((arrays[c] * shifted(arrays[c], o))[at] for c in gradient)
+            angle = np.minimum(np.floor(np.arccos(np.clip(dot, -1, 1)) * angles / math.pi), angles - 1).astype(int)
+            for kind, (a, b) in (("intensity", pick(i)), ("gradient", pick(g)), ("angle", (angle, np.zeros(len(angle), int)))):
+                found += [(kind, int(a_), int(b_), int(n)) for (a_, b_), n in zip(*np.unique(np.stack([a, b], axis=1), axis=0, return_counts=True))]
+        kinds, firsts, seconds, n = zip(*found) if found else ((), (), (), ())
+        same = {k: pa.array([rows[k][0].as_py()] * len(kinds), rows.schema.field(k).type) for k in keys}
+        return pa.table({**same, "kind": pa.array(kinds, pa.string()), "i": pa.array(firsts, pa.int32()), "j": pa.array(seconds, pa.int32()), "n": pa.array(n, pa.int64())})
+
+    schema = T.StructType([df.schema[k] for k in keys] + list(T._parse_datatype_string("kind string, i int, j int, n bigint")))
+    counts = brick_tables(df if mask is None else df.withColumn(mask, F.col(mask).cast("double")), values, 1, run, schema, keys).groupBy(*keys, "kind", "i", "j").agg(F.sum("n").alias("n"))
+    pairs = F.sum("n").over(Window.partitionBy(*keys, "kind"))  # rows of a window are bins
+    return counts.select(*keys, "kind", "i", "j", (F.col("n") / pairs).alias("share"), pairs.alias("pairs"))
 
-    ``ranges`` has low, high and number of bins of the intensity and the magnitude; a pair counts only if both sites are inside both.
-    Angle bins part the cosine of the gradients from -1 to 1; a site without a gradient has cosine 0. Shares are of all pairs."""
-    def bin_of(c: str) -> Column:
-        low, high, n = ranges[c]
-        return F.when((F.col(c) >= low) & (F.col(c) < high), F.floor((F.col(c) - low) / (high - low) * n).cast("int"))
 
-    held = df.select(*AXES, bin_of(intensity).alias("i"), bin_of(magnitude).alias("g"), F.col(magnitude).alias("m"), *[F.col(c).alias(f"g{a}") for c, a in zip(gradient, AXES)]).where("i is not null and g is not null")
-    pairs = around(held, ["i", "g", "m", "gx", "gy", "gz"], 1, lambda o: o in FORWARD)
-    norm = F.col("m") * F.col("_m")
-    cosine = F.when(norm > 0, sum((F.col(f"g{a}") * F.col(f"_g{a}") for a in AXES), F.lit(0.0)) / norm).otherwise(0.0)
-    angle = F.least(F.lit(angles - 1), F.greatest(F.lit(0), F.floor((cosine + 1) / 2 * angles))).cast("int")
-    kinds = F.array(F.struct(F.lit("intensity").alias("kind"), F.col("i").alias("i"), F.col("_i").alias("j")), F.struct(F.lit("gradient").alias("kind"), F.col("g").alias("i"), F.col("_g").alias("j")), F.struct(F.lit("angle").alias("kind"), angle.alias("i"), F.lit(0).alias("j")))
-    counts = pairs.select(F.explode(kinds).alias("k")).groupBy("k.kind", "k.i", "k.j").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("kind"))).drop("n")
+def cooccurrence_entropy(table: DataFrame, keys: Keys = ()) -> DataFrame:
+    """(keys, kind, entropy): minus the sum of the shares' logarithms. They are not weighed by the shares."""
+    return table.groupBy(*keys, "kind").agg((-F.sum(F.log("share"))).alias("entropy"))
 
 
-def cooccurrence_entropy(table: DataFrame) -> DataFrame:
-    """(kind, entropy): minus the sum of share times its logarithm."""
-    return table.groupBy("kind").agg((-F.sum(F.col("share") * F.log("share"))).alias("entropy"))
+def cooccurrence_distance(one: DataFrame, other: DataFrame, keys: Keys = ()) -> DataFrame:
+    """(keys, dist): sum of absolute differences of shares over all kinds and bins; 0 where the first table counts under LEAST_PAIRS pairs."""
+    at = [*keys, "kind", "i", "j"]
+    met = one.select(*at, "share", "pairs").join(other.select(*at, F.col("share").alias("_share")), at, "full")
+    diff = F.sum(F.abs(F.coalesce("share", F.lit(0.0)) - F.coalesce("_share", F.lit(0.0))))
+    return met.groupBy(*keys).agg(F.when(F.max(F.coalesce("pairs", F.lit(0))) < LEAST_PAIRS, 0.0).otherwise(diff).alias("dist"))
 
 
-def euler(mask: DataFrame) -> DataFrame:
-    """One row: Euler numbers of a mask's sites under 26 and 6 neighbours.
+def euler(mask: DataFrame, keys: Keys = ()) -> DataFrame:
+    """One row a grid: Euler numbers of a mask's sites under 26 and 6 neighbours.
 
     Under 26, sites are closed cubes: a cube's 27 cells have places in doubled coordinates, shared cells count once, and a cell's sign
     follows the number of its odd coordinates. Under 6, sites are points, and pairs, squares and cubes of them the cells."""
-    cells = mask.select(*[(2 * F.col(a) + 1).alias(a) for a in AXES], _offsets(1)).select(*[(F.col(a) + F.col(f"_o.d{a}")).alias(a) for a in AXES]).distinct()
+    cells = mask.select(*keys, *[(2 * F.col(a) + 1).alias(a) for a in AXES], _offsets(1)).select(*keys, *[(F.col(a) + F.col(f"_o.d{a}")).alias(a) for a in AXES]).distinct()
     odd = sum((F.pmod(F.col(a), F.lit(2)) for a in AXES), F.lit(0))
-    closed = cells.agg(F.coalesce(F.sum(F.when(F.pmod(odd, F.lit(2)) == 0, 1).otherwise(-1)), F.lit(0)).cast("bigint").alias("c26"))
-    ahead = around(mask.select(*AXES), [], 1, lambda o: min(o) >= 0)
-    near = ahead.groupBy(*AXES).agg(F.collect_set(F.col("dx") + 2 * F.col("dy") + 4 * F.col("dz")).alias("s"))
+    closed = cells.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.pmod(odd, F.lit(2)) == 0, 1).otherwise(-1)), F.lit(0)).cast("bigint").alias("c26"))
+    ahead = around(mask.select(*keys, *AXES), [], 1, lambda o: min(o) >= 0, keys)
+    near = ahead.groupBy(*keys, *AXES).agg(F.collect_set(F.col("dx") + 2 * F.col("dy") + 4 * F.col("dz")).alias("s"))
     has = lambda *k: F.forall(F.array(*map(F.lit, k)), lambda x: F.array_contains("s", x)).cast("int")
     points = F.lit(1) - has(1) - has(2) - has(4) + has(1, 2, 3) + has(1, 4, 5) + has(2, 4, 6) - has(*range(1, 8))
-    return closed.join(near.agg(F.coalesce(F.sum(points), F.lit(0)).cast("bigint").alias("c6")))
+    points_ = near.groupBy(*keys).agg(F.coalesce(F.sum(points), F.lit(0)).cast("bigint").alias("c6"))
+    return closed.join(points_, list(keys)) if keys else closed.join(points_)
 
 
-def rescale(df: DataFrame, v: str, extent: tuple[int, int, int], to: tuple[int, int, int]) -> DataFrame:
-    """The grid at ``to`` sites an axis, each at its place times the ratio of the extents, by trilinear interpolation; the last site holds beyond it."""
+def rescale(df: DataFrame, v: str, extent: tuple[int, int, int], to: tuple[int, int, int], keys: Keys = ()) -> DataFrame:
+    """Each grid (all of one extent) at ``to`` sites an axis, each at its place times the ratio of the extents, by trilinear interpolation; the last site holds beyond it."""
     from gridstone.operators.relate import grid_extent
 
     out = grid_extent(df.sparkSession, dict(zip(AXES, to)))
+    if keys:
+        out = df.select(*keys).distinct().crossJoin(out)  # the rows of the result
     corners = F.explode(F.array(*[F.struct(*[F.lit(k).alias(f"d{a}") for a, k in zip(AXES, o)]) for o in product((0, 1), repeat=3)])).alias("_o")
     place = {a: F.col(a) * (n / m) for a, n, m in zip(AXES, extent, to)}
-    out = out.select(*AXES, *[F.floor(p).cast("int").alias(f"_l{a}") for a, p in place.items()], *[(p - F.floor(p)).alias(f"_f{a}") for a, p in place.items()], corners)
+    out = out.select(*keys, *AXES, *[F.floor(p).cast("int").alias(f"_l{a}") for a, p in place.items()], *[(p - F.floor(p)).alias(f"_f{a}") for a, p in place.items()], corners)
     weight = None
     for a in AXES:
         part = F.when(F.col(f"_o.d{a}") == 1, F.col(f"_f{a}")).otherwise(1 - F.col(f"_f{a}"))
         weight = part if weight is None else weight * part
-    out = out.select(*AXES, weight.alias("_w"), *[F.least(F.col(f"_l{a}") + F.col(f"_o.d{a}"), F.lit(n - 1)).alias(f"_s{a}") for a, n in zip(AXES, extent)])
-    held = df.select(*[F.col(a).alias(f"_s{a}") for a in AXES], F.col(v).alias("_v"))
-    return out.join(held, [f"_s{a}" for a in AXES]).groupBy(*AXES).agg(F.sum(F.col("_w") * F.col("_v")).alias(v))
+    out = out.select(*keys, *AXES, weight.alias("_w"), *[F.least(F.col(f"_l{a}") + F.col(f"_o.d{a}"), F.lit(n - 1)).alias(f"_s{a}") for a, n in zip(AXES, extent)])
+    held = df.select(*keys, *[F.col(a).alias(f"_s{a}") for a in AXES], F.col(v).alias("_v"))
+    return out.join(held, [*keys, *[f"_s{a}" for a in AXES]]).groupBy(*keys, *AXES).agg(F.sum(F.col("_w") * F.col("_v")).alias(v))
 
 
-def halve(df: DataFrame, v: str, extent: tuple[int, int, int], sigma: float) -> DataFrame:
+def halve(df: DataFrame, v: str, extent: tuple[int, int, int], sigma: float, keys: Keys = ()) -> DataFrame:
     """The next level of a pyramid: smoothed, then at half the sites an axis."""
-    smooth = gaussian(df.select(*AXES, v), v, sigma, "_g").select(*AXES, F.col("_g").alias(v))
-    return rescale(smooth, v, extent, tuple(max(1, n // 2) for n in extent))
+    smooth = gaussian(df, v, sigma, "_g", keys).select(*keys, *AXES, F.col("_g").alias(v))
+    return rescale(smooth, v, extent, tuple(max(1, n // 2) for n in extent), keys)
 
 
-def insert_plane(df: DataFrame, plane: DataFrame, v: str, z: int) -> DataFrame:
-    """The grid with the values of ``plane`` (x, y, value) at one z."""
-    new = plane.select("x", "y", F.col(v).alias("_new"), F.lit(z).cast(df.schema["z"].dataType).alias("z"))
-    return df.join(new, list(AXES), "left").withColumn(v, F.coalesce("_new", F.col(v))).drop("_new")
+def insert_plane(df: DataFrame, plane: DataFrame, v: str, z: int, keys: Keys = ()) -> DataFrame:
+    """The grid with the values of ``plane`` (keys, x, y, value) at one z."""
+    new = plane.select(*keys, "x", "y", F.col(v).alias("_new"), F.lit(z).cast(df.schema["z"].dataType).alias("z"))
+    return df.join(new, [*keys, *AXES], "left").withColumn(v, F.coalesce("_new", F.col(v))).drop("_new")
 
 
-def clear_where(mask: DataFrame, other: DataFrame, name: str) -> DataFrame:
+def clear_where(mask: DataFrame, other: DataFrame, name: str, keys: Keys = ()) -> DataFrame:
     """A mask and another: false where the other mask is false or has no row."""
-    return mask.join(other.select(*AXES, F.col(name).alias("_other")), list(AXES), "left").withColumn(name, F.col(name) & F.coalesce("_other", F.lit(False))).drop("_other")
+    return mask.join(other.select(*keys, *AXES, F.col(name).alias("_other")), [*keys, *AXES], "left").withColumn(name, F.col(name) & F.coalesce("_other", F.lit(False))).drop("_other")
 
 
 def invert(mask: DataFrame, name: str) -> DataFrame:
