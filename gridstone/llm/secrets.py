@@ -12,6 +12,8 @@ A value is a joint of literals, names and parentheses with ``+``, ``or``, ``||``
 resolved after the whole text is read: a name stands for the last value that it got before, or else for the first one
 after, on and on, so constants reach a sensitive name along any chain and in any order. A value is scored by the words of the name that
 it is for, by its length and by its entropy; the literals of those over the threshold are reported as kind "named".
+A name that never gets a value is no literal, as in source code, but in bare-value syntax: after ``NAME=`` on a line of its own, or
+where it ends its line, has two digits or more and neither a dot nor an underscore. Subscripts and calls are never literals.
 Every step is linear in the text, and no length is bounded.
 """
 
@@ -55,6 +57,8 @@ TOKEN = re.compile(
 STRING = {q: re.compile(rf"[^{q}\\\n]*(?:\\.[^{q}\\\n]*)*{q}") for q in "\"'"} | {"`": re.compile(r"[^`\\]*(?:\\.[^`\\]*)*`", re.DOTALL)}
 #: A bare word; an equals sign is part of it at its end only.
 BARE = re.compile(r"[^\s,;(){}\[\]<>\"'`=&]+(?:={1,2}(?![^\s,;(){}\[\]<>\"'`]))?")
+#: Signs that no bare value has, where it may be a name of source code as well.
+SIGNS, DIGIT = re.compile(r"[._\[]"), re.compile(r"\d")
 FLAG_VALUE = re.compile(r"""[=\x20](?:"([^"\n]+)"|'([^'\n]+)'|([^\s"'`-]\S*))""")
 SETTER = re.compile(r"(?:.*\.)?(?:set|with)_?(\w+)$")
 USERINFO = re.compile(r"://[^\s/:@\"'<>]+:([^\s/@\"'<>]+)@")
@@ -72,10 +76,27 @@ def name_weight(name: str) -> float:
 class Value:
     """What a name gets: places of literals and names that stand for other values, in order."""
 
-    __slots__ = ("name", "at", "parts", "stats", "told")
+    __slots__ = ("name", "at", "parts", "bare", "stats", "told")
 
-    def __init__(self, name: str, at: int, parts: list[tuple[int, int] | str]):
-        self.name, self.at, self.parts, self.stats, self.told = name, at, parts, None, False
+    def __init__(self, name: str, at: int, parts: list[tuple[int, int] | str], bare: bool = False):
+        self.name, self.at, self.parts, self.bare, self.stats, self.told = name, at, parts, bare, None, False
+
+
+class Runs:
+    """Ends of bare words: each run is read once, however many places in it are asked for."""
+
+    def __init__(self, text: str, end: int):
+        self.text, self.end, self.low, self.high, self.stop = text, end, 0, 0, 0
+
+    def end_of(self, a: int) -> int:
+        """Where the bare word that begins at a place ends; the place itself if none does."""
+        if not self.low <= a < self.high:
+            m = BARE.match(self.text, a, self.end)
+            if m is None:
+                return a
+            self.low, self.high = a, m.end() - len(m[0]) + len(m[0].rstrip("="))
+            self.stop = m.end()
+        return self.stop
 
 
 def literal_stats(v: str) -> tuple[Counter, int, str, str]:
@@ -181,7 +202,7 @@ def _target(text: str, t: list, i: int) -> str:
     return t[j][1]
 
 
-def _value(text: str, t: list, i: int, bare: bool, closes: dict[int, int]) -> list[tuple[int, int] | str]:
+def _value(t: list, i: int, bare: bool, closes: dict[int, int], runs: Runs) -> list[tuple[int, int] | str]:
     """The parts of the value that begins at place i: strings, names to resolve, or a bare word up to the end of its run."""
     parts, depth, joint = [], 0, True
     while i < len(t):
@@ -208,27 +229,38 @@ def _value(text: str, t: list, i: int, bare: bool, closes: dict[int, int]) -> li
                     break
                 i, joint = closes[i + 1], False
             else:
-                whole = BARE.match(text, a)
-                if whole.end() > b and not depth and following[0] != "string":  # the name only begins a bare word
-                    parts.append(whole.span())
+                stop = runs.end_of(a)
+                if stop > b and not depth and following[0] != "string":  # the name only begins a bare word
+                    if "." not in word or DIGIT.search(word):
+                        parts.append((a, stop))
                     return parts
-                parts.append(word)
+                parts.append(word + "[" * (following[1] == "[" and following[2] == b))  # no name has a bracket, so a subscript gets no value
                 joint = False
-        elif kind in ("other", "op") and joint and not parts and not depth and (whole := BARE.match(text, a)):
-            return [whole.span()] if bare else []
+        elif kind in ("other", "op") and joint and not parts and not depth and (stop := runs.end_of(a)) > a:
+            return [(a, stop)] if bare else []
         else:
             break
         i += 1
     return parts
 
 
+def _bare(t: list, i: int, name: str, parts: list) -> bool:
+    """Whether the one name after the operator at place i may be a bare literal."""
+    if len(parts) != 1 or not isinstance(parts[0], str) or i + 2 < len(t) and t[i + 2][0] != "line":
+        return False
+    own_line = i == 1 or i >= 2 and (t[i - 2][0] == "line" or t[i - 2][1] == "export")
+    if t[i][1] == "=" and own_line and t[i - 1][3] == t[i][2] and t[i][3] == t[i + 1][2] and name == name.upper():
+        return "." not in parts[0] and "[" not in parts[0]
+    return not SIGNS.search(parts[0]) and len(DIGIT.findall(parts[0])) >= 2
+
+
 def lex(text: str, start: int = 0, end: int | None = None, depth: int = DEPTH) -> list[Value]:
     """The values that names get, in the order of their places; those in strings included."""
     end = len(text) if end is None else end
     t, pairs = tokens(text, start, end)
     found = [Value(n, a, [(a, b)]) for n, a, b in pairs]
     inside = [(a, b) for _, a, b in pairs]
-    closes, opened, taken = {}, [], 0
+    closes, opened, taken, runs = {}, [], 0, Runs(text, end)
     for i, (kind, word, _, _) in enumerate(t):
         if kind == "op" and word == "(":
             opened.append(i)
@@ -248,9 +280,9 @@ def lex(text: str, start: int = 0, end: int | None = None, depth: int = DEPTH) -
             last = next((k for k in range(i + 1, min(i + 4, len(t))) if t[k][0] == "line" or t[k][1] in (",", ";", "}")), min(i + 4, len(t)))
             if word == ":" and t[i + 1][0] == "name" and i + 2 < len(t) and t[i + 2][1] in ("=", "[", "|"):
                 continue  # a type; the sign after it assigns
-            parts = _value(text, t, i + 1, word != ":" or last < i + 4, closes)
+            parts = _value(t, i + 1, word != ":" or last < i + 4, closes, runs)
             if parts and not (word == ":" and isinstance(parts[0], str) and last > i + 2):  # prose goes on after its colon
-                found.append(Value(name, a, parts))
+                found.append(Value(name, a, parts, _bare(t, i, name, parts)))
                 taken = max(taken, parts[-1][1] if not isinstance(parts[-1], str) else 0)
     if depth:
         for a, b in inside:
@@ -293,8 +325,8 @@ class Names:
 
     @staticmethod
     def _bare(v: Value, name: str) -> tuple[Counter, int, str, str]:
-        """A name that gets no value is a bare literal where it is all there is."""
-        return literal_stats(name) if len(v.parts) == 1 else (Counter(), 0, "", "")
+        """A name that gets no value is a bare literal where the syntax allows one."""
+        return literal_stats(name) if v.bare else (Counter(), 0, "", "")
 
     def literals(self, top: Value) -> Iterator[tuple[int, int]]:
         """Places of its literals, without those that an earlier call gave."""
@@ -308,7 +340,7 @@ class Names:
             for p in v.parts:
                 if not isinstance(p, str):
                     yield p
-                elif len(v.parts) == 1 and p not in self.of:
+                elif v.bare and p not in self.of:
                     at = self.text.find(p, v.at)
                     yield at, at + len(p)
 

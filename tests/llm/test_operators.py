@@ -124,6 +124,9 @@ FORMS = [
     ("db:\n  password: yamlPass66\n", ["yamlPass66"]), ('a = "p4rtOne"\nb = "p4rtTwo"\napi_token = a + "-9-" + b', ["p4rtOne", "p4rtTwo", "-9-"]), ('password = os.getenv("DB_PASSWORD") or "dflt9Pass"', ["dflt9Pass"]),
     ('token = (\n "abc123"\n "def456"\n)', ["abc123", "def456"]), ('{"apiKey": "json9Key77", "x": 1}', ["json9Key77"]), ("bearer => 'rubyTok99'", ["rubyTok99"]), ('# password = "comment9Pw"', ["comment9Pw"]),
     ("private_key = r'raw9Lit\\x'", ["raw9Lit\\x"]), ("the secret: nobody knew what it was about", []), ('password = os.getenv("DB_PASSWORD")', []), ('if password == "abc123XYZ": pass', []), ("a = b\nb = a\npassword = a", []), ("password = changeme", []), ("password = None", []),
+    ('password = os.environ["X"]', []), ("apiKey: process.env.KEY", []), ("secret_key = config.secret_key", []), ("connect(auth_token=args.auth_token)", []), ("self.password = password_from_user", []), ("password = secrets_map[key9]", []),
+    ("token: passwordVariable", []), ("{password: newPassword12, x: 1}", []), ("secret = settings.SECRET_KEY or fallback_value", []), ("password = readPassword(1234)", []), ("export API_TOKEN=plain_value_here\n", ["plain_value_here"]),
+    ("private_key = a1b2c3d4e5f6g7\n", ["a1b2c3d4e5f6g7"]), ("password = cfg.db.password/backup", []),
     ("It's a token, don't panic \"quoted\"", []), ('colour = "s3cr3tV4lue"', []), ("password: str", []),
 ]
 
@@ -160,7 +163,7 @@ def test_secrets_base_brute_force():
         assert base_spans(text) == want, text
 
 
-@pytest.mark.parametrize("text", ['"\\"' * 300_000, "'" * 500_001, "a = b\n" * 100_000 + "password=a", "=" * 1_000_000 + "password", "<a>" * 200_000 + "password", "password=(" * 80_000, "a=" * 200_000 + "password", "x:y:" * 100_000 + "password", "password = f(" * 50_000, "://a:b" * 80_000])
+@pytest.mark.parametrize("text", ['"\\"' * 300_000, "'" * 500_001, "a = b\n" * 100_000 + "password=a", "=" * 1_000_000 + "password", "<a>" * 200_000 + "password", "password=(" * 80_000, "a=" * 200_000 + "password", "x:y:" * 100_000 + "password", "key:1:" * 170_000, "key a:1.5/" * 100_000, "key" + "a:1.5/" * 160_000, "secret=" + "a.b-" * 250_000, "password = f(" * 50_000, "://a:b" * 80_000])
 def test_secrets_long_texts(text):
     import time
 
