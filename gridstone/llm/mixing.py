@@ -6,16 +6,16 @@ projected gradient descent to the least squares of expected domain tokens agains
 
     minimise  sum_k (Z_k - T_k)^2 / m_k,   Z_k = sum_i r_i * tokens_i * p_ik,   m_k = sum_i tokens_i * p_ik^2,
 
-starting from 1, with steps scaled by each text's tokens and by the inverse Gram matrix of the posteriors of texts over the
-floor, halved when the loss grows. A step moves a text's rate by its posteriors times K numbers, so
-after any number of steps a rate is a fold over those numbers: each round is one aggregate over texts grouped by posterior,
-with no table of rates to update and no growing lineage. Posteriors are whole thousandths and sums are whole numbers, so a
-rerun task gives the same bits. Copies of a text are the whole part of its rate, and one more with the chance of the rest,
-decided by a hash of its id and text.
+by projected gradient steps from 1. In the metric of the texts' tokens a step of length 1 / e is r_i = max(floor, 1 - p_i . y), with
+K numbers y, and clipping is the true projection. The step is an implicit one: y is the gradient at the point where it ends,
+e * m_k * y_k = Z_k(y) - T_k, so a longer step never overshoots, and as e falls to 1e-10 it ends at the least squares, of all
+such rates at those nearest to 1, whether or not the targets can be reached. These K equations are the derivative of a convex
+function of y; Newton steps with a line search solve them, each by one aggregate over texts grouped by posterior (Z, the
+Gram matrix of the texts over the floor, the function). No table of rates is updated: a rate is an expression of y. Copies
+of a text are the whole part of its rate, and one more with the chance of the rest, decided by a hash of its id and text.
 
 Training takes at most ``max_rows`` labelled ids of each domain, those with the least hash of the id; their whole texts are
-counted on the executors, and only counts by domain and bucket reach the driver. The rounds end when the targets are met, or
-when a round no longer lessens the misses, as targets out of reach of rates over the floor show; the miss is told.
+counted on the executors, and only counts by domain and bucket reach the driver. The miss of the targets is told.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ from gridstone.llm.common import columns, written
 from gridstone.llm.textarrays import ALNUM, LOWER, NOT_SPACE, blocks, span_hashes, spans
 
 BUCKETS, EVIDENCE, MAX_ROWS = 1 << 15, 20, 1000
-#: A share of all tokens that a miss may be; rounds in a row that lessen the loss by under a hundredth; a guard against endless rounds.
-CLOSE, PATIENCE, ROUNDS = 1e-4, 5, 1000
+#: A share of all tokens that a miss may be; inverse step lengths, one after the other; what may be left of an equation, in shares of all tokens.
+CLOSE, EASE, EXACT = 1e-4, (1e-2, 1e-4, 1e-6, 1e-8, 1e-10), 1e-9
 SCALE = 1000
 
 
@@ -107,54 +107,66 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], id_col:
     return train(counts)
 
 
-def _rate(p: Column, moves: list[list[float]], floor: float) -> Column:
-    """The fold: 1, moved by each round's numbers times the posteriors, never below the floor."""
-    if not moves:
-        return F.lit(1.0)
-    steps = F.lit([[float(x) for x in m] for m in moves]).cast("array<array<double>>")
-    dot = lambda m: F.aggregate(F.zip_with(p, m, lambda a, b: a * b / SCALE), F.lit(0.0), lambda s, x: s + x)
-    return F.aggregate(steps, F.lit(1.0).cast("double"), lambda r, m: F.greatest(F.lit(float(floor)), r - dot(m)))
-
-
-def fit_rates(groups: DataFrame, weights: list[float], floor: float = 0.0, total: float | None = None) -> tuple[list[list[float]], float]:
-    """Moves of the rounds, and the largest miss of a target as a share of the total. ``groups`` has p (thousandths), tokens.
+def _rate(p: Column, y: np.ndarray, floor: float) -> Column:
+    """max(floor, 1 - p . y), p in thousandths."""
+    dot = sum((F.get(p, F.lit(i)) * float(v / SCALE) for i, v in enumerate(y)), F.lit(0.0))
+    return F.greatest(F.lit(float(floor)), 1.0 - dot)
+
+
+def implicit_step(sums, goal: np.ndarray, m: np.ndarray, total: float) -> np.ndarray:
+    """The K numbers of the last step. ``sums(y)``: expected tokens, the Gram matrix of the texts over the floor, and the sum of tokens * h(1 - p . y),
+    h being the integral of max(floor, .)."""
+    y = np.zeros(len(goal))
+    z, gram, h = sums(y)
+    for ease in EASE:
+        value = lambda y, h: ease * (m * y * y).sum() / 2 + h + goal @ y  # noqa: B023, E731
+        while abs(z - goal).max() > CLOSE * total:
+            slope = ease * m * y - z + goal
+            if abs(slope).max() <= EXACT * total:
+                break
+            step = -np.linalg.solve(gram + np.diag(ease * m), slope)
+            part, now = 1.0, value(y, h)
+            if -(slope @ step) <= 1e-13 * abs(now):  # as near as the sums are exact
+                break
+            while True:
+                next_ = sums(y + part * step)
+                if value(y + part * step, next_[2]) <= now + 1e-4 * part * (slope @ step) or part < 1e-9:
+                    break
+                part /= 2
+            if part < 1e-9:
+                break
+            y, (z, gram, h) = y + part * step, next_
+    return y
+
+
+def fit_rates(groups: DataFrame, weights: list[float], floor: float = 0.0, total: float | None = None) -> tuple[np.ndarray, float]:
+    """The K numbers that rates follow from, and the largest miss of a target as a share of the total. ``groups`` has p (thousandths), tokens.
 
     total: of expected tokens; None: as many as there are, or, with a floor of 1, the least that rates of 1 and more can meet."""
     k = len(weights)
     share = np.array(weights, float) / sum(weights)
-    part = lambda i: F.get("p", F.lit(i))
+    part = lambda i: F.get("p", F.lit(i)) / float(SCALE)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
 
-    def sums(moves: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
-        """Expected tokens, and the Gram matrix of the texts whose rates are over the floor, in one pass."""
-        held = groups.select("p", "tokens", _rate(F.col("p"), moves, floor).alias("r"))
-        free = F.when((F.col("r") > floor) | F.lit(not moves), F.col("tokens")).otherwise(0)
-        row = held.agg(*[F.sum(F.round(F.col("r") * part(i) * F.col("tokens")).cast("long")) for i in range(k)], *[F.sum(F.shiftright(part(i) * part(j) * free, 10)) for i, j in pairs]).first()
-        z, g = np.array([(x or 0) / SCALE for x in row[:k]]), np.zeros((k, k))
+    def sums(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        held = groups.select("p", F.col("tokens").cast("double").alias("t"), _rate(F.col("p"), y, floor).alias("r"), (1.0 - sum((part(i) * float(v) for i, v in enumerate(y)), F.lit(0.0))).alias("u"))
+        over = F.when(F.col("u") > floor, F.col("t")).otherwise(0.0)
+        h = F.col("t") * F.when(F.col("u") > floor, F.col("u") * F.col("u") / 2).otherwise(floor * F.col("u") - floor * floor / 2)
+        row = held.agg(*[F.sum(F.col("r") * part(i) * F.col("t")) for i in range(k)], *[F.sum(part(i) * part(j) * over) for i, j in pairs], F.sum(h)).first()
+        gram = np.zeros((k, k))
         for (i, j), x in zip(pairs, row[k:]):
-            g[i, j] = g[j, i] = (x or 0) / SCALE ** 2 * 1024
-        return z, g
+            gram[i, j] = gram[j, i] = x or 0.0
+        return np.array([x or 0.0 for x in row[:k]]), gram, row[-1] or 0.0
 
-    z, g = sums([])
-    m = np.maximum(1.0, g.diagonal())
+    first = groups.agg(*[F.sum(part(i) * F.col("tokens")) for i in range(k)], *[F.sum(part(i) * part(i) * F.col("tokens")) for i in range(k)]).first()
+    z, m = np.array([x or 0.0 for x in first[:k]]), np.maximum(1.0, [x or 0.0 for x in first[k:]])
     if total is None:
         total = float(z.sum()) if floor < 1 else float((z / np.maximum(share, 1e-12)).max())
-    goal, moves, step, stuck = share * total, [], 1.0, 0
-    loss = lambda z: float(((z - goal) ** 2 / m).sum())
-    while len(moves) < ROUNDS and stuck < PATIENCE and abs(z - goal).max() > CLOSE * max(total, 1.0):
-        # a scaled gradient step: the metric is the Gram matrix of the free texts
-        move = step * np.linalg.solve(g + np.diag(1e-3 * m), z - goal)
-        new_z, new_g = sums([*moves, move.tolist()])
-        stuck = stuck + 1 if loss(new_z) > 0.99 * loss(z) else 0
-        if loss(new_z) > loss(z):
-            step /= 2
-            continue
-        moves.append(move.tolist())
-        z, g, step = new_z, new_g, min(1.0, 1.5 * step)
-    miss = float(abs(z - goal).max() / max(total, 1.0))
+    y = implicit_step(sums, share * total, m, max(total, 1.0))
+    miss = float(abs(sums(y)[0] - share * total).max() / max(total, 1.0))
     if miss > 10 * CLOSE:
-        warnings.warn(f"targets are missed by {miss:.2%} of all tokens after {len(moves)} rounds", stacklevel=2)
-    return moves, miss
+        warnings.warn(f"targets are out of reach: the least squares miss one by {miss:.2%} of all tokens", stacklevel=2)
+    return y, miss
 
 
 #: Columns that mix_sources adds.
@@ -187,9 +199,9 @@ def mix_sources(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], weights:
     described = docs.select(*[c for c, _ in held], chance.alias(new["chance"])).mapInArrow(run, schema)
     described = written(described if keep else described.drop(text_col))
     groups = written(described.groupBy(F.col(new["posterior"]).alias("p")).agg(F.sum(new["n_tokens"]).alias("tokens")))
-    moves, miss = fit_rates(groups, weights, floor, total)
+    y, miss = fit_rates(groups, weights, floor, total)
     if told is not None:
         told["miss"] = miss
     rate, u = F.col(new["rate"]), F.col(new["chance"])
-    out = described.withColumn(new["rate"], F.round(_rate(F.col(new["posterior"]), moves, floor), 9))
+    out = described.withColumn(new["rate"], F.round(_rate(F.col(new["posterior"]), y, floor), 9))
     return out.withColumn(new["copies"], (F.floor(rate) + (u < rate - F.floor(rate)).cast("int")).cast("long")).drop(new["chance"])

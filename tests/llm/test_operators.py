@@ -194,6 +194,51 @@ def test_mixing_meets_targets(spark):
     assert odd.count() == len(ODD) and mix_sources(docs(spark, []), model, [0.5, 0.5]).count() == 0
 
 
+def least_loss(p, t, goal, m, floor):
+    """Coordinate descent to the optimum of the same least squares, text by text."""
+    r = np.maximum(1.0, floor) * np.ones(len(t))
+    a = p * t[:, None]
+    z, curve = r @ a, (a * a / m).sum(axis=1)
+    for _ in range(1500):
+        before = ((z - goal) ** 2 / m).sum()
+        for i in range(len(t)):
+            new = max(floor, r[i] - ((z - goal) / m) @ a[i] / curve[i])
+            z, r[i] = z + (new - r[i]) * a[i], new
+        if before - ((z - goal) ** 2 / m).sum() <= 1e-7 * before:
+            break
+    return ((z - goal) ** 2 / m).sum()
+
+
+@pytest.mark.parametrize("floor", [0.0, 1.0])
+def test_mixing_ends_at_the_least_squares(spark, floor):
+    """Targets in and out of reach, against coordinate descent; the first problem over a table."""
+    from gridstone.llm.mixing import CLOSE, fit_rates, implicit_step
+
+    for seed in range(10):
+        rng = np.random.default_rng(seed)
+        k = 3 + seed % 2
+        p = np.round(1000 * rng.dirichlet([0.5 + seed % 3] * k, 40)) / 1000
+        t = rng.integers(1, 500, 40).astype(float)
+        share = rng.dirichlet([0.3] * k)
+        z, m = t @ p, np.maximum(1.0, t @ (p * p))
+        total = z.sum() if floor < 1 else (z / np.maximum(share, 1e-12)).max()
+        if floor:
+            total = min(total, 3 * z.sum())  # out of reach for some
+
+        def sums(y):
+            u = 1 - p @ y
+            over = u > floor
+            return (np.maximum(u, floor) * t) @ p, (p * (t * over)[:, None]).T @ p, float((t * np.where(over, u * u / 2, floor * u - floor * floor / 2)).sum())
+
+        z_of = sums(implicit_step(sums, share * total, m, total))[0]
+        loss, best = ((z_of - share * total) ** 2 / m).sum(), least_loss(p, t, share * total, m, floor)
+        assert loss <= 1.01 * best + len(share) * (CLOSE * total) ** 2 / m.min(), seed
+        if seed == 0:
+            table = spark.createDataFrame([([int(round(1000 * x)) for x in row], int(n)) for row, n in zip(p, t)], "p array<bigint>, tokens bigint")
+            y, miss = fit_rates(table, share.tolist(), floor, total)
+            assert np.allclose(sums(y)[0], z_of, rtol=1e-3) and np.isclose(miss, abs(z_of - share * total).max() / total, atol=1e-3)
+
+
 # Toxicity
 
 def test_subsequence_fold_equals_kernel():
