@@ -75,10 +75,12 @@ def find_class(df: DataFrame, theta: DataFrame, v: str) -> DataFrame:
 
 
 def bh_adjust(df: DataFrame, p: str, idx: str) -> DataFrame:
-    """Benjamini-Hochberg: p n / rank, made monotone from the largest down, by running counts and minima over ranges."""
-    n = df.count()
-    ranked = running(df, [p, idx], {"_rank": F.lit(1)}).withColumn("_q", F.least(F.lit(1.0), F.col(p) * n / F.col("_rank")))
-    return running(ranked, [p, idx], least={"q": F.col("_q")}, ascending=False).drop("_rank", "_q")
+    """Benjamini-Hochberg: p n / rank, made monotone from the largest down, by running counts and minima over ranges. A null p is no test: it counts in no rank and gets a null q."""
+    known = df.where(F.col(p).isNotNull())
+    n = known.count()
+    ranked = running(known, [p, idx], {"_rank": F.lit(1)}).withColumn("_q", F.least(F.lit(1.0), F.col(p) * n / F.col("_rank")))
+    adjusted = running(ranked, [p, idx], least={"q": F.col("_q")}, ascending=False).drop("_rank", "_q")
+    return adjusted.unionByName(df.where(F.col(p).isNull()).withColumn("q", F.lit(None).cast("double")))
 
 
 def medoid_step(df: DataFrame, label: str, id_col: str, features: str) -> DataFrame:

@@ -922,9 +922,9 @@ def _(spark, d):
     return learning.find_class(ev.select("event_id", "value"), _theta(ev), "value").select("event_id", "class")
 
 
-@query("bh_adjust", "WITH p AS (SELECT c_custkey, ((c_custkey * 7919) % 1009 + 1) / 1010.0 AS p FROM customer), r AS (SELECT *, row_number() OVER (ORDER BY p, c_custkey) AS k, count(*) OVER () AS n FROM p) SELECT c_custkey, round(min(least(1.0, p * n / k)) OVER (ORDER BY k DESC), 9) AS q FROM r")
+@query("bh_adjust", "WITH p AS (SELECT c_custkey, CASE WHEN c_custkey % 13 <> 0 THEN ((c_custkey * 7919) % 1009 + 1) / 1010.0 END AS p FROM customer), r AS (SELECT *, row_number() OVER (ORDER BY p, c_custkey) AS k, count(*) OVER () AS n FROM p WHERE p IS NOT NULL) SELECT c_custkey, round(min(least(1.0, p * n / k)) OVER (ORDER BY k DESC), 9) AS q FROM r UNION ALL SELECT c_custkey, NULL FROM p WHERE p IS NULL")
 def _(spark, d):
-    p = t(spark, d, "customer").select("c_custkey", (((F.col("c_custkey") * 7919) % 1009 + 1) / 1010.0).alias("p"))
+    p = t(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 13 != 0, ((F.col("c_custkey") * 7919) % 1009 + 1) / 1010.0).alias("p"))
     return learning.bh_adjust(p, "p", "c_custkey").select("c_custkey", r6("q", 9))
 
 
@@ -1110,4 +1110,4 @@ def _(spark, d):
     return pipelines.consensus(votes, 5).select("site", r6("p"))
 
 
-from gridstone.plans import samples, volumes  # noqa: E402, F401  (they register their queries)
+from gridstone.plans import networks, samples, volumes  # noqa: E402, F401  (they register their queries)
