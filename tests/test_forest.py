@@ -72,3 +72,34 @@ def test_expansion_and_communities_of_given_tables(spark):
     q = graph.modularity(edges, found).first().q
     assert found.count() == nodes.count() and q > 0
     assert all(c <= i for i, c in found.collect())
+
+
+def plain_mcd(x, ratio, starts, rng):
+    best = None
+    for _ in range(starts):
+        s = x[rng.choice(len(x), 2 * (x.shape[1] + 1), replace=False)]
+        last = np.inf
+        while True:
+            m, c = s.mean(axis=0), np.cov(s.T, bias=True)
+            det = np.linalg.det(c)
+            if len(s) > len(x) / 2 and last - det <= 1e-9 * last:
+                break
+            last = det if len(s) > len(x) / 2 else np.inf
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            s = x[np.argsort(d, kind="stable")[:int(np.ceil(ratio * len(x)))]]
+        if best is None or det < best[0]:
+            best = det, m, c
+    return best
+
+
+def test_minimum_covariance(spark):
+    from gridstone.operators.robust import minimum_covariance
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.multivariate_normal([1e6, 2, 3], [[2, 1, 0], [1, 3, 0.5], [0, 0.5, 1]], 400), rng.normal(0, 0.3, (100, 3)) + [1e6 + 40, 30, -30]])
+    df = spark.createDataFrame([(v.tolist(),) for v in x] + [(None,)], "f array<double>").repartition(5)
+    mean, cov = minimum_covariance(df, "f", 0.7)
+    det, m, c = plain_mcd(x, 0.7, 30, rng)
+    assert np.linalg.det(cov) <= det * 1.02 and np.allclose(mean, [1e6, 2, 3], atol=0.3) and np.allclose(cov, c, atol=0.2)
+    with pytest.raises(ValueError):
+        minimum_covariance(df.limit(3), "f")
