@@ -122,3 +122,14 @@ def test_draws(spark):
     assert draws.sample(df, "id", 40, 1).count() == 40 and draws.sample(df, "id", 9999, 1).count() == 500
     hits = [r.draws for r in draws.bootstrap(df, "id", 2).collect()]
     assert sum(hits) == 500 and 270 < len(hits) < 360 and draws.bootstrap(df.limit(0), "id", 2).count() == 0
+
+
+def test_rank_among_cuts(spark):
+    from pyspark.sql import functions as F
+
+    from gridstone.operators.ordered import rank_among
+
+    for n in (0, 1, 2, 5, 17, 100):
+        cuts = [3 * i for i in range(n)]
+        got = spark.range(-4, 3 * n + 4).select("id", rank_among([F.lit(c).cast("long") for c in cuts], F.col("id")).alias("r")).collect()
+        assert all(r.r == sum(c <= r.id for c in cuts) for r in got)
