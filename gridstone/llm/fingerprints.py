@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridstone.llm.textarrays import blocks
+from gridstone.operators.ordered import rank_among
 
 BUCKETS = 128
 #: Places of the two further bytes of each triplet after the first one.
@@ -120,7 +121,7 @@ def with_next(docs: DataFrame, run, schema: T.StructType, id_col: str = "doc_id"
     seen = sorted(r[0] for r in keys.where(F.col("_id").isNotNull() & few).distinct().collect()) if parts > 1 else []
     cuts = sorted({seen[i * len(seen) // parts] for i in range(1, parts)}) if seen else []
     # part 0 has the largest ids, as rows go in descending order; null ids come last
-    at_or_below = F.size(F.filter(F.array(*[F.lit(c).cast(id_type) for c in cuts]), lambda c: c <= F.col("_id"))) if cuts else F.lit(0)
+    at_or_below = rank_among([F.lit(c).cast(id_type) for c in cuts], F.col("_id"))
     part = F.lit(len(cuts)) - F.when(F.col("_id").isNull(), 0).otherwise(at_or_below)
     dealt = base.withColumn("_part", part)
     tops = dealt.groupBy("_part").agg(F.max("_id").alias("top")).collect()
