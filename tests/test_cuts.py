@@ -109,3 +109,25 @@ def test_louvain_of_a_full_graph(spark):
     np.fill_diagonal(w, 0)
     edges = spark.createDataFrame([(i, j, float(w[i, j])) for i, j in np.ndindex(w.shape) if i != j], "src bigint, dst bigint, weight double")
     assert {r.id: r.community for r in louvain(spark.range(12), edges, tries=2).collect()} == {i: i % 2 for i in range(12)}
+
+
+@pytest.mark.parametrize(("rows", "columns"), [(5, 5), (3, 6), (6, 3)])
+def test_auction(spark, rows, columns):
+    from itertools import permutations
+
+    from gridstone.operators.assignment import auction
+
+    v = np.random.default_rng(rows).integers(-20, 20, (rows, columns)).astype(float)
+    got = auction(spark.createDataFrame([(i, j, float(v[i, j])) for i, j in np.ndindex(v.shape)] + [(0, 0, -99.0), (None, 1, 5.0)], "r bigint, c bigint, v double")).collect()
+    small = v if rows <= columns else v.T
+    best = max(sum(small[i, p[i]] for i in range(len(small))) for p in permutations(range(small.shape[1]), len(small)))
+    assert sum(r.v for r in got) == best and all(v[r.r, r.c] == r.v for r in got)
+    assert len(got) == min(rows, columns) == len({r.r for r in got}) == len({r.c for r in got})
+
+
+def test_auction_without_an_assignment(spark):
+    from gridstone.operators.assignment import auction
+
+    with pytest.raises(ValueError):
+        auction(spark.createDataFrame([(0, 0, 1.0), (1, 0, 2.0), (2, 0, 2.0), (2, 1, 1.0), (2, 2, 1.0)], "r bigint, c bigint, v double"))
+    assert auction(spark.createDataFrame([], "r bigint, c bigint, v double")).count() == 0
