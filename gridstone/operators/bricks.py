@@ -21,6 +21,9 @@ AXES = ("x", "y", "z")
 #: Sites along an edge of a brick, without its rim; a wider rim makes bricks as wide as itself.
 EDGE = 32
 
+#: Ratios so near to a bound count as on it, so that rounding does not decide.
+SLACK = 1e-9
+
 Arrays = dict[str, np.ndarray]
 
 
@@ -105,11 +108,11 @@ def box_sum(a: np.ndarray, half: int) -> np.ndarray:
 
 def box_stats(a: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(n, mean, sample variance) over boxes: squares are summed about each box's own mean, so large values keep their digits."""
-    base = np.nanmean(a) if np.isfinite(a).any() else 0.0
+    base = np.round(np.nanmean(a)) if np.isfinite(a).any() else 0.0  # whole, so that whole values have exact sums
     held = np.isfinite(a)
     n = box_sum(held.astype(float), half)
     with np.errstate(invalid="ignore", divide="ignore"):
-        mean = box_sum(np.where(held, a - base, 0.0), half) / n + base
+        mean = (box_sum(np.where(held, a - base, 0.0), half) + n * base) / n
     s = np.zeros_like(a)
     for o in box(half):
         d = shifted(a, o) - mean
@@ -142,7 +145,7 @@ def nonlocal_mean(a: np.ndarray, reach: int, half: int, noise: float, rician: bo
     with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
         for o in box(reach):
             ratio, spread = mean / shifted(mean, o), var / shifted(var, o)
-            take = (ratio >= mean_ratio) & (ratio <= 1 / mean_ratio) & (spread >= var_ratio) & (spread <= 1 / var_ratio)
+            take = (ratio >= mean_ratio - SLACK) & (ratio <= 1 / mean_ratio + SLACK) & (spread >= var_ratio - SLACK) & (spread <= 1 / var_ratio + SLACK)
             if not take.any():
                 continue
             other = shifted(a, o)

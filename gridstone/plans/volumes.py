@@ -124,7 +124,7 @@ def _(spark, d):
 _NOISE = "ns AS (SELECT im, sum(r * r) / (42 * count(*)) AS s2 FROM (SELECT im, x, y, z, sum(v - w) AS r FROM nb WHERE abs(dx) + abs(dy) + abs(dz) = 1 GROUP BY 1, 2, 3, 4 HAVING count(*) = 6) GROUP BY 1)"
 _PAIRS = f"""WITH {VOL}, {_box(1)}, {_NOISE}, st AS MATERIALIZED (SELECT im, x, y, z, v, avg(w) AS mn, var_samp(w) AS vr FROM nb GROUP BY ALL),
 so AS MATERIALIZED (SELECT st.*, x + dx AS tx, y + dy AS ty, z + dz AS tz FROM st, off WHERE mn <> 0 AND vr <> 0),
-p AS MATERIALIZED (SELECT so.im, so.x, so.y, so.z, tx, ty, tz FROM so JOIN st o ON o.im = so.im AND o.x = tx AND o.y = ty AND o.z = tz WHERE o.mn <> 0 AND o.vr <> 0 AND so.mn / o.mn BETWEEN 0.95 AND 1 / 0.95 AND so.vr / o.vr BETWEEN 0.5 AND 2.0),
+p AS MATERIALIZED (SELECT so.im, so.x, so.y, so.z, tx, ty, tz FROM so JOIN st o ON o.im = so.im AND o.x = tx AND o.y = ty AND o.z = tz WHERE o.mn <> 0 AND o.vr <> 0 AND so.mn / o.mn BETWEEN 0.95 - 1e-9 AND 1 / 0.95 + 1e-9 AND so.vr / o.vr BETWEEN 0.5 - 1e-9 AND 2.0 + 1e-9),
 {_patches('p')}, q AS (SELECT dist.*, o.v AS other FROM dist JOIN vol o ON o.im = dist.im AND o.x = tx AND o.y = ty AND o.z = tz)"""
 
 
