@@ -2,8 +2,9 @@
 
 Trees are fitted on a bounded sample of the rows: each split takes the direction between two random sample rows and cuts at the median
 of the sample along it, until a leaf is to hold about ``leaf`` of all rows. The trees are a small table of directions; every
-row is sent down all of them in numpy batches, and gets a bucket in each. A query meets the rows of its buckets only, by exact
-distances, and the best of all trees are its neighbours. A bucket of many rows, as of one vector that repeats, is cut into
+row is sent down all of them in numpy batches, and gets a bucket in each. A query goes to several buckets of each tree, those with the
+least distances to the cuts that lie between, and meets the rows there only, by exact distances; the best of all trees are
+its neighbours. A bucket of many rows, as of one vector that repeats, is cut into
 blocks of rows and of queries, so no task grows with it.
 """
 
@@ -17,8 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of the sample; rows and queries of a block.
-SAMPLE, ROWS, QUERIES = 20_000, 20_000, 2_000
+#: Rows of the sample; rows and queries of a block; rows that are sent down the trees at once.
+SAMPLE, ROWS, QUERIES, STRETCH = 20_000, 20_000, 2_000, 500
 
 Tree = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
@@ -64,6 +65,26 @@ def leaves(x: np.ndarray, tree: Tree) -> np.ndarray:
     return -node - 1
 
 
+def nearest_leaves(x: np.ndarray, tree: Tree, probes: int) -> np.ndarray:
+    """The ``probes`` leaves (or all) of a tree that each row is nearest to: those of the least sum of squared distances to the cuts that lie between."""
+    directions, cuts, left, right = tree
+    if not len(cuts):
+        return np.zeros((len(x), 1), np.int64)
+    n_leaves = -int(min(left.min(), right.min()))
+    far = np.full((len(x), n_leaves), np.inf)
+    todo = [(0, np.zeros(len(x)))]
+    while todo:
+        node, beyond = todo.pop()
+        gap = (x @ directions[node] - cuts[node]) / np.linalg.norm(directions[node])
+        for child, behind in ((left[node], gap >= 0), (right[node], gap < 0)):
+            there = beyond + np.where(behind, gap * gap, 0.0)
+            if child < 0:
+                far[:, -child - 1] = there
+            else:
+                todo.append((child, there))
+    return np.argpartition(far, min(probes, n_leaves) - 1, axis=1)[:, :probes].astype(np.int64)
+
+
 def fit(points: DataFrame, id_col: str, features: str, trees: int, leaf: int, seed: int = 0) -> list[Tree]:
     """The trees, from the rows (about SAMPLE of them) whose hash of the id is under a share of its range."""
     n = points.count()
@@ -74,31 +95,35 @@ def fit(points: DataFrame, id_col: str, features: str, trees: int, leaf: int, se
     return [fit_tree(sample, max(1, leaf * len(sample) // max(2 * n, 1)), rng) for _ in range(trees)]
 
 
-def buckets(points: DataFrame, id_col: str, features: str, forest: list[Tree]) -> DataFrame:
-    """(id, features, tree, leaf): each row once for each tree. Rows without features are left out."""
+def buckets(points: DataFrame, id_col: str, features: str, forest: list[Tree], probes: int | None = None) -> DataFrame:
+    """(id, features, tree, leaf): each row once for each tree, or in the ``probes`` nearest leaves of each. Rows without features are left out."""
     schema = T.StructType([T.StructField("id", points.schema[id_col].dataType), T.StructField("f", T.ArrayType(T.DoubleType())), T.StructField("leaves", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = np.stack([np.asarray(v, float) for v in b["f"].to_numpy(zero_copy_only=False)])
-                found = np.stack([leaves(x, t) for t in forest], axis=1)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(forest), pa.int32()), pa.array(found.ravel()))
-                yield pa.RecordBatch.from_arrays([b["id"], b["f"], lists], schema.names)
+                for lo in range(0, b.num_rows, STRETCH):
+                    part = b.slice(lo, STRETCH)
+                    x = np.stack([np.asarray(v, float) for v in part["f"].to_numpy(zero_copy_only=False)])
+                    each = [leaves(x, t)[:, None] if probes is None else nearest_leaves(x, t, probes) for t in forest]
+                    found = np.concatenate([(k << 32) + f for k, f in enumerate(each)], axis=1)  # tree and leaf in one number
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * found.shape[1], pa.int32()), pa.array(found.ravel()))
+                    yield pa.RecordBatch.from_arrays([part["id"], part["f"], lists], schema.names)
 
     rows = points.where(F.col(features).isNotNull()).select(F.col(id_col).alias("id"), F.col(features).cast("array<double>").alias("f"))
-    return rows.mapInArrow(run, schema).select("id", "f", F.posexplode("leaves").alias("tree", "leaf"))
+    at = rows.mapInArrow(run, schema).select("id", "f", F.explode("leaves").alias("_at"))
+    return at.select("id", "f", F.shiftright("_at", 32).cast("int").alias("tree"), F.col("_at").bitwiseAND(F.lit((1 << 32) - 1)).alias("leaf"))
 
 
-def forest_knn(points: DataFrame, queries: DataFrame, k: int, id_col: str, features: str, trees: int = 12, leaf: int = 1000, seed: int = 0) -> DataFrame:
+def forest_knn(points: DataFrame, queries: DataFrame, k: int, id_col: str, features: str, trees: int = 8, leaf: int = 250, probes: int = 24, seed: int = 0) -> DataFrame:
     """(query, id, dist, rank) of the k nearest others, by Euclidean distance, among the rows that share a bucket with the query.
 
-    Distances are exact; a neighbour that shares no bucket is missed. Recall grows with ``trees`` and ``leaf``. Rows of the
+    Distances are exact; a neighbour that shares no bucket is missed. Recall grows with ``trees``, ``leaf`` and ``probes``. Rows of the
     query's own id are no neighbours; ties go to the smaller id. Vectors have one length; null ones take no part. A query whose
     buckets hold fewer than k others gets fewer rows. Empty tables give none.
     """
     forest = fit(points, id_col, features, trees, leaf, seed)
-    own, asked = buckets(points, id_col, features, forest), buckets(queries, id_col, features, forest)
+    own, asked = buckets(points, id_col, features, forest), buckets(queries, id_col, features, forest, probes)
     key = ["tree", "leaf"]
     sizes = own.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("int").alias("np"))
     asks = asked.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("nq"))
@@ -130,5 +155,5 @@ def forest_knn(points: DataFrame, queries: DataFrame, k: int, id_col: str, featu
 
     task = [*key, "p", "q"]
     found = rows.groupBy(*task).cogroup(asking.groupBy(*task)).applyInArrow(meet, schema).groupBy("query", "id").agg(F.min("dist").alias("dist"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("dist", "id"))  # trees x blocks x k rows a query at most
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("dist", "id"))  # trees x probes x blocks x k rows a query at most
     return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumnRenamed("id", id_col)

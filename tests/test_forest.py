@@ -39,7 +39,7 @@ def test_small_leaves_blocks_and_repeated_vectors(spark, monkeypatch):
     x = np.concatenate([rng.normal(i, 0.3, (80, 6)) for i in range(5)] + [np.full((200, 6), 9.0)])
     ids = np.arange(len(x))
     df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)] + [(10_000, None)], "id bigint, f array<double>").repartition(6)
-    rows = projections.forest_knn(df, df.where("id % 20 = 0"), 5, "id", "f", trees=10, leaf=120).collect()
+    rows = projections.forest_knn(df, df.where("id % 20 = 0"), 5, "id", "f", trees=10, leaf=120, probes=3).collect()
     hits = total = 0
     for q in range(0, len(x), 20):
         mine, want = sorted((r["rank"], r.id, r.dist) for r in rows if r.query == q), brute(x, ids, q, 5)
@@ -49,6 +49,17 @@ def test_small_leaves_blocks_and_repeated_vectors(spark, monkeypatch):
     assert projections.forest_knn(df.limit(0), df, 5, "id", "f").count() == 0 and projections.forest_knn(df, df.limit(0), 5, "id", "f").count() == 0
 
 
+def test_nearest_leaves_hold_the_own_one():
+    from gridstone.operators.projections import fit_tree, leaves, nearest_leaves
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 5))
+    tree = fit_tree(x, 20, rng)
+    own, near = leaves(x, tree), nearest_leaves(x, tree, 4)
+    assert len(set(own.tolist())) >= 8 and (near == own[:, None]).any(axis=1).all() and all(len(set(r)) == 4 for r in near.tolist())
+    assert (np.sort(nearest_leaves(x, tree, 99), axis=1) == np.arange(len(set(own.tolist())))).all()
+
+
 def test_cut_of_nations(spark):
     from gridstone.plans import bindings, networks
     from tests.test_cuts import cut_value, max_flow
