@@ -8,7 +8,7 @@ weights, means and precisions (Dirichlet and Wishart priors). Classes whose shar
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -87,19 +87,31 @@ def variational_mixture(points: DataFrame, features: str, starts: list[list[floa
 
     ``features`` is an array column without nulls; ``spread`` is the variance that classes start with. A class under ``least`` of all points is removed; the last one stays."""
     base = points.select(F.col(features).cast("array<double>").alias("x")).where(F.col(features).isNotNull())
-    mean = np.array(starts, float)
-    k, d = mean.shape
     n = base.count()
     if not n:
         raise ValueError("no points")
+    centre = np.array(base.agg(*[F.avg(F.get("x", F.lit(i))) for i in range(len(starts[0]))]).first(), float)
+    return _fit(lambda model: _sums(base, model)[:3], n, centre, np.array(starts, float), spread, least, rounds, close)
+
+
+def fit_points(x: np.ndarray, starts: np.ndarray, spread: float = 1.0, least: float = 0.01, rounds: int = 1000, close: float = 1e-6) -> Mixture:
+    """The same fit of points that one task holds, such as a bounded draw of one image."""
+    def sums(model: Mixture) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        r, _ = model.responsibilities(x)
+        return r.sum(axis=0), r.T @ x, np.stack([(r[:, j, None] * x).T @ x for j in range(r.shape[1])])
+
+    return _fit(sums, len(x), x.mean(axis=0), np.asarray(starts, float), spread, least, rounds, close)
+
+
+def _fit(sums_of: Callable[[Mixture], tuple[np.ndarray, np.ndarray, np.ndarray]], n: int, prior_mean: np.ndarray, mean: np.ndarray, spread: float, least: float, rounds: int, close: float) -> Mixture:
+    k, d = mean.shape
     prior_alpha, prior_beta, prior_dof = 1.0, 1.0, float(d)
-    prior_mean = np.array(base.agg(*[F.avg(F.get("x", F.lit(i))) for i in range(d)]).first(), float)
     prior_scale = np.eye(d) * spread * prior_dof
     count = n / k
     model = Mixture(np.full(k, prior_alpha + count), np.full(k, prior_beta + count), mean, np.array([prior_scale * (1 + count / prior_dof)] * k), np.full(k, prior_dof + count))
     last = None
     for _ in range(rounds):
-        counts, sums, products, _ = _sums(base, model)
+        counts, sums, products = sums_of(model)
         kept = counts >= least * n
         if not kept.any():
             kept = counts == counts.max()

@@ -1110,4 +1110,4 @@ def _(spark, d):
     return pipelines.consensus(votes, 5).select("site", r6("p"))
 
 
-from gridstone.plans import networks, samples, volumes  # noqa: E402, F401  (they register their queries)
+from gridstone.plans import masks, networks, samples, volumes  # noqa: E402, F401  (they register their queries)
