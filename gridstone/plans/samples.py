@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridstone.operators import measures, reductions
+from gridstone.operators import independent, measures, reductions
 from gridstone.plans.bindings import query, r6, t
 from gridstone.plans.volumes import _M, _a
 
@@ -90,3 +90,11 @@ def _(spark, d):
 def _(spark, d):
     order = F.struct("ts", "event_id")
     return t(spark, d, "events").groupBy("user_id").agg(F.min_by("event_type", order).alias("first_type"), F.max_by("event_type", order).alias("last_type"))
+
+
+@query("independent_line_parts")
+def _(spark, d):
+    """Independent components of quantity, price, discount and tax over all order lines."""
+    parts = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax").alias("f"))
+    found = independent.components(parts, "f", contrast="pow3").sources
+    return found.select("l_orderkey", "l_linenumber", *[F.round(F.get("sources", F.lit(k)), 4).alias(f"s{k}") for k in range(4)])
