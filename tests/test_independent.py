@@ -26,7 +26,7 @@ def matched(got, want):
 
 @pytest.mark.parametrize(("method", "contrast"), [("symmetric", c) for c in ("pow3", "tanh", "gauss")] + [("deflated", "tanh"), ("extended", "")])
 def test_sources_are_found(mixed, method, contrast):
-    found = independent.components(mixed, "f", method=method, contrast=contrast, tol=1e-4)
+    found = independent.components(mixed, "f", method=method, contrast=contrast, tol=1e-2 if method == "extended" else 1e-4)  # each rule has its own measure of a step
     out = {r.id: r.sources for r in found.sources.collect()}
     assert len(out) == N + 2 and out[N] is None and out[N + 1] is None
     got = np.array([out[i] for i in range(N)])
@@ -35,7 +35,8 @@ def test_sources_are_found(mixed, method, contrast):
     x = TRUE @ MIX.T + 10
     assert np.allclose(got @ found.mixing.T + x.mean(axis=0), x, atol=1e-6)
     assert np.allclose(found.unmixing @ found.mixing, np.eye(3), atol=1e-8)
-    assert (np.diff(np.linalg.norm(found.mixing, axis=0)) <= 0).all() and (found.mixing[np.abs(found.mixing).argmax(axis=0), range(3)] > 0).all()
+    standard = found.mixing / x.std(axis=0)[:, None]
+    assert (np.diff(np.linalg.norm(standard, axis=0)) <= 1e-9).all() and (standard[np.abs(standard).argmax(axis=0), range(3)] > 0).all()
 
 
 def test_skewed_source_and_fewer_components(mixed):
@@ -53,6 +54,15 @@ def test_a_step_by_its_definition(spark):
         assert np.allclose(independent._step(rows, b, contrast, 2.0, len(x)), want)
 
 
+def test_units_and_constants_do_not_matter(spark):
+    x = TRUE[:500] @ MIX[:3].T
+    rows = lambda y: spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(y)], "id long, f array<double>").repartition(2)
+    a = independent.components(rows(x), "f", 2, contrast="pow3")
+    b = independent.components(rows(np.column_stack([x * [1e6, 1, 1e-6] + 5, np.full(len(x), 1e9)])), "f", 2, contrast="pow3")
+    get = lambda c: np.array([r.sources for r in c.sources.orderBy("id").collect()])
+    assert np.allclose(get(a), get(b), atol=1e-4) and np.allclose(b.mixing[3], 0)
+
+
 def test_odd_tables(spark):
     with pytest.raises(ValueError):
         independent.components(spark.createDataFrame([], "f array<double>"), "f")
