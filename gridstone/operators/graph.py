@@ -80,18 +80,24 @@ def contract(edges: DataFrame, community: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").groupBy("a", "b").agg(F.sum("weight").alias("weight"))
 
 
-def stationary(nodes: DataFrame, edges: DataFrame, rounds: int = 20, teleport: float = 0.15) -> DataFrame:
-    """(id, p) after a number of rounds of a walk with teleport; what dangling nodes hold is spread evenly."""
-    n = nodes.count()
+def stationary(nodes: DataFrame, edges: DataFrame, rounds: int = 20, teleport: float = 0.15, tol: float = 0.0) -> DataFrame:
+    """(id, p) after a number of rounds of a walk with teleport; what dangling nodes hold is spread evenly.
+
+    With ``tol`` it ends sooner, once the sum of changes in a round is under it.
+    """
+    n = max(nodes.count(), 1)
     out = edges.groupBy("src").agg(F.sum("weight").alias("_out"))
     move = edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("_out")).alias("_w"))
-    p = nodes.select("id", F.lit(1.0 / max(n, 1)).alias("p"))
+    p = before = nodes.select("id", F.lit(1.0 / n).alias("p"))
     has_out = out.select(F.col("src").alias("id"), F.lit(True).alias("_has"))
     for k in range(rounds):
         got = p.join(move, p.id == move.src).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col("_w")).alias("_g"))
         lost = p.join(has_out, "id", "left").agg(F.coalesce(F.sum(F.when(F.col("_has").isNull(), F.col("p"))), F.lit(0.0)).alias("_l"))
         p = nodes.select("id").join(got, "id", "left").crossJoin(F.broadcast(lost)).select("id", (teleport / n + (1 - teleport) * (F.coalesce("_g", F.lit(0.0)) + F.col("_l") / n)).alias("p"))
-        p = _cut(p)
+        old, p = before, _cut(p)
+        before = p
+        if tol and p.join(old.withColumnRenamed("p", "_o"), "id").agg(F.coalesce(F.sum(F.abs(F.col("p") - F.col("_o"))), F.lit(0.0))).first()[0] < tol:
+            break
     return p
 
 
