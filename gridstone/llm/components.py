@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridstone.llm.common import removed, written
+from gridstone.llm.common import apart, removed, written
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -13,7 +13,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     ``edges`` has columns a and b of one orderable type. Each round hooks the neighbours of a node to its smallest one,
     with grouped minima and one join, and is written to the shared folder. A hub's edges are summed before the shuffle,
-    and the join is free to split it.
+    and the join is free to split it; it is a merge, as no side is small for sure.
     """
     spark = edges.sparkSession
     e, at = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), True)
@@ -21,10 +21,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = both.where("b > a").join(apart(low), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         large, large_at = written(large, True)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        pairs = large.join(low, "a")
+        pairs = large.join(apart(low), "a")
         last = at
         e, at = written(pairs.select(F.col("b").alias("x"), F.col("m").alias("y")).unionByName(low.select(F.col("a").alias("x"), F.col("m").alias("y"))).where("x != y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), True)
         removed(spark, last, large_at)

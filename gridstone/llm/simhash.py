@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridstone.llm.common import removed, written
+from gridstone.llm.common import apart, removed, written
 from gridstone.llm.components import components
 from gridstone.llm.textarrays import LOWER, NOT_SPACE, blocks, spans
 
@@ -145,14 +145,14 @@ def near_links(prints: DataFrame, within: int, segments: int) -> DataFrame:
     keys = listed.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"), F.min("print").alias("low"), F.max("print").alias("high"))
     looks = listed.select("print", "i", F.explode(F.transform(F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in ball]), lambda m: m.bitwiseXOR(F.col("v")))).alias("v"))
     # a look-up of a value that nothing else is listed under ends here; each pair is verified from its smaller side
-    met, met_at = written(looks.join(keys, ["i", "v"]).where(~((F.col("low") == F.col("print")) & (F.col("n") == 1))).select("i", "v", "n", "print", "high"), True)
+    met, met_at = written(looks.join(apart(keys), ["i", "v"]).where(~((F.col("low") == F.col("print")) & (F.col("n") == 1))).select("i", "v", "n", "print", "high"), True)
     theirs = listed.select("i", "v", F.col("print").alias("b"))
-    light = met.where((F.col("n") <= CROWD) & (F.col("print") < F.col("high"))).join(theirs, ["i", "v"]).where("print < b").where(F.bit_count(F.col("print").bitwiseXOR(F.col("b"))) <= within).select(F.col("print").alias("a"), "b")
+    light = met.where((F.col("n") <= CROWD) & (F.col("print") < F.col("high"))).join(apart(theirs), ["i", "v"]).where("print < b").where(F.bit_count(F.col("print").bitwiseXOR(F.col("b"))) <= within).select(F.col("print").alias("a"), "b")
     heavy = met.where(F.col("n") > CROWD).select("i", "v", "print")
     sizes = heavy.groupBy("i", "v").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")
     tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(own, o).alias("x"), F.greatest(own, o).alias("y")))
-    sent = heavy.join(sizes, ["i", "v"]).select("i", "v", "print", F.explode(tasks).alias("task"))
+    sent = heavy.join(apart(sizes), ["i", "v"]).select("i", "v", "print", F.explode(tasks).alias("task"))
     crowded = sent.groupBy("i", "v", "task").applyInArrow(_walk(within), "a long, b long")
     out = written(light.unionByName(crowded).distinct())
     removed(prints.sparkSession, at, met_at)
@@ -171,7 +171,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     described = written(simhashes(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", "_text", width, seed))
     prints = written(described.groupBy("print").agg(F.min("_id").alias("low")))
     roots = components(near_links(prints.select("print"), within, segments))
-    per_print = prints.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+    per_print = prints.join(apart(roots.withColumnRenamed("node", "print")), "print", "left").withColumn("root", F.coalesce("root", "print"))
     lowest = per_print.groupBy("root").agg(F.min("low").alias("component_id"))
-    answers = per_print.select("print", "root").join(lowest, "root").select("print", "component_id")
-    return described.join(answers, "print").select(F.col("_id").alias(id_col), "print", "component_id")
+    answers = per_print.select("print", "root").join(apart(lowest), "root").select("print", "component_id")
+    return described.join(apart(answers), "print").select(F.col("_id").alias(id_col), "print", "component_id")
