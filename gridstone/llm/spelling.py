@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridstone.llm.common import ascii_lower, removed, written
+from gridstone.llm.common import apart, ascii_lower, removed, written
 
 #: Modulus of keys, so that words of any length have one.
 PRIME = (1 << 61) - 1
@@ -77,8 +77,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     whole = keyed.select(F.col("word").alias("a"), F.explode(_halves(F.col("key"), F.col("size"))).alias("k"))
     removed_ = less.select(F.col("word").alias("b"), F.explode(_halves(F.col("less"), F.col("size") - 1)).alias("k"))
     exchanged = less.select("word", "letter", F.explode(_halves(F.col("less"), F.col("size"))).alias("k"))
-    longer = whole.join(removed_, "k").select("a", "b")
-    equal = exchanged.withColumnsRenamed({"word": "a", "letter": "x"}).join(exchanged.withColumnsRenamed({"word": "b", "letter": "y"}), "k").where("x < y").select("a", "b")
+    longer = whole.join(apart(removed_), "k").select("a", "b")
+    equal = exchanged.withColumnsRenamed({"word": "a", "letter": "x"}).join(apart(exchanged.withColumnsRenamed({"word": "b", "letter": "y"})), "k").where("x < y").select("a", "b")
     return longer.unionByName(equal).where(one_edit(F.col("a"), F.col("b"))).distinct()
 
 
@@ -96,15 +96,15 @@ def spelling_groups(words: DataFrame, factor: int = 2) -> DataFrame:
     words, words_at = written(words.where("word IS NOT NULL").select("word", "n"), True)
     pairs, pairs_at = written(near_pairs(words.select("word")), True)
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    best = both.join(words.withColumnsRenamed({"word": "b", "n": "m"}), "b").groupBy(F.col("a").alias("word")).agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "b")).alias("best"))
+    best = both.join(apart(words.withColumnsRenamed({"word": "b", "n": "m"})), "b").groupBy(F.col("a").alias("word")).agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "b")).alias("best"))
     large = -F.col("best.m") >= factor * F.col("n")
-    known = words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(large, F.col("best.b")).alias("form"), F.when(large, -F.col("best.m")).alias("form_n"))
+    known = words.join(apart(best), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(large, F.col("best.b")).alias("form"), F.when(large, -F.col("best.m")).alias("form_n"))
     known = written(known)
     removed(spark, words_at, pairs_at)
     # each round doubles the steps that a word has gone: six are enough for any chain of under 64
     to, at = written(known.where("form IS NOT NULL").select("word", F.col("form").alias("root")), True)
     for _ in range(6):
-        further = to.join(to.select(F.col("root").alias("next"), F.col("word").alias("root")), "root", "left")
+        further = to.join(apart(to.select(F.col("root").alias("next"), F.col("word").alias("root"))), "root", "left")
         last = at
         to, at = written(further.select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), True)
         moved = to.where("moved").limit(1).count()
@@ -112,7 +112,7 @@ def spelling_groups(words: DataFrame, factor: int = 2) -> DataFrame:
         removed(spark, last)
         if not moved:
             break
-    return known.join(to, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return known.join(apart(to), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slip: int = 0, least_letters: int = 5, least_n: int = 3, factor: int = 2) -> DataFrame:
