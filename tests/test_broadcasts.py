@@ -1,6 +1,8 @@
 """Sides that grow with the tables are merged, however small Spark believes them to be."""
 
-from gridstone.operators import graph
+import pytest
+
+from gridstone.operators import graph, mincut
 from gridstone.plans import bindings
 
 DIR = "/root/testdata/sf0.001"
@@ -25,3 +27,26 @@ def test_connected_components_merges_lines(spark, monkeypatch):
     monkeypatch.setattr(graph, "component_labels", lambda nodes, edges: kept.append(edges) or nodes)
     bindings.queries()["connected_components"](spark, DIR)
     assert "SortMergeJoin" in plan(kept[0]) and "Broadcast" not in plan(kept[0])
+
+
+def counted(df, spark):
+    """``df`` whose rows add up in an accumulator each time that they are made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(run, df.schema), made
+
+
+@pytest.mark.parametrize("run", [
+    lambda n, e: graph.stationary(n, e, 4).collect(),
+    lambda n, e: graph.label_communities(n, e, 2).collect(),
+    lambda n, e: mincut.expansion(n.crossJoin(n.sparkSession.createDataFrame([("a", 1.0), ("b", 2.0)], "label string, cost double")), e, n.selectExpr("id", "'a' AS label")),
+], ids=["stationary", "label_communities", "expansion"])
+def test_edges_are_made_once(spark, run):
+    edges, made = counted(spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0), (1, 2, 3.0), (2, 1, 3.0)], "src long, dst long, weight double"), spark)
+    run(spark.range(3), edges)
+    assert made.value <= 8  # a checkpoint may make them twice
