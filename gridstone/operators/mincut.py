@@ -126,6 +126,7 @@ def _move(unary: DataFrame, edges: DataFrame, labels: DataFrame, alpha, beta=Non
 
 def _improved(unary: DataFrame, edges: DataFrame, labels: DataFrame, moves: list[tuple], eps: float) -> tuple[DataFrame, float]:
     spark = labels.sparkSession
+    (unary, unary_path), (edges, edges_path) = write(unary), write(edges)  # each move reads them, and what made them runs once
     labels, path = write(labels)
     now, since, k = energy(unary, edges, labels), 0, 0
     while since < len(moves):  # until no move helps any more
@@ -137,6 +138,7 @@ def _improved(unary: DataFrame, edges: DataFrame, labels: DataFrame, moves: list
         else:
             remove(spark, new_path)
         since, k = since + 1, k + 1
+    remove(spark, unary_path, edges_path)
     return labels, now
 
 
