@@ -50,3 +50,10 @@ def test_edges_are_made_once(spark, run):
     edges, made = counted(spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0), (1, 2, 3.0), (2, 1, 3.0)], "src long, dst long, weight double"), spark)
     run(spark.range(3), edges)
     assert made.value <= 8  # a checkpoint may make them twice
+
+
+def test_grid_sums_are_merged(spark):
+    from gridstone.plans.volumes import vol
+
+    p = plan(vol(spark, DIR))
+    assert "SortMergeJoin" in p and "BroadcastHashJoin" not in p
