@@ -1,8 +1,10 @@
 """Sides that grow with the tables are merged, however small Spark believes them to be."""
 
+import random
+
 import pytest
 
-from gridstone.operators import graph, mincut
+from gridstone.operators import bricks, graph, mincut, volume
 from gridstone.plans import bindings
 
 DIR = "/root/testdata/sf0.001"
@@ -57,3 +59,23 @@ def test_grid_sums_are_merged(spark):
 
     p = plan(vol(spark, DIR))
     assert "SortMergeJoin" in p and "BroadcastHashJoin" not in p
+
+
+@pytest.mark.parametrize("half", [1, 2])
+def test_patch_distances_of_a_grid_with_holes(spark, half):
+    """Boxes are met as arrays, not a row for each of their places; absent sites, null values and pairs beside the grid are as by definition."""
+    rng = random.Random(half)
+    grid = {(x, y, z): None if rng.random() < 0.2 else float(rng.randint(0, 9)) for x in range(5) for y in range(4) for z in range(30, 35) if rng.random() < 0.7}
+    pairs = [tuple(rng.randint(a, b) for a, b in ((-1, 5), (-1, 4), (29, 35)) * 2) for _ in range(150)]
+    pairs = [*dict.fromkeys(pairs), (90, 90, 90, 0, 0, 30)]
+    want = {}
+    for p in pairs:
+        met = [(grid[s], grid[t]) for o in bricks.box(half) for s, t in [(tuple(a + b for a, b in zip(p[:3], o)), tuple(a + b for a, b in zip(p[3:], o)))] if s in grid and t in grid]
+        if met:
+            known = [(a - b) ** 2 for a, b in met if a is not None and b is not None]
+            want["k", *p] = round(sum(known) / len(known), 9) if known else None
+    df = spark.createDataFrame([("k", *at, v) for at, v in grid.items()], "im string, x int, y int, z int, v double")
+    asked = spark.createDataFrame([("k", *p) for p in pairs], "im string, x int, y int, z int, tx int, ty int, tz int")
+    got = volume.patch_distance(asked, df, "v", half, ["im"])
+    assert "explode(" not in plan(got)
+    assert {tuple(r)[:-1]: r["dist"] if r["dist"] is None else round(r["dist"], 9) for r in got.collect()} == want
