@@ -79,3 +79,10 @@ def test_patch_distances_of_a_grid_with_holes(spark, half):
     got = volume.patch_distance(asked, df, "v", half, ["im"])
     assert "explode(" not in plan(got)
     assert {tuple(r)[:-1]: r["dist"] if r["dist"] is None else round(r["dist"], 9) for r in got.collect()} == want
+
+
+def test_lines_of_orders_are_merged(spark):
+    from gridstone.plans.networks import supplier_graph
+
+    p = plan(supplier_graph(spark, DIR)[1])
+    assert "SortMergeJoin" in p and "Broadcast" not in p
