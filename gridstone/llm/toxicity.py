@@ -12,13 +12,13 @@ features. As its decision is a weighted sum of kernel values to the landmarks, i
 subsequence (32,768 numbers), so scoring a unit costs no kernel evaluation. A text's score is the logistic of its highest unit.
 
 Training takes at most ``max_rows`` labelled rows of each class, those with the least hash of the id; their whole texts are
-reduced to distinct units on the executors. A round of training takes TRAIN_UNITS positives at most, those of the most texts, and as
+reduced to distinct units on the executors, and the machine is trained in one task, which meets no more than these rows; the
+driver gets its weights. A round of training takes TRAIN_UNITS positives at most, those of the most texts, and as
 many of the hardest and of randomly drawn negatives. Every text is scored whole.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -306,18 +306,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             bounds = np.searchsorted(owner, np.arange(b.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.ListArray.from_arrays(pa.array(bounds), pa.array(packed.astype(np.int64)))], ["key", "th", "y", "units"])
 
-    found = texts.mapInArrow(run, "key long, th long, y int, units array<long>").toArrow().combine_chunks()
-    # the same order on any plan, and one row of each id
-    found = found.take(pa.compute.sort_indices(found, [("key", "ascending"), ("th", "ascending")]))
-    key = found["key"].to_numpy()
-    found = found.filter(pa.array(np.append(True, key[1:] != key[:-1])[:len(key)]))
-    lists = found["units"].combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.int64()))
-    sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
-    model = train(lists.flatten().to_numpy().astype(np.uint64), np.repeat(np.arange(len(sizes)), sizes), found["y"].to_numpy())
-    del found, lists
-    gc.collect()  # the driver goes on with other stages: what training held goes back
-    pa.default_memory_pool().release_unused()
-    return model
+    def learn(found: pa.Table) -> pa.Table:
+        # the same order on any plan, and one row of each id
+        found = found.combine_chunks()
+        found = found.take(pa.compute.sort_indices(found, [("key", "ascending"), ("th", "ascending")]))
+        key = found["key"].to_numpy()
+        found = found.filter(pa.array(np.append(True, key[1:] != key[:-1])[:len(key)]))
+        lists = found["units"].combine_chunks()
+        sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
+        weights, a, b = train(lists.flatten().to_numpy().astype(np.uint64), np.repeat(np.arange(len(sizes)), sizes), found["y"].to_numpy())
+        return pa.table({"weights": [weights.tobytes()], "a": [float(a)], "b": [float(b)]}, schema=pa.schema([("weights", pa.binary()), ("a", pa.float64()), ("b", pa.float64())]))
+
+    rows = texts.mapInArrow(run, "key long, th long, y int, units array<long>").groupBy(F.lit(0).alias("all")).applyInArrow(learn, "weights binary, a double, b double").collect()
+    if not rows:
+        return train(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+    return np.frombuffer(bytes(rows[0]["weights"])), rows[0]["a"], rows[0]["b"]
 
 
 def toxicity(docs: DataFrame, model: tuple[np.ndarray, float, float], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:

@@ -1,8 +1,12 @@
-"""Joins of sides that grow with the input must not build a table on the driver, however small Spark believes them to be."""
+"""Joins of sides that grow with the input must not build a table on the driver, however small Spark believes them to be, and
+training runs on an executor."""
 
+import os
+
+import numpy as np
 import pytest
 
-from gridstone.llm import components, simhash, spelling
+from gridstone.llm import components, simhash, spelling, toxicity
 
 
 def plans_of(monkeypatch, module, run):
@@ -35,3 +39,12 @@ def test_growing_sides_are_not_broadcast(spark, monkeypatch, module, run):
     plans = plans_of(monkeypatch, module, lambda: run(spark))
     assert any("SortMergeJoin" in p for p in plans)
     assert not [p for p in plans if "BroadcastHashJoin" in p]
+
+
+def test_training_runs_in_a_task(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a plain text"), (2, "an idiot"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (3, 1), (None, 1)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "train", lambda packed, owner, labels: (np.arange(4.0), float(os.getpid()), float(len(labels) + 10 * labels.sum())))
+    weights, process, seen = toxicity.fit(docs, labels)
+    assert weights.tolist() == [0, 1, 2, 3] and process != os.getpid() and seen == 23
+    assert toxicity.fit(docs, labels.limit(0))[2] == 0
