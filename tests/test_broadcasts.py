@@ -86,3 +86,10 @@ def test_lines_of_orders_are_merged(spark):
 
     p = plan(supplier_graph(spark, DIR)[1])
     assert "SortMergeJoin" in p and "Broadcast" not in p
+
+
+def test_noise_meets_sites_without_a_shuffle_by_grid(spark):
+    import re
+
+    sites = spark.createDataFrame([(k, x, 0, 0, float(x % 3)) for k in "ab" for x in range(6)], "im string, x int, y int, z int, v double")
+    assert not re.search(r"SortMergeJoin \[im#\d+\]", plan(volume.nonlocal_means(sites, "v", 1, 1, keys=["im"])))
