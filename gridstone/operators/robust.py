@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,12 +16,15 @@ ACCURACY = 100_000
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
-    return np.stack([np.asarray(v, float) for v in batch.column(0).to_numpy(zero_copy_only=False)])
+    lists = batch.column(0)
+    if len(set(pa.compute.list_value_length(lists).to_pylist())) > 1:
+        raise ValueError("rows of unlike lengths")
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(lists), -1)
 
 
 def _distances(x: np.ndarray, states: list[State]) -> np.ndarray:
-    """Squared Mahalanobis distances (rows x states)."""
-    return np.stack([np.einsum("ij,jk,ik->i", x - m, np.linalg.pinv(c, hermitian=True), x - m) for m, c in states], axis=1)
+    """Squared Mahalanobis distances (rows x states), by matrix products."""
+    return np.stack([(((x - m) @ np.linalg.pinv(c, hermitian=True)) * (x - m)).sum(axis=1) for m, c in states], axis=1)
 
 
 def concentrate(rows: DataFrame, states: list[State], ratio: float) -> list[State]:

@@ -114,3 +114,17 @@ def test_minimum_covariance(spark):
     assert np.linalg.det(cov) <= det * 1.02 and np.allclose(mean, [1e6, 2, 3], atol=0.3) and np.allclose(cov, c, atol=0.2)
     with pytest.raises(ValueError):
         minimum_covariance(df.limit(3), "f")
+
+
+def test_distances_of_a_batch_are_mahalanobis_ones():
+    import numpy as np
+    import pyarrow as pa
+
+    from gridstone.operators import robust
+
+    x = np.random.default_rng(5).normal(size=(20, 3))
+    batch = pa.RecordBatch.from_arrays([pa.array(x.tolist())], ["f"])
+    assert np.array_equal(robust._matrix(batch), x) and np.array_equal(robust._matrix(batch.slice(4, 5)), x[4:9])
+    m, c = x.mean(axis=0), np.cov(x.T)
+    want = [(r - m) @ np.linalg.inv(c) @ (r - m) for r in x]
+    assert np.allclose(robust._distances(x, [(m, c)])[:, 0], want)
