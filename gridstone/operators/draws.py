@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridstone.operators.ordered import running
+from gridstone.state import remove, write
+
+#: Draws are under this.
+DRAWS = 1 << 60
 
 
 def draw(key: Column, seed: int) -> Column:
@@ -20,8 +26,22 @@ def permutation(df: DataFrame, key: str, seed: int, name: str = "place") -> Data
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """``n`` rows without replacement, or all if there are fewer: those of the least draws."""
-    return permutation(df, key, seed, "_place").where(F.col("_place") < n).drop("_place")
+    """``n`` rows without replacement, or all if there are fewer: those of the least draws.
+
+    Draws are even, so a bound that somewhat more than ``n`` rows are under is told by their number; the rows under it are written and counted,
+    and only these are ranked. Where they are too few after all, as with many rows of one key, the bound is doubled.
+    """
+    rows = df.count()
+    if n >= rows:
+        return df
+    spark, bound = df.sparkSession, min(1.0, (n + 6 * math.sqrt(n) + 10) / rows)
+    drawn = df.withColumn("_draw", F.coalesce(draw(F.col(key), seed), F.lit(-1)))
+    few, path = write(drawn.where(F.col("_draw") < int(bound * DRAWS)))
+    while few.count() < n:
+        remove(spark, path)
+        bound *= 2
+        few, path = write(drawn.where(F.col("_draw") < int(bound * DRAWS)))
+    return running(few, ["_draw", key], {"_place": F.lit(1)}).where(F.col("_place") <= n).drop("_place", "_draw")
 
 
 def bootstrap(df: DataFrame, key: str, seed: int, n: int | None = None, name: str = "draws") -> DataFrame:

@@ -133,3 +133,17 @@ def test_rank_among_cuts(spark):
         cuts = [3 * i for i in range(n)]
         got = spark.range(-4, 3 * n + 4).select("id", rank_among([F.lit(c).cast("long") for c in cuts], F.col("id")).alias("r")).collect()
         assert all(r.r == sum(c <= r.id for c in cuts) for r in got)
+
+
+def test_samples_rank_only_the_rows_of_small_draws(spark, monkeypatch):
+    import hashlib
+
+    from gridstone.operators import draws
+
+    seen, plain = [], draws.running
+    monkeypatch.setattr(draws, "running", lambda df, *rest: (seen.append(df.count()), plain(df, *rest))[1])
+    drawn = sorted(range(3000), key=lambda i: (int(hashlib.md5(f"7:{i}".encode()).hexdigest()[:15], 16), i))
+    got = draws.sample(spark.range(3000), "id", 100, 7)
+    assert {r["id"] for r in got.collect()} == set(drawn[:100]) and got.columns == ["id"] and 100 <= seen[-1] < 300
+    one = spark.range(300).selectExpr("id", "'k' AS key")  # all or none are under a bound
+    assert draws.sample(one, "key", 20, 7).count() == 20 and draws.sample(one, "key", 0, 7).count() == 0
