@@ -93,3 +93,13 @@ def test_noise_meets_sites_without_a_shuffle_by_grid(spark):
 
     sites = spark.createDataFrame([(k, x, 0, 0, float(x % 3)) for k in "ab" for x in range(6)], "im string, x int, y int, z int, v double")
     assert not re.search(r"SortMergeJoin \[im#\d+\]", plan(volume.nonlocal_means(sites, "v", 1, 1, keys=["im"])))
+
+
+def test_both_grids_of_a_distance_are_made_once(spark, monkeypatch):
+    from gridstone.plans import volumes
+
+    grids = volumes.vol(spark, DIR)
+    counted_grids, made = counted(grids, spark)
+    monkeypatch.setattr(volumes, "vol", lambda *a: counted_grids)
+    bindings.queries()["cooccurrence_distance_3d"](spark, DIR).collect()
+    assert 0 < made.value <= grids.count()
