@@ -95,11 +95,16 @@ def test_noise_meets_sites_without_a_shuffle_by_grid(spark):
     assert not re.search(r"SortMergeJoin \[im#\d+\]", plan(volume.nonlocal_means(sites, "v", 1, 1, keys=["im"])))
 
 
-def test_both_grids_of_a_distance_are_made_once(spark, monkeypatch):
+def test_a_distance_of_two_grids_leaves_out_the_third(spark, monkeypatch):
     from gridstone.plans import volumes
 
-    grids = volumes.vol(spark, DIR)
-    counted_grids, made = counted(grids, spark)
-    monkeypatch.setattr(volumes, "vol", lambda *a: counted_grids)
+    made, plain = [], volume.gradients
+
+    def seen(*rest):
+        df, n = counted(plain(*rest), spark)
+        made.append(n)
+        return df
+
+    monkeypatch.setattr(volume, "gradients", seen)
     bindings.queries()["cooccurrence_distance_3d"](spark, DIR).collect()
-    assert 0 < made.value <= grids.count()
+    assert 0 < made[0].value <= volumes.vol(spark, DIR).where("im in ('A', 'N')").count()
