@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridstone.llm.common import perhaps_listed, removed, written
+from gridstone.llm.common import by_batches, perhaps_listed, removed, written
 from gridstone.llm.components import components
 from gridstone.llm.textarrays import BASE, mix, shingle_sets
 
@@ -241,7 +241,7 @@ def _task(percent: int):
 def _families(base: DataFrame, width: int, percent: int) -> DataFrame:
     """(set, family) of the sets that may link with another."""
     spark = base.sparkSession
-    rows = base.select("_text").mapInArrow(_keys(width, percent), "set long, at int, need int, key long")
+    rows = by_batches(base.select("_text"), _keys(width, percent), "set long, at int, need int, key long")
     of_key, of_group = Window.partitionBy("key"), Window.partitionBy("set", "at")
     met = rows.withColumns({"low": F.min("set").over(of_key), "high": F.max("set").over(of_key), "n": F.count(F.lit(1)).over(of_key)}).where("low != high")
     shared, path = written(met.select("key", "set", "at", "need", "n").distinct(), True)
@@ -289,7 +289,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id_type = docs.schema[id_col].dataType
     base = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
     schema = T.StructType([T.StructField("id", id_type), T.StructField("th", T.LongType()), T.StructField("n", T.LongType()), T.StructField("set", T.LongType())])
-    described = written(base.mapInArrow(_describe(width), schema))
+    described = written(by_batches(base, _describe(width), schema))
     sets = written(described.where("n > 0").groupBy("set").agg(F.min(F.struct("id", "th")).alias("first"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")))
 
     families = written(_families(base, width, percent).join(sets, "set").select("set", "family", "n", "copies", F.col("first.id").alias("id"), F.col("first.th").alias("th")))
@@ -297,7 +297,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # most texts are in no family and need not be shuffled
     texts = perhaps_listed(base, "_th", families, "th").where("_perhaps").join(families.select("set", "id", "th").hint("merge"), F.col("_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th"))).select("set", "_text")
     sent = texts.dropDuplicates(["set"]).join(tasks.hint("merge"), "set").select("family", "task", "side", "alone", "set", "copies", "_text")
-    sent = sent.mapInArrow(_sets(width), T.StructType([*sent.drop("_text").schema.fields, T.StructField("shingles", T.BinaryType())]))
+    sent = by_batches(sent, _sets(width), T.StructType([*sent.drop("_text").schema.fields, T.StructField("shingles", T.BinaryType())]))
     found = written(sent.groupBy("family", "task").applyInArrow(_task(percent), "a long, b long, n_links long"))
 
     linked = components(found.where("a != b").select("a", "b"))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridstone.llm.common import columns, written
+from gridstone.llm.common import by_batches, columns, written
 from gridstone.llm.textarrays import ALNUM, LOWER, NOT_SPACE, blocks, span_hashes, spans
 
 BUCKETS, EVIDENCE, MAX_ROWS = 1 << 15, 20, 1000
@@ -101,7 +101,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], id_col:
         at, d = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(d), pa.array(total[at, d])], ["bucket", "domain", "n"])
 
-    found = rows.mapInArrow(run, "bucket long, domain long, n long").groupBy("bucket", "domain").agg(F.sum("n").alias("n")).toPandas()
+    found = by_batches(rows, run, "bucket long, domain long, n long").groupBy("bucket", "domain").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((BUCKETS + 1, k))
     counts[found["bucket"].to_numpy(int), found["domain"].to_numpy(int)] = found["n"].to_numpy(float)
     return train(counts)
@@ -196,7 +196,7 @@ def mix_sources(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], weights:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n), lists, b.column(len(kept))], schema.names)
 
     chance = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("mix")), 11) / F.lit(float(1 << 53))
-    described = docs.select(*[c for c, _ in held], chance.alias(new["chance"])).mapInArrow(run, schema)
+    described = by_batches(docs.select(*[c for c, _ in held], chance.alias(new["chance"])), run, schema)
     described = written(described if keep else described.drop(text_col))
     groups = written(described.groupBy(F.col(new["posterior"]).alias("p")).agg(F.sum(new["n_tokens"]).alias("tokens")))
     y, miss = fit_rates(groups, weights, floor, total)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridstone.llm.common import qualified, written
+from gridstone.llm.common import by_batches, qualified, written
 from gridstone.llm.textarrays import blocks, span_hashes
 
 LENGTH, ROWS = 2048, 512
@@ -290,7 +290,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
             sink.close()
             fs.move(trial, f"{folder}/{shard_name(part)}")
 
-    return written(base.mapInArrow(run, schema))
+    return written(by_batches(base, run, schema))
 
 
 def shard_name(part: int) -> str:

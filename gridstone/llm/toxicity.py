@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridstone.llm.common import columns
+from gridstone.llm.common import by_batches, columns
 from gridstone.llm.textarrays import NOT_SPACE, blocks, spans
 
 LAMBDA, LETTERS, STRIDE = 0.7, 12, 4
@@ -176,6 +176,7 @@ def _odds(kinds: np.ndarray, at: np.ndarray, owner: np.ndarray, labels: np.ndarr
     ends = np.searchsorted(owner, np.arange(0, len(labels) + 200, 200))
     for lo, hi in zip(ends[:-1], ends[1:]):  # 200 texts at a time
         some, who = at[lo:hi], owner[lo:hi]
+        who = who.astype(np.int64)
         seen = np.unique(np.concatenate([who[ok[some]] << 20 | g[some][ok[some]] for g, ok in zip(grams, whole)]))
         sick = labels[seen >> 20] > 0
         np.add.at(t_df, seen[sick] & 0xFFFFF, 1)
@@ -204,36 +205,60 @@ def train(packed: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> tuple[np
     for y in (0, 1):
         back[np.flatnonzero(labels == y)[3::4]] = True
     if back.sum() in (0, labels[back].sum(), (labels[back] == 0).sum()) or not labels[~back].any():  # too few of a class
-        weights = machine(packed, owner, labels, True)
-        kinds, at = np.unique(packed, return_inverse=True)
+        kinds, at, owner = distinct(packed, owner)
+        weights = machine(kinds, at, owner, labels, True)
         return weights, *_logistic(_bag_top(decide(kinds, weights)[at], owner, len(labels)), labels)[1:]
-    seen = ~back[owner]
-    kinds, at = np.unique(packed[~seen], return_inverse=True)
-    found = []
+    whole = distinct(packed, owner)
+    del packed, owner
+    found, shown, kept = [], _some(*whole, ~back), _some(*whole, back)
     for sure in (False, True):
-        weights = machine(packed[seen], (np.cumsum(~back) - 1)[owner[seen]], labels[~back], sure)
-        top = _bag_top(decide(kinds, weights)[at], (np.cumsum(back) - 1)[owner[~seen]], int(back.sum()))
+        weights = machine(*shown, labels[~back], sure)
+        top = _bag_top(decide(kept[0], weights)[kept[1]], kept[2], int(back.sum()))
         found.append((*_logistic(top, labels[back]), sure))
+    del shown, kept
     _, a, b, sure = max(found, key=lambda x: x[0])
-    return machine(packed, owner, labels, sure), a, b
-
-
-def machine(packed: np.ndarray, owner: np.ndarray, labels: np.ndarray, only_sure: bool, rounds: int = 3) -> np.ndarray:
-    """Weights of the subsequences and the bias. ``only_sure``: the positives are the units that several toxic texts and hardly any clean ones hold, and no others."""
+    return machine(*whole, labels, sure), a, b
+
+
+def distinct(packed: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct units in order, and of each distinct unit of a text its place among them and the text, by text and place, in four bytes each."""
+    kinds = np.unique(packed)
+    pair = owner.astype(np.int64)
+    pair *= len(kinds)
+    for lo in range(0, len(pair), 1 << 16):
+        pair[lo:lo + (1 << 16)] += np.searchsorted(kinds, packed[lo:lo + (1 << 16)])
+    pair.sort()
+    pair = pair[np.append(True, pair[1:] != pair[:-1])[:len(pair)]]
+    owner = (pair // max(1, len(kinds))).astype(np.int32)
+    pair %= max(1, len(kinds))
+    return kinds, pair.astype(np.int32), owner
+
+
+def _some(kinds: np.ndarray, at: np.ndarray, owner: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``distinct`` gives of the units of some texts, those being counted anew."""
+    held = texts[owner]
+    at, owner = at[held], (np.cumsum(texts, dtype=np.int32) - 1)[owner[held]]
+    used = np.zeros(len(kinds), bool)
+    used[at] = True
+    return kinds[used], (np.cumsum(used, dtype=np.int32) - 1)[at], owner
+
+
+def machine(kinds: np.ndarray, at: np.ndarray, owner: np.ndarray, labels: np.ndarray, only_sure: bool, rounds: int = 3) -> np.ndarray:
+    """Weights of the subsequences and the bias, from what ``distinct`` gives. ``only_sure``: the positives are the units that several toxic texts and hardly any clean ones hold, and no others."""
     weights, rng = np.zeros((1 << 15) + 1), np.random.default_rng(4)
-    kinds, at = np.unique(packed, return_inverse=True)
-    owner, at = np.divmod(np.unique(owner.astype(np.int64) * len(kinds) + at), max(1, len(kinds)))
     toxic = labels[owner] > 0
     n_t, n_c = int((labels > 0).sum()), int((labels == 0).sum())
     t_df, c_df = np.bincount(at[toxic], minlength=len(kinds)), np.bincount(at[~toxic], minlength=len(kinds))
     first, sure = _odds(kinds, at, owner, labels)
     seeds = np.flatnonzero(only_sure & (t_df >= max(2, n_t // 100)) & (t_df * n_c > 20 * c_df * n_t) & (sure > SEED_ODDS))
     clean_kinds = np.flatnonzero(c_df)
+    at, owner = at[toxic], owner[toxic]  # positives are chosen from toxic texts
+    del toxic
     score = first
     for r in range(rounds):
         s = score[at]
         top = _bag_top(s, owner, len(labels))
-        chosen = toxic & ((s >= top[owner] - 1.0) & (s > 0.5) if r == 0 else (s >= np.minimum(top[owner], 0.9)) & (s > -0.9))
+        chosen = (s >= top[owner] - 1.0) & (s > 0.5) if r == 0 else (s >= np.minimum(top[owner], 0.9)) & (s > -0.9)
         pos = seeds if only_sure and len(seeds) else np.unique(at[chosen])
         hard = np.setdiff1d(clean_kinds, seeds, assume_unique=True)
         hard = hard[np.argsort(-score[hard], kind="stable")][:TRAIN_UNITS]
@@ -251,7 +276,9 @@ def machine(packed: np.ndarray, owner: np.ndarray, labels: np.ndarray, only_sure
         y = np.append(np.ones(len(pos)), -np.ones(len(neg)))
         balance = np.append(np.full(len(pos), 0.5 / len(pos)), np.full(len(neg), 0.5 / len(neg)))
         v = _machine(kernel(kinds[rows], feats) @ root, y, balance * 1000)
-        weights = np.append(feats.T @ (root @ v[:-1]), v[-1])
+        v = np.append(root @ v[:-1], v[-1])
+        weights = np.concatenate([*(feats[:, lo:lo + (1 << 12)].T @ v[:-1] for lo in range(0, feats.shape[1], 1 << 12)), v[-1:]])  # a part at a time, as a product makes eight bytes of four
+        del feats
         score = decide(kinds, weights)
     return weights
 
@@ -314,10 +341,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         found = found.filter(pa.array(np.append(True, key[1:] != key[:-1])[:len(key)]))
         lists = found["units"].combine_chunks()
         sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
-        weights, a, b = train(lists.flatten().to_numpy().astype(np.uint64), np.repeat(np.arange(len(sizes)), sizes), found["y"].to_numpy())
+        y, owner = found["y"].to_numpy(), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        packed = [lists.flatten().to_numpy().astype(np.uint64)]
+        del found, lists
+        weights, a, b = train(packed.pop(), owner, y)
         return pa.table({"weights": [weights.tobytes()], "a": [float(a)], "b": [float(b)]}, schema=pa.schema([("weights", pa.binary()), ("a", pa.float64()), ("b", pa.float64())]))
 
-    rows = texts.mapInArrow(run, "key long, th long, y int, units array<long>").groupBy(F.lit(0).alias("all")).applyInArrow(learn, "weights binary, a double, b double").collect()
+    rows = by_batches(texts, run, "key long, th long, y int, units array<long>").groupBy(F.lit(0).alias("all")).applyInArrow(learn, "weights binary, a double, b double").collect()
     if not rows:
         return train(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
     return np.frombuffer(bytes(rows[0]["weights"])), rows[0]["a"], rows[0]["b"]
@@ -339,4 +369,4 @@ def toxicity(docs: DataFrame, model: tuple[np.ndarray, float, float], id_col: st
             score = score_texts(b.column(names.index(text_col)), model)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], schema.names)
 
-    return docs.select(*[c for c, f in zip(columns(docs), docs.schema.fields) if f in kept]).mapInArrow(run, schema)
+    return by_batches(docs.select(*[c for c, f in zip(columns(docs), docs.schema.fields) if f in kept]), run, schema)

@@ -1,10 +1,12 @@
 """Joins of sides that grow with the input must not build a table on the driver, however small Spark believes them to be, and
-training runs on an executor."""
+training runs on an executor. Texts go to Python in small batches, and training makes no wide copies."""
 
 import os
+import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridstone.llm import components, simhash, spelling, toxicity
 
@@ -48,3 +50,24 @@ def test_training_runs_in_a_task(spark, monkeypatch):
     weights, process, seen = toxicity.fit(docs, labels)
     assert weights.tolist() == [0, 1, 2, 3] and process != os.getpid() and seen == 23
     assert toxicity.fit(docs, labels.limit(0))[2] == 0
+
+
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 800).alias("text")).coalesce(1)
+    monkeypatch.setattr(toxicity, "score_texts", lambda texts, model: np.full(len(texts), float(texts.nbytes)))
+    found = toxicity.toxicity(docs, None).agg(F.count(F.lit(1)).alias("rows"), F.max("score").alias("most")).first()
+    assert found.rows == 3000 and found.most < 3e6
+
+
+def test_training_makes_no_wide_copies():
+    draw = np.random.default_rng(1)
+    letters = draw.integers(1, 27, (12_000, 8)).astype(np.uint64)
+    packed = sum(letters[:, i] << np.uint64(5 * i) for i in range(8))
+    owner = np.repeat(np.arange(400), 30)
+    tracemalloc.start()
+    try:
+        toxicity.train(packed, owner, np.arange(400) % 2)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 85e6  # 240 landmarks of 32,768 numbers are 31 MB, and twice that as doubles
