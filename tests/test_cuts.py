@@ -111,6 +111,45 @@ def test_louvain_of_a_full_graph(spark):
     assert {r.id: r.community for r in louvain(spark.range(12), edges, tries=2).collect()} == {i: i % 2 for i in range(12)}
 
 
+@pytest.mark.parametrize("held", [1 << 16, 30, 0])
+def test_louvain_takes_few_jobs_on_even_weights(spark, monkeypatch, held):
+    """No job a round where a task holds the level; in rounds, or in rounds until it does, it ends at a local optimum, too."""
+    from gridstone.operators import communities
+
+    monkeypatch.setattr(communities, "HELD_NODES", held)
+    rng = np.random.default_rng(8)
+    n = 60 if held > 60 else 36
+    w = np.triu(rng.integers(1, 4, (n, n)) * (rng.random((n, n)) < 0.7), 1).astype(float)
+    w += w.T
+    w[3, 3] = 2.0
+    name = lambda i: 7 * i - 100
+    edges = spark.createDataFrame([(name(i), name(j), float(w[i, j])) for i, j in np.ndindex(w.shape) if w[i, j]], "src bigint, dst bigint, weight double").repartition(3)
+    spark.sparkContext.setJobGroup(f"louvain {held}", "")
+    found = {r.id: r.community for r in communities.louvain(spark.range(n).selectExpr("7 * id - 100 AS id"), edges).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"louvain {held}"))
+    spark.sparkContext.setJobGroup("", "")
+    label = [found[name(i)] for i in range(n)]
+    assert all(found[c] == c and c <= i for i, c in found.items()) and quality(w, label) > 0.03
+    if held > n:
+        assert jobs < 40
+        assert all(quality(w, [c if k == i else x for k, x in enumerate(label)]) <= quality(w, label) + 0.01 for i in range(n) for c in set(label))
+
+
+def test_sweeps_gain_what_modularity_gains():
+    from gridstone.operators.communities import _by_source, _sweeps
+
+    rng = np.random.default_rng(2)
+    w = np.triu(rng.random((40, 40)) * (rng.random((40, 40)) < 0.3))
+    w[np.arange(40), np.arange(40)] += 0.1
+    src, dst = (x.astype(np.int32) for x in np.nonzero(w))
+    starts, ends, weights = _by_source(src, dst, w[src, dst], 40)
+    both = w + np.triu(w, 1).T
+    assert all((both[i, ends[a:b]] == weights[a:b]).all() and b - a == (both[i] > 0).sum() for i, (a, b) in enumerate(zip(starts, starts[1:])))
+    c, gain = _sweeps(starts, ends, weights, both.sum(), 1e-6, rng.permutation(40))
+    assert gain > 0.1 and np.isclose(quality(both, c) - quality(both, range(40)), gain)
+    assert all(quality(both, [to if k == i else x for k, x in enumerate(c)]) <= quality(both, c) + 1e-6 for i in range(40) for to in set(c.tolist()))
+
+
 @pytest.mark.parametrize(("rows", "columns"), [(5, 5), (3, 6), (6, 3)])
 def test_auction(spark, rows, columns):
     from itertools import permutations
